@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkmine import fixed_values as fixed
 
@@ -136,3 +137,12 @@ def tokens(c: Column) -> Column:
 def unfence(c: Column) -> Column:
     """Remove Markdown code fences around a model response."""
     return strip_ws(F.regexp_replace(c, "```(?:json)?", ""))
+
+
+def strict_json(body: Column, schema: T.DataType) -> Column:
+    """The value of a text that is one JSON document and nothing else, otherwise NULL.
+
+    ``from_json`` ignores what follows the first value; inside brackets it cannot.
+    """
+    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), T.ArrayType(schema))
+    return let(wrapped, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
