@@ -1,6 +1,6 @@
 """Runnable queries over the given tables."""
 
-from talkmine.plans import claims, transcripts  # noqa: F401
+from talkmine.plans import claims, people, transcripts  # noqa: F401
 from talkmine.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
