@@ -114,25 +114,36 @@ def appeared_on(people: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def claim_edges(claims: DataFrame, episodes: DataFrame) -> DataFrame:
-    """MADE_CLAIM and LIKELY_MADE_CLAIM from speakers, DISCUSSED_IN to the episode otherwise."""
-    rows = claim_nodes(claims).withColumn("_kind", _edge_kind())
-    said = _edge(
-        rows.filter(F.col("_kind") != "DISCUSSED_IN"), F.col("_kind"), "Person", "speaker", "Claim", "claim_id")
-    discussed = _edge(
-        rows.filter(F.col("_kind") == "DISCUSSED_IN"), "DISCUSSED_IN", "Claim", "claim_id", "Episode", "video_id")
-    return said.unionByName(drop_dangling(discussed, episodes.select("video_id"), "dst").select(*EDGE_COLUMNS))
+    """All edges of each claim, unfolded from one pass over the claims.
 
+    MADE_CLAIM or LIKELY_MADE_CLAIM from a known speaker, else DISCUSSED_IN to the episode;
+    ABOUT to the topic; SOURCED_FROM to the episode. Edges to unknown episodes are dropped.
+    """
+    known = episodes.select("video_id").distinct().withColumn("_known", F.lit(True))
+    rows = claim_nodes(claims).withColumn("_kind", _edge_kind()).join(known, "video_id", "left")
+    here, said = F.coalesce("_known", F.lit(False)), F.col("_kind") != "DISCUSSED_IN"
+
+    def edge(when: Column, kind: Column, src_label: str, src: str, dst_label: str, dst: str) -> Column:
+        return F.when(when, F.struct(
+            kind.alias("type"), F.lit(src_label).alias("src_label"), F.col(src).alias("src"),
+            F.lit(dst_label).alias("dst_label"), F.col(dst).alias("dst")))
+
+    made = F.array_compact(F.array(
+        edge(said, F.col("_kind"), "Person", "speaker", "Claim", "claim_id"),
+        edge(~said & here, F.col("_kind"), "Claim", "claim_id", "Episode", "video_id"),
+        edge(present(F.col("topic")), F.lit("ABOUT"), "Claim", "claim_id", "Topic", "topic"),
+        edge(here, F.lit("SOURCED_FROM"), "Claim", "claim_id", "Episode", "video_id")))
+    none = F.lit(None).cast("string")
+    return rows.select(F.explode(made).alias("e")).select("e.*", *[
+        none.alias(c) for c in ("role", "confidence", "method", "drift_type")])
 
-def about(claims: DataFrame) -> DataFrame:
-    rows = claim_nodes(claims).filter(present(F.col("topic")))
-    return _edge(rows, "ABOUT", "Claim", "claim_id", "Topic", "topic")
+
+def about(claims: DataFrame, episodes: DataFrame) -> DataFrame:
+    return claim_edges(claims, episodes).filter("type = 'ABOUT'")
 
 
 def sourced_from(claims: DataFrame, episodes: DataFrame) -> DataFrame:
-    rows = claim_nodes(claims).filter(F.col("video_id").isNotNull())
-    return drop_dangling(
-        _edge(rows, "SOURCED_FROM", "Claim", "claim_id", "Episode", "video_id"),
-        episodes.select("video_id"), "dst")
+    return claim_edges(claims, episodes).filter("type = 'SOURCED_FROM'")
 
 
 def evolved_from(evolution: DataFrame, claims: DataFrame) -> DataFrame:
@@ -148,8 +159,7 @@ def edges(
 ) -> DataFrame:
     episodes = chunks.select("video_id").distinct()
     parts = [
-        belongs_to(chunks, channels), appeared_on(people, episodes), claim_edges(claims, episodes),
-        about(claims), sourced_from(claims, episodes)]
+        belongs_to(chunks, channels), appeared_on(people, episodes), claim_edges(claims, episodes)]
     if evolution is not None:
         parts.append(evolved_from(evolution, claims))
     out = parts[0].select(*EDGE_COLUMNS)

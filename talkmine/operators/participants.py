@@ -99,7 +99,12 @@ def participants(episodes: DataFrame, shows: DataFrame, answers: DataFrame | Non
     found = hosts(episodes, shows).unionByName(guests_from_titles(episodes, shows))
     if answers is not None:
         found = found.unionByName(guests_from_answers(episodes, shows, answers))
-    return found.dropDuplicates(["video_id", "participant_name"])
+    # A name found twice keeps its surest row: host before guest, title before answer.
+    surest = F.struct(
+        (F.col("participant_role") != "HOST").alias("r"), (F.col("confidence") != "HIGH").alias("c"))
+    rest = [c for c in COLUMNS if c not in ("video_id", "participant_name")]
+    return found.groupBy("video_id", "participant_name").agg(
+        F.min_by(F.struct(*rest), surest).alias("p")).select("video_id", "participant_name", "p.*").select(*COLUMNS)
 
 
 def extraction_stats(episodes: DataFrame, shows: DataFrame, answers: DataFrame | None = None) -> DataFrame:

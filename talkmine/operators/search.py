@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from talkmine import fixed_values as fixed
-from talkmine.functions.ranking import top_k
+from talkmine.functions.ranking import skew_join, top_k
 from talkmine.functions.vectors import best_of_block, cosine, top_of_partition, unit_rows
 from talkmine.operators.enrichment import postings
 
@@ -110,8 +110,10 @@ def similar_pairs(
     rows = claims.filter(F.col("topic").isNotNull() & F.col("claim_date").isNotNull()).join(
         vectors.select(key, F.col(vector).alias("v")), key).select(
         "topic", F.col(key).alias("id"), F.unix_date("claim_date").alias("day"), "v")
-    sizes = rows.groupBy("topic").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = rows.join(sizes, "topic").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy("topic").agg(F.count("*").alias("n")).withColumn(
+        "blocks", F.ceil(F.col("n") / block).cast("int"))
+    cut = skew_join(rows, sizes, "topic", "n").withColumn(
+        "own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tile = ["topic", "i", "j"]
     columns = [*tile, "id", "day", "v"]

@@ -168,6 +168,19 @@ def entity_resolution(spark, sf):
     return p.resolve_entities(mentions(spark, sf))
 
 
+@query("episode_detail", sql(_PEOPLE + """
+select 'summary' as section, video_id as key, left(string_agg(chunk_text, ' ' order by chunk_start_sec), 3000) as text,
+ concat('Episode ', video_id) as detail from chunks where video_id = '42' and w <= 4 group by video_id
+union all select 'claim', claim_id, claim_text, verification_status from claims where video_id = '42'
+union all select 'participant', participant_name, participant_name, participant_role from people
+ where video_id = '42'""", "titles", "chunks", "claims"))
+def episode_detail(spark, sf):
+    from talkmine.operators.chunking import episode_excerpt
+    from talkmine.operators.claims import episode_detail as detail
+    summaries = episode_excerpt(chunks(spark, sf)).withColumnRenamed("excerpt", "episode_summary")
+    return detail("42", summaries, t.claims(spark, sf), people(spark, sf))
+
+
 # --- graph -------------------------------------------------------------------------------
 
 def _parts(spark, sf):

@@ -330,3 +330,49 @@ def metrics_with_missing(spark, sf):
     return metrics.metrics_with_missing(t.metadata(spark, sf), found).select(
         "video_id", "has_transcript", "total_words",
         *[F.round(c, 6).alias(c) for c in ("duration_covered", "words_per_minute", "avg_segment_len_sec")])
+
+
+@query("stg_episodes_variant", sql("""
+select video_id, title, strftime(publish_date, '%Y-%m-%d') as publish_date, duration_min, view_count,
+ segment_count, coverage_pct, gap5 as has_timestamp_gaps from metrics""", "metrics"))
+def stg_episodes_variant(spark, sf):
+    """The staging view over a landing table that keeps the whole document in one VARIANT."""
+    payload = t.payload(spark, sf)
+    document = F.struct(*[c for c in payload.columns if c not in ("load_timestamp", "source_file")])
+    raw = payload.select(F.parse_json(F.to_json(document)).alias("raw_data"), "load_timestamp", "source_file")
+    return staging.stg_episodes(staging.variant_payload(raw)).select(
+        "video_id", "title", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"), "duration_min",
+        "view_count", "segment_count", "coverage_pct", "has_timestamp_gaps")
+
+
+@query("strip_overlap", sql("""
+, spoken as (select *, lag(text) over (partition by video_id order by segment_index) as before from segments)
+select video_id, segment_index, case when before is not null and before <> '' and starts_with(text, before)
+ then ltrim(substring(text, length(before) + 1)) else text end as text from (
+ select video_id, segment_index, lag(said) over (partition by video_id order by segment_index) as before, said as text
+ from (select *, case when before is null or segment_index % 2 = 0 then text else concat(before, ' ', text) end as said
+  from spoken) x) y""", "segments"))
+def strip_overlap(spark, sf):
+    """Rolling captions: every second line repeats the line before it."""
+    from talkmine.functions import segments as seg
+    from talkmine.functions.text import let
+
+    def rolled(a):
+        return F.transform(a, lambda s, i: F.struct(
+            F.when((i == 0) | (i % 2 == 0), s["text"])
+            .otherwise(F.concat(F.get(a, i - 1)["text"], F.lit(" "), s["text"])).alias("text"),
+            s["start"].alias("start"), s["duration"].alias("duration")))
+
+    shown = t.transcripts(spark, sf).withColumn("segments", let(F.col("segments"), rolled))
+    rows = shown.select("video_id", F.posexplode(seg.strip_overlap(F.col("segments"))).alias("segment_index", "s"))
+    return rows.select("video_id", F.col("segment_index").cast("long").alias("segment_index"), "s.text")
+
+
+@query("drop_repeats", sql("""
+select video_id, count(*) as kept from (select video_id, text,
+ lag(text) over (partition by video_id order by segment_index) as before from segments) x
+where before is null or before <> text group by 1""", "segments"))
+def drop_repeats(spark, sf):
+    from talkmine.functions import segments as seg
+    return t.transcripts(spark, sf).select(
+        "video_id", seg.segment_count(seg.drop_repeats(F.col("segments"))).alias("kept"))

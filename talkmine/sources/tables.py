@@ -74,14 +74,24 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and segments side by side, without metrics."""
-    return documents(spark, sf_dir).select(
+    return episodes_of(documents(spark, sf_dir))
+
+
+def episodes_of(docs: DataFrame) -> DataFrame:
+    """Episodes of a batch or a stream of documents."""
+    return docs.select(
         *_metadata_columns(), _segments_column()).withColumnRenamed("duration_minutes", "duration_min")
 
 
+def payload_of(docs: DataFrame) -> DataFrame:
+    """Landing rows of a batch of documents."""
+    source = F.concat("channel_name", F.lit("/"), "video_id")
+    return stamp(with_load_metrics(episodes_of(docs)), source)
+
+
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing rows: metadata, segments and load-time metrics of each episode."""
-    source = F.concat("channel_name", F.lit("/"), "video_id")
-    return stamp(with_load_metrics(episodes(spark, sf_dir)), source)
+    return payload_of(documents(spark, sf_dir))
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
