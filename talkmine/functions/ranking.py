@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmine.session import cut_lineage
+
 
 def top_k(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
     """First ``k`` rows; ``order`` ends in a unique key so ties are settled."""
@@ -31,29 +33,24 @@ def share_of_total(df: DataFrame, key: str) -> DataFrame:
     return groups.withColumn("pct", F.round(F.col("count") * F.lit(100.0) / total, 1))
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
-    """Join on a key that may hold a large share of ``left``.
+def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join on a key that may hold a large share of ``left``.
 
-    ``right`` has one row per key, and ``weight`` says how many ``left`` rows carry it. A key
-    with more than a thousandth of all rows is hot; there are fewer than a thousand of those
-    whatever the data, so they are broadcast. All other keys are joined by shuffle, where
-    hot rows, already answered, are spread evenly by a key that matches nothing.
+    ``right`` has one row per key, and ``weight`` says how many ``left`` rows carry it. It is
+    stored once, being small beside ``left`` but often costly to derive. A key with more than
+    a thousandth of all rows is hot; there are fewer than a thousand of those whatever the
+    data, so they are broadcast. The others are joined by shuffle on (hash of key, key), in
+    which rows already answered carry a hash of the whole row and so spread over all tasks.
     """
-    total = right.agg(F.sum(weight)).scalar()
+    right = cut_lineage(right)
+    total = right.agg(F.sum(weight)).first()[0] or 0
     values = [c for c in right.columns if c != key]
-    marked = right.withColumn("_hot", F.col(weight) * 1000 > total)
-    hot = marked.filter("_hot").select(key, F.struct(*values).alias("_hot_value"))
-    cold = marked.filter("not _hot").select(
-        F.struct(F.col(key).alias("k"), F.lit(-1).alias("salt")).alias("_cold_key"),
-        F.struct(*values).alias("_cold_value"))
+    is_hot = F.col(weight) * 1000 > total
+    hot = right.filter(is_hot).select(key, F.struct(*values).alias("_hot"))
+    cold = right.filter(~is_hot).select(
+        key, F.xxhash64(key).alias("_place"), F.struct(*values).alias("_cold"))
     first = left.join(F.broadcast(hot), key, "left")
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int")
-    is_hot = F.col("_hot_value").isNotNull()
-    cold_key = F.struct(
-        F.when(~is_hot, F.col(key)).alias("k"), F.when(is_hot, spread).otherwise(-1).alias("salt"))
-    both = first.withColumn("_key", cold_key).join(cold, F.col("_key").eqNullSafe(F.col("_cold_key")), "left")
-    found = F.coalesce("_hot_value", "_cold_value")
-    out = both.withColumn("_found", found)
-    if how == "inner":
-        out = out.filter(F.col("_found").isNotNull())
-    return out.select(*left.columns, *[F.col("_found")[v].alias(v) for v in values])
+    place = F.when(F.col("_hot").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(*left.columns))
+    both = first.withColumn("_place", place).join(cold, ["_place", key], "left")
+    found = both.withColumn("_found", F.coalesce("_hot", "_cold")).filter(F.col("_found").isNotNull())
+    return found.select(*left.columns, *[F.col("_found")[v].alias(v) for v in values])

@@ -26,10 +26,12 @@ _ASCII_SPACE = r"\x09-\x0d\x1c-\x20"
 _ANY_SPACE = _ASCII_SPACE + r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+_SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (``trim`` removes spaces only)."""
-    left = F.regexp_replace(c, f"^[{_ANY_SPACE}]+", "")
-    return F.regexp_replace(left, f"[{_ANY_SPACE}]+\\z", "")
+    """Remove leading and trailing whitespace of any kind (``trim`` alone removes spaces only)."""
+    return F.trim(c, F.lit(_SPACE_CHARS))
 
 
 def is_blank(c: Column) -> Column:

@@ -125,9 +125,13 @@ def pending_by_channel(chunks: DataFrame, done: DataFrame) -> DataFrame:
         F.count("*").alias("pending"))
 
 
-def by_channel_jobs(chunks: DataFrame) -> DataFrame:
-    """Spread work over tasks by chunk, not by channel, so no channel becomes one long task."""
-    return chunks.repartition("chunk_id")
+def spread_jobs(chunks: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Spread slow work per chunk over tasks by chunk, so no channel becomes one long task.
+
+    The number of tasks is fixed; rows this small would otherwise be merged into few.
+    """
+    tasks = tasks or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartition(tasks, "chunk_id")
 
 
 # --- canned questions --------------------------------------------------------------------

@@ -145,7 +145,7 @@ def vtt_to_segments(spark, sf):
     body = F.array_join(F.transform(F.split("text", "\n", -1), cue), "\n\n")
     subtitles = t.documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("WEBVTT\nKind: captions\n\n"), body).alias("content"))
-    return files.vtt_to_segments(subtitles).select("file_id", F.explode("segments").alias("s")).select("file_id", "s.*")
+    return files.vtt_rows(subtitles)
 
 
 def _file_pairs(spark, sf):
@@ -187,10 +187,9 @@ from metrics where cast(video_id as bigint) % 50 not in (1, 2, 3)""", "metrics")
 def merged_payload(spark, sf):
     """Landing rows built from the parsed files."""
     meta, texts = _file_pairs(spark, sf)
-    good = files.quarantine(meta, texts)[0]
-    with_genre = good.drop("segments", "file_id").withColumn("genre", sel.genre_of(F.concat(F.lit("zz"), "folder")))
+    with_genre = meta.filter(~F.col("bad")).withColumn("genre", sel.genre_of(F.concat(F.lit("zz"), "folder")))
     source = F.concat("folder", F.lit("/"), "video_id")
-    return merge_payload(with_genre, texts.drop("bad"), source).select(
+    return merge_payload(with_genre.drop("bad"), texts.drop("bad"), source).select(
         "video_id", "load_source", "segment_count", "total_words", "duration_covered", "coverage_pct",
         "artifact_count", "has_timestamp_gaps", "words_per_minute", "genre")
 

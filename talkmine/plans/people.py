@@ -10,6 +10,7 @@ from talkmine.plans.claims import evolution
 from talkmine.plans.oracle import sql
 from talkmine.plans.registry import query
 from talkmine.plans.transcripts import chunks, day
+from talkmine.session import cut_lineage
 from talkmine.sources import tables as t
 
 NAME = r"([A-Z][a-z]+ [A-Z][a-z]+)"
@@ -184,11 +185,20 @@ def episode_detail(spark, sf):
 # --- graph -------------------------------------------------------------------------------
 
 def _parts(spark, sf):
-    return chunks(spark, sf), people(spark, sf), t.claims(spark, sf), t.channels(spark, sf)
+    """Chunk heads, participants, claims and channels, stored once as the many edge kinds read them."""
+    heads = chunks(spark, sf).drop("chunk_text")
+    return (cut_lineage(heads), cut_lineage(people(spark, sf)), cut_lineage(t.claims(spark, sf)),
+            t.channels(spark, sf))
 
 
-def graph_edges(spark, sf):
-    return g.edges(*_parts(spark, sf), evolution(spark, sf))
+def graph_edges(spark, sf, parts=None):
+    parts = parts or _parts(spark, sf)
+    return g.edges(*parts, evolution(spark, sf))
+
+
+def graph(spark, sf):
+    parts = _parts(spark, sf)
+    return g.nodes(*parts), graph_edges(spark, sf, parts)
 
 
 _GRAPH = _PEOPLE + """,
@@ -242,7 +252,7 @@ def graph_edge_properties(spark, sf):
  select 'node' as part, label as kind, count(*) as count from nodes group by 2
  union all select 'edge', type, count(*) from edges group by 2""", *_GRAPH_VIEWS))
 def graph_counts(spark, sf):
-    return g.graph_counts(g.nodes(*_parts(spark, sf)), graph_edges(spark, sf))
+    return g.graph_counts(*graph(spark, sf))
 
 
 @query("episode_nodes", sql("""
@@ -273,7 +283,8 @@ def person_nodes(spark, sf):
  union all select 'claim without topic', count(*) from nodes where label = 'Claim'
   and id not in (select src from edges where type = 'ABOUT')""", *_GRAPH_VIEWS))
 def orphans(spark, sf):
-    return g.orphans(g.nodes(*_parts(spark, sf)), graph_edges(spark, sf))
+    all_nodes, all_edges = graph(spark, sf)
+    return g.orphans(cut_lineage(all_nodes), cut_lineage(all_edges))
 
 
 @query("who_discussed", sql("""

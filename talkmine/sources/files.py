@@ -34,8 +34,8 @@ def folder_of(path: Column) -> Column:
 
 def parse_metadata(files: DataFrame) -> DataFrame:
     """One row per metadata file; an outer array is accepted. ``bad`` marks unreadable files."""
-    body = strip_ws(F.col("content"))
-    listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    body = F.col("content")
+    listed = F.when(body.rlike(r"^\s*\["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
     rows = files.select(
         name_part(F.col("path"), r"_metadata\.json").alias("file_id"), folder_of(F.col("path")).alias("folder"),
         F.explode_outer(strict_json(listed, T.ArrayType(METADATA))).alias("m"))
@@ -44,8 +44,7 @@ def parse_metadata(files: DataFrame) -> DataFrame:
 
 def parse_transcripts(files: DataFrame) -> DataFrame:
     """(video_id, segments, bad) per transcript file; anything but a JSON array is bad."""
-    body = strip_ws(F.col("content"))
-    parsed = F.when(body.startswith("["), strict_json(body, SEGMENTS))
+    parsed = F.when(F.col("content").rlike(r"^\s*\["), strict_json(F.col("content"), SEGMENTS))
     return files.select(
         name_part(F.col("path"), r"_transcript\.json").alias("video_id"), parsed.alias("segments"),
     ).withColumn("bad", F.col("segments").isNull())
@@ -146,3 +145,8 @@ def vtt_segments(content: Column) -> Column:
 def vtt_to_segments(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, segments) per subtitle file, inside the row."""
     return files.select(key, vtt_segments(F.col("content")).alias("segments"))
+
+
+def vtt_rows(files: DataFrame, key: str = "file_id") -> DataFrame:
+    """One row per segment. Exploding the expression itself parses each file once."""
+    return files.select(key, F.explode(vtt_segments(F.col("content"))).alias("s")).select(key, "s.*")

@@ -175,7 +175,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 4 == 1, F.concat(F.lit("```json\n["), claim, F.lit("]\n```")))
         .when(key % 4 == 2, F.concat(F.lit("Here: ["), claim, F.lit(',{"claim_text":"short"}] done')))
         .otherwise("[{broken"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(
         F.concat((key % 200).cast("string"), F.lit("_chunk_0000")).alias("chunk_id"),
         (key % 200).cast("string").alias("video_id"), key.cast("string").alias("prompt_id"),
         raw.alias("raw"))
