@@ -87,6 +87,18 @@ def parse_drift(responses: DataFrame, raw: str = "raw") -> DataFrame:
         F.left(F.trim(F.coalesce(found["analysis"], F.lit(""))), F.lit(1000)).alias("analysis"))
 
 
+def evolution_rows(pairs: DataFrame, drifts: DataFrame) -> DataFrame:
+    """Rows of the evolution table: pairs whose drift is known, with the analysis."""
+    score = F.col("similarity_score") if "similarity_score" in pairs.columns else F.lit(None).cast("double")
+    analysis = F.col("analysis") if "analysis" in drifts.columns else F.lit(None).cast("string")
+    kinds = drifts.select("evolution_id", "drift_type", analysis.alias("analysis"))
+    return pairs.join(kinds, "evolution_id").select(
+        "evolution_id", "original_claim_id", "evolved_claim_id", "drift_type", "same_speaker",
+        "time_delta_days", score.alias("similarity_score"), "analysis", "original_speaker",
+        "evolved_speaker", "topic", "original_date", "evolved_date", "channel_original",
+        "channel_evolved", F.current_timestamp().cast("timestamp_ntz").alias("detected_at"))
+
+
 def drift_rules(pairs: DataFrame, low_overlap: float = 0.5) -> DataFrame:
     """Drift type from wording alone.
 

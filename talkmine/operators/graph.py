@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmine.functions.ranking import collect_distinct, top_k
+from talkmine.functions.ranking import collect_distinct, skew_join, top_k
 from talkmine.functions.text import icontains, present
 from talkmine.session import cut_lineage
 
 EDGE_COLUMNS = ["type", "src_label", "src", "dst_label", "dst", "role", "confidence", "method", "drift_type"]
 
+# Nodes of a search layer that may be sent to every task.
+SMALL_LAYER = 100_000
+
 
 # --- nodes -------------------------------------------------------------------------------
 
@@ -119,8 +122,14 @@ def claim_edges(claims: DataFrame, episodes: DataFrame) -> DataFrame:
     MADE_CLAIM or LIKELY_MADE_CLAIM from a known speaker, else DISCUSSED_IN to the episode;
     ABOUT to the topic; SOURCED_FROM to the episode. Edges to unknown episodes are dropped.
     """
+    # One row per episode of any claim, with the number of its claims, so that an episode
+    # with a large share of all claims is joined by broadcast. No episode is the empty id.
+    rows = claim_nodes(claims).withColumns({
+        "_kind": _edge_kind(), "video_id": F.coalesce("video_id", F.lit(""))}).select(
+        "claim_id", "video_id", "speaker", "topic", "_kind")
     known = episodes.select("video_id").distinct().withColumn("_known", F.lit(True))
-    rows = claim_nodes(claims).withColumn("_kind", _edge_kind()).join(known, "video_id", "left")
+    cited = rows.groupBy("video_id").agg(F.count("*").alias("_n")).join(known, "video_id", "left")
+    rows = skew_join(rows, cited, "video_id", "_n")
     here, said = F.coalesce("_known", F.lit(False)), F.col("_kind") != "DISCUSSED_IN"
 
     def edge(when: Column, kind: Column, src_label: str, src: str, dst_label: str, dst: str) -> Column:
@@ -244,7 +253,8 @@ def co_appearance(appeared: DataFrame, person: str) -> DataFrame:
 def k_hop(all_edges: DataFrame, label: str, start: str, k: int = 2) -> DataFrame:
     """Nodes within ``k`` steps of a node, direction ignored, with the number of steps.
 
-    Each round joins only the newest layer, drops nodes seen before and is checkpointed.
+    Each round joins only the newest layer, drops nodes seen before and is checkpointed. A
+    layer counted as small is broadcast, so the many edges of a hub stay where they are.
     """
     out = all_edges.select(
         F.struct(F.col("src_label").alias("label"), F.col("src").alias("id")).alias("a"),
@@ -255,8 +265,10 @@ def k_hop(all_edges: DataFrame, label: str, start: str, k: int = 2) -> DataFrame
         F.struct(F.lit(label).alias("label"), F.lit(start).alias("id")).alias("node"), F.lit(0).alias("hops"))
     seen = layer
     for step in range(1, k + 1):
-        reached = links.join(layer.select(F.col("node").alias("a")), "a", "left_semi").select(
-            F.col("b").alias("node")).distinct()
+        front = layer.select(F.col("node").alias("a"))
+        if layer.count() <= SMALL_LAYER:
+            front = F.broadcast(front)
+        reached = links.join(front, "a", "left_semi").select(F.col("b").alias("node")).distinct()
         layer = cut_lineage(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(step)))
         seen = seen.unionByName(layer)
     return seen.select("node.label", "node.id", "hops")

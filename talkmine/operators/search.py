@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from talkmine import fixed_values as fixed
 from talkmine.functions.ranking import skew_join, top_k
-from talkmine.functions.vectors import best_of_block, cosine, top_of_partition, unit_rows
+from talkmine.functions.vectors import best_of_block, cosine_to, top_of_partition, unit, unit_rows
 from talkmine.operators.enrichment import postings
 
 # Query vectors up to this size are sent to every task; more are joined block by block.
@@ -22,15 +22,18 @@ VECTOR_BLOCK = 20_000
 
 def vector_topk(vectors: DataFrame, query: Column, k: int = 8, key: str = "chunk_id",
                 vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest by cosine. ``query`` is a literal array or a scalar subquery."""
+    """The ``k`` nearest by cosine to a ``query`` of length 1.
+
+    ``vector_of`` gives one from a table, ``unit(F.lit([...]))`` from plain numbers.
+    """
     scored = vectors.withColumn("_query", query).withColumn(
-        "score", F.round(cosine(F.col(vector), F.col("_query")), 6))
+        "score", F.round(cosine_to(F.col(vector), F.col("_query")), 6))
     return top_k(scored.drop(vector, "_query"), [F.desc_nulls_last("score"), key], k)
 
 
 def vector_of(vectors: DataFrame, key: str, value, vector: str = "embedding") -> Column:
-    """The vector of one row as a scalar subquery."""
-    return vectors.filter(F.col(key) == value).select(vector).scalar()
+    """The vector of one row, scaled to length 1, as a scalar subquery."""
+    return vectors.filter(F.col(key) == value).select(unit(F.col(vector))).scalar()
 
 
 def batch_search(

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkmine import fixed_values as fixed
+from talkmine.session import cut_lineage
+
+# Keys that may be sent to every task.
+SMALL_KEYS = 100_000
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
@@ -33,10 +37,36 @@ def upsert_new(target: DataFrame | None, src: DataFrame, key: str) -> DataFrame:
     return new_rows(first, target, key).select(*src.columns)
 
 
+def _few(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Stored ``keys`` and their number, marked for broadcast when that is small."""
+    stored = cut_lineage(keys.select(key))
+    count = stored.count()
+    return (F.broadcast(stored) if count <= SMALL_KEYS else stored), count
+
+
+def first_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key. Only keys are shuffled, and the rows of keys that do repeat."""
+    repeated, count = _few(df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), key)
+    if count == 0:
+        return df
+    rest = [c for c in df.columns if c != key]
+    chosen = df.join(repeated, key, "left_semi").groupBy(key).agg(
+        F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("r")).select(key, "r.*").select(*df.columns)
+    return df.join(repeated, key, "left_anti").unionByName(chosen)
+
+
 def append_new(src: DataFrame, path: str, key: str, partition_by: list[str] = ()) -> None:
-    """Write the rows with new keys. Whole episodes are added, so ``key`` may repeat in ``src``."""
+    """Write the rows with new keys. Whole episodes are added, so ``key`` may repeat in ``src``.
+
+    Which keys are held already is found from the keys alone. Mostly none is, and then the
+    rows, which carry whole transcripts, are written without any join.
+    """
     target = read_table(src.sparkSession, path, src.schema)
-    new_rows(src, target, key).write.mode("append").partitionBy(*partition_by).parquet(path)
+    if target is not None:
+        held, count = _few(src.select(key).distinct().join(target.select(key), key, "left_semi"), key)
+        if count:
+            src = src.join(held, key, "left_anti")
+    src.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def channel_rows(episodes: DataFrame) -> DataFrame:
@@ -47,7 +77,7 @@ def channel_rows(episodes: DataFrame) -> DataFrame:
 
 def load_episodes(payload: DataFrame, path: str) -> None:
     """Add episodes that are not in the landing table yet, one row each."""
-    append_new(payload.dropDuplicates(["video_id"]), path, "video_id")
+    append_new(first_per_key(payload, "video_id"), path, "video_id")
 
 
 def append_log(entries: DataFrame, path: str) -> None:
@@ -72,3 +102,9 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "over
         if held is not None:
             rows = rows.join(held.select(*keys), keys, "left_anti")
         rows.write.mode(mode).partitionBy(part).parquet(target)
+
+
+def store_claims(claims: DataFrame, answered: DataFrame, tables: str) -> None:
+    """Add claims, then note every answered chunk, so one without claims is not asked again."""
+    append_new(claims, f"{tables}/claims", "claim_id")
+    append_new(answered.select("chunk_id").distinct(), f"{tables}/processed_chunks", "chunk_id")

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from talkmine.functions.text import tokens
 from talkmine.operators.chunking import chunk_payload
 from talkmine.operators.enrichment import postings
-from talkmine.sources.sinks import append_new, read_table, upsert_new
+from talkmine.sources.sinks import append_new, first_per_key, read_table, upsert_new
 
 TERM_BUCKETS = 64
 
 
 def refresh(payload: DataFrame, tables: str) -> None:
     """One batch of landing rows into the channel, episode, chunk and index tables."""
-    payload = payload.dropDuplicates(["video_id"])
+    payload = first_per_key(payload, "video_id")
     chunks = chunk_payload(payload)
     known = read_table(payload.sparkSession, f"{tables}/channels")
     channels = payload.select("channel_id", "channel_name", "genre")

@@ -102,3 +102,20 @@ def test_jobs_are_spread_by_chunk(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("chunk_id"), F.lit("one").alias("channel_name"))
     sizes = c.spread_jobs(df, 4).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 400
+
+
+def test_chunks_without_claims_are_not_asked_again(spark, tmp_path):
+    from talkmine.sources.sinks import store_claims
+    asked = answers(spark, '[{"claim_text": "a long enough claim"}]', "[]")
+    for _ in range(2):
+        store_claims(c.sanitize_claims(c.parse_claims(asked)), asked, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/claims").count() == 1
+    assert c.unprocessed(asked, spark.read.parquet(f"{tmp_path}/processed_chunks"), "chunk_id").isEmpty()
+
+
+def test_evolution_rows(spark):
+    claims = spark.createDataFrame([claim("a", "t", "Ann", "2024-01-01"), claim("b", "t", "Ann", "2024-05-01")], CLAIM)
+    pairs = ev.topic_pairs(claims)
+    drifts = ev.parse_drift(pairs.select("evolution_id", F.lit('{"drift_type": "SOFTENED"}').alias("raw")))
+    row = ev.evolution_rows(pairs, drifts).first()
+    assert (row.drift_type, row.same_speaker, row.similarity_score, len(row)) == ("SOFTENED", True, None, 16)

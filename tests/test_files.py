@@ -107,3 +107,10 @@ def test_log_is_append_only(spark, tmp_path):
     for _ in range(2):
         sinks.append_log(entry, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_one_row_per_key(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", 4)], "k string, v int")
+    first, again = (sorted(map(tuple, sinks.first_per_key(df, "k").collect())) for _ in range(2))
+    assert first == again and [k for k, _ in first] == ["a", "b", "c"]
+    assert sinks.first_per_key(df.filter("v < 3"), "k").count() == 2

@@ -116,7 +116,7 @@ def test_topics_entities_and_summary(spark):
     assert topics[("c0", 1)] == "quantum"
     entities = {(r.chunk_id, r.entity): r.mentions for r in en.cap_entities(df).collect()}
     assert entities == {("c0", "Ada Lovelace"): 1, ("c0", "Alan Turing"): 1, ("c1", "Ada Lovelace"): 1}
-    assert "quantum" in en.extract_summary(df, 1).first().episode_summary
+    assert "Alan Turing" in en.extract_summary(df, 1).first().episode_summary
 
 
 def test_refine(spark):
@@ -128,3 +128,10 @@ def test_refine(spark):
     assert ids(refine(df, channels=["x"], sort="date")) == ["c", "a"]
     assert ids(refine(df, topic="ai", date_from="2024-02-01")) == ["b"]
     assert ids(refine(df, date_to="2024-12-31", sort="channel")) == ["a", "b"]
+
+
+def test_literal_query_vector(spark):
+    from talkmine.functions.vectors import unit
+    matrix, df = vectors(spark, 20)
+    by_row = s.vector_topk(df, s.vector_of(df, "chunk_id", 3), 20).collect()
+    assert s.vector_topk(df, unit(F.lit([float(x) for x in matrix[3]])), 20).collect() == by_row
