@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmine.session import cut_lineage
@@ -33,6 +33,12 @@ def share_of_total(df: DataFrame, key: str) -> DataFrame:
     return groups.withColumn("pct", F.round(F.col("count") * F.lit(100.0) / total, 1))
 
 
+def literal_table(spark: SparkSession, rows: list, schema: str, most: int = 10_000) -> DataFrame:
+    """Rows written in a program as a table. Up to ``most`` rows it is sent to every task."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= most else made
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join on a key that may hold a large share of ``left``.
 

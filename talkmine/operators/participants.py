@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
-from talkmine.functions.ranking import top_k
+from talkmine.functions.ranking import literal_table, top_k
 from talkmine.functions.text import pct, quote, strip_ws
 from talkmine.session import cut_lineage
 
@@ -25,7 +25,7 @@ def show_table(spark: SparkSession, shows=fixed.SHOWS) -> DataFrame:
         (name, hosts, [("(?Ud)" + p, re.compile(p).groups) for p in patterns])
         for name, hosts, patterns in shows
     ]
-    return spark.createDataFrame(rows, SHOW_SCHEMA)
+    return literal_table(spark, rows, SHOW_SCHEMA)
 
 
 def clean_name(c: Column) -> Column:

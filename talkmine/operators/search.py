@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from talkmine import fixed_values as fixed
 from talkmine.functions.ranking import skew_join, top_k
+from talkmine.functions.text import tokens
 from talkmine.functions.vectors import best_of_block, cosine_to, top_of_partition, unit, unit_rows
-from talkmine.operators.enrichment import postings
 
 # Query vectors up to this size are sent to every task; more are joined block by block.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -147,7 +147,6 @@ def similar_pairs(
 
 def corpus_stats(docs: DataFrame, text: str = "chunk_text") -> DataFrame:
     """Number of documents and their mean length in tokens."""
-    from talkmine.functions.text import tokens
     return docs.agg(F.count("*").alias("docs"), F.avg(F.size(tokens(F.col(text)))).alias("avg_len"))
 
 
@@ -156,27 +155,55 @@ def query_terms(query: str) -> list[str]:
     return sorted({t for t in re.split("[^a-z0-9]+", query.lower()) if t})
 
 
-def bm25_scores(rows: DataFrame, stats: DataFrame, key: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Relevance of each document, from posting rows of the query terms only."""
+def _term_weight(docs: Column, df: Column) -> Column:
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5))
+
+
+def _term_part(tf: Column, doc_len: Column, avg_len: Column, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))
+
+
+def bm25_scan(docs: DataFrame, terms: list[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Relevance of each document without an index: one scan for figures, one to score.
+
+    Nothing is shuffled but one row of figures per task.
+    """
+    words = docs.select(key, tokens(F.col(text)).alias("w"))
+    figures = words.agg(F.struct(
+        F.count("*").alias("docs"), F.avg(F.size("w")).alias("avg_len"),
+        *[F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, t in enumerate(terms)])).scalar()
+    hits = words.select(
+        key, F.size("w").alias("doc_len"), F.filter("w", lambda w: w.isin(terms)).alias("h"),
+    ).filter(F.size("h") > 0).withColumn("f", figures)
+    f = F.col("f")
+
+    def part(i: int, term: str) -> Column:
+        tf = F.size(F.filter("h", lambda w: w == term))
+        return _term_weight(f["docs"], f[f"df{i}"]) * _term_part(tf, F.col("doc_len"), f["avg_len"], k1, b)
+
+    total = sum((part(i, t) for i, t in enumerate(terms)), F.lit(0.0))
+    return hits.select(key, F.round(total, 4).alias("score"))
+
+
+def bm25_indexed(rows: DataFrame, stats: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Relevance of each document from the posting rows of the query terms."""
     docs, avg_len = stats.select("docs").scalar(), stats.select("avg_len").scalar()
-    seen = rows.groupBy("term").agg(F.count("*").alias("df"))
     # One row per query term, so this side is as small as the query.
-    idf = seen.withColumn("idf", F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df")
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / avg_len))
+    idf = rows.groupBy("term").agg(F.count("*").alias("df")).select(
+        "term", _term_weight(docs, F.col("df")).alias("idf"))
+    part = F.col("idf") * _term_part(F.col("tf"), F.col("doc_len"), avg_len, k1, b)
     return rows.join(F.broadcast(idf), "term").groupBy(key).agg(F.round(F.sum(part), 4).alias("score"))
 
 
 def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str = "chunk_id", text: str = "chunk_text",
               index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """The ``k`` most relevant documents.
-
-    Without a stored ``index`` the text is scanned once and only query terms are unfolded;
-    with one, only the rows of those terms are read.
-    """
+    """The ``k`` most relevant documents, from the text itself or from a stored index."""
     terms = query_terms(query)
-    rows = postings(docs, key, text, terms) if index is None else index.filter(F.col("term").isin(terms))
-    scores = bm25_scores(rows, corpus_stats(docs, text) if stats is None else stats, key)
+    if index is None:
+        scores = bm25_scan(docs, terms, key, text)
+    else:
+        stats = corpus_stats(docs, text) if stats is None else stats
+        scores = bm25_indexed(index.filter(F.col("term").isin(terms)), stats, key)
     return top_k(scores, [F.desc("score"), key], k)
 
 

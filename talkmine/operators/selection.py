@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talkmine import fixed_values as fixed
+from talkmine.functions.ranking import literal_table
 
 
 def candidates(
@@ -43,7 +44,7 @@ def ranked(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
 def target_table(spark, targets=fixed.YEAR_TARGETS) -> DataFrame:
     """Targets per channel and year as rows."""
     rows = [(name, year, n, shortest) for name, years, shortest in targets for year, n in years.items()]
-    return spark.createDataFrame(rows, "channel_name string, year int, target int, min_minutes double")
+    return literal_table(spark, rows, "channel_name string, year int, target int, min_minutes double")
 
 
 def stratified_top_n(

@@ -343,7 +343,7 @@ def multi_channel_people(spark, sf):
  on a.dst = b.dst and a.type = 'APPEARED_ON' and b.type = 'APPEARED_ON' and a.src <> b.src
  where a.src = 'Dev Lind' group by 1""", *_GRAPH_VIEWS))
 def co_appearance(spark, sf):
-    return g.co_appearance(_appeared(spark, sf), "Dev Lind")
+    return g.co_appearance(cut_lineage(_appeared(spark, sf)), "Dev Lind")
 
 
 @query("k_hop", sql(_GRAPH + """,
