@@ -131,6 +131,11 @@ def pct(num: Column, den: Column, digits: int = 1) -> Column:
     return F.round(num * F.lit(100.0) / F.nullif(den, F.lit(0)), digits)
 
 
+def digest(columns: list[str]) -> Column:
+    """SHA-256 of some columns: equal rows, and only those, share one."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256).alias("digest")
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of a-z and 0-9."""
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")

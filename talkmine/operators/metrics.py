@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
 from talkmine.functions import segments as seg
-from talkmine.functions.text import ratio
+from talkmine.functions.text import digest, ratio
 
 
 def _per(num: Column, den: Column) -> Column:
@@ -224,8 +224,8 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, key: list[str]) -> DataFrame:
-    """How many rows repeat an earlier row with the same key."""
-    groups = df.groupBy(*key).agg(F.count("*").alias("n"))
+    """How many rows repeat an earlier row with the same key, by digest of the key."""
+    groups = df.groupBy(digest(key)).agg(F.count("*").alias("n"))
     return groups.agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
         F.count_if(F.col("n") > 1).alias("duplicated_keys"))

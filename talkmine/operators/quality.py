@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
+from talkmine.functions.text import digest
 
 
 def stack(*checks: DataFrame) -> DataFrame:
@@ -31,8 +32,8 @@ def null_checks(df: DataFrame, columns: list[str], name: str) -> DataFrame:
 
 
 def unique(df: DataFrame, key: list[str], name: str) -> DataFrame:
-    """Keys that occur more than once."""
-    repeated = df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("value"))
+    """Keys that occur more than once. Their digests are compared, as keys may be whole texts."""
+    repeated = df.groupBy(digest(key)).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("value"))
     return repeated.select(
         F.lit(f"unique {'+'.join(key)} in {name}").alias("check_name"), "value", _passed(F.col("value")).alias("status"))
 

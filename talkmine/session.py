@@ -38,10 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     A temporary folder is used only in local mode, where one machine is the whole cluster.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    context = spark.sparkContext
     known = context.getCheckpointDir()
     if known:
         return known
