@@ -19,7 +19,7 @@ def term_counts(terms: Column) -> Column:
 
 
 def long_tokens(text: Column, least: int = 3) -> Column:
-    return F.filter(tokens(text), lambda t: F.length(t) >= least)
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
 
 
 def postings(docs: DataFrame, key: str = "chunk_id", text: str = "chunk_text",
@@ -32,11 +32,11 @@ def postings(docs: DataFrame, key: str = "chunk_id", text: str = "chunk_text",
     ).select("p.term", key, "p.tf", "doc_len")
 
 
-def term_weights(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def term_weights(docs: DataFrame, text: str = "chunk_text", least: int = 1) -> DataFrame:
     """(term, df, idf) with idf = ln(number of documents / documents with the term)."""
     total = docs.agg(F.count("*")).scalar()
-    return rows.groupBy("term").agg(F.count("*").alias("df")).withColumn(
-        "idf", F.log(total / F.col("df")))
+    seen = docs.select(F.explode(F.array_distinct(long_tokens(F.col(text), least))).alias("term"))
+    return seen.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(total / F.col("df")))
 
 
 def tfidf_topics(chunks: DataFrame, k: int = 5, least: int = 4) -> DataFrame:
@@ -46,7 +46,7 @@ def tfidf_topics(chunks: DataFrame, k: int = 5, least: int = 4) -> DataFrame:
     rest is spread by term, so no single word makes a long task.
     """
     rows = postings(chunks, least=least).select("term", "chunk_id", "tf")
-    weighted = skew_join(rows, term_weights(rows, chunks), "term", "df")
+    weighted = skew_join(rows, term_weights(chunks, least=least), "term", "df")
     scored = weighted.withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     ranks = Window.partitionBy("chunk_id").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k).select(
@@ -83,7 +83,7 @@ def extract_summary(chunks: DataFrame, sentences: int = 3, least_words: int = 5)
     pieces = chunk_sentences_of(chunks)
     words = pieces.select(*place, long_tokens(F.col("sentence")).alias("w")).filter(F.size("w") >= least_words)
     rows = words.select(*place, F.explode(term_counts(F.col("w"))).alias("p")).select(*place, "p.term", "p.tf")
-    weights = term_weights(postings(chunks, least=3), chunks)
+    weights = term_weights(chunks, least=3)
     scored = skew_join(rows, weights, "term", "df").groupBy(*place).agg(
         F.round(F.sum(F.col("tf") * F.col("idf")) / F.sum("tf"), 6).alias("score"))
     ranks = Window.partitionBy("video_id").orderBy(F.desc("score"), "chunk_window", "pos")

@@ -199,7 +199,7 @@ def channel_date_span(spark, sf):
  latest as (select claim_id, status, seen from verdicts
   qualify row_number() over (partition by claim_id order by seen desc, status desc) = 1)
 select claim_id, coalesce(l.status, verification_status) as verification_status,
- strftime(l.seen, '%Y-%m-%d') as last_verified from claims left join latest l using (claim_id)""", "claims"))
+ coalesce(strftime(l.seen, '%Y-%m-%d'), '') as last_verified from claims left join latest l using (claim_id)""", "claims"))
 def verdict_merge(spark, sf):
     """Line items play the results of fact checks; the order is the claim."""
     flag = F.col("l_returnflag")
@@ -209,7 +209,7 @@ def verdict_merge(spark, sf):
         .alias("verification_status"),
         F.col("l_shipdate").alias("last_verified"))
     return c.apply_verdicts(t.claims(spark, sf), verdicts).select(
-        "claim_id", "verification_status", day("last_verified"))
+        "claim_id", "verification_status", day("last_verified")).fillna("")
 
 
 @query("parse_claims", sql("""

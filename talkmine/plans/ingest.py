@@ -66,7 +66,7 @@ def stratified(spark, sf):
     return sel.stratified_top_n(typed_metadata(spark, sf), sel.target_table(spark, TARGETS), good)
 
 
-@query("stratified_top_n", sql(_STRATA + " select channel_name, year, video_id, rank from picked", "meta"))
+@query("stratified_top_n", sql(_STRATA + " select channel_name, cast(year as bigint) as year, video_id, rank from picked", "meta"))
 def stratified_top_n(spark, sf):
     return stratified(spark, sf).select(
         "channel_name", F.col("year").cast("long").alias("year"), "video_id", F.col("rank").cast("long").alias("rank"))
@@ -303,7 +303,7 @@ def dq_links(spark, sf):
 
 
 @query("dq_domains", sql("""
-select 'values of ' || n as check_name, 0 as value, 'pass' as status from (values ('claim_type'), ('sentiment'),
+select 'values of ' || n as check_name, cast(0 as bigint) as value, 'pass' as status from (values ('claim_type'), ('sentiment'),
  ('speaker_role'), ('attribution_confidence'), ('verification_status')) v(n) where (select count(*) from claims) > 0""",
                          "claims"))
 def dq_domains(spark, sf):

@@ -185,10 +185,11 @@ def episode_detail(spark, sf):
 # --- graph -------------------------------------------------------------------------------
 
 def _parts(spark, sf):
-    """Chunk heads, participants, claims and channels, stored once as the many edge kinds read them."""
-    heads = chunks(spark, sf).drop("chunk_text")
-    return (cut_lineage(heads), cut_lineage(people(spark, sf)), cut_lineage(t.claims(spark, sf)),
-            t.channels(spark, sf))
+    """Chunk heads and participants, stored once as several edge kinds read them; claims; channels."""
+    heads = chunks(spark, sf).select(
+        "chunk_id", "video_id", "channel_name", "genre", "episode_title", "publish_date", "youtube_url",
+        "chunk_start_sec")
+    return cut_lineage(heads), cut_lineage(people(spark, sf)), t.claims(spark, sf), t.channels(spark, sf)
 
 
 def graph_edges(spark, sf, parts=None):
@@ -239,13 +240,13 @@ def graph_edge_table(spark, sf):
 @query("graph_edge_properties", sql(_PEOPLE + """,
  eps as (select distinct video_id from chunks)
 select 'APPEARED_ON' as type, participant_role as role, confidence, extraction_method as method,
- cast(null as varchar) as drift_type, count(*) as n from people
+ '' as drift_type, count(*) as n from people
  where video_id in (select video_id from eps) group by 1, 2, 3, 4
-union all select 'EVOLVED_FROM', null, null, null, drift_type, count(*) from evolution group by drift_type""",
+union all select 'EVOLVED_FROM', '', '', '', drift_type, count(*) from evolution group by drift_type""",
                                 *_GRAPH_VIEWS))
 def graph_edge_properties(spark, sf):
     return graph_edges(spark, sf).filter("role is not null or drift_type is not null").groupBy(
-        "type", "role", "confidence", "method", "drift_type").agg(F.count("*").alias("n"))
+        "type", "role", "confidence", "method", "drift_type").agg(F.count("*").alias("n")).fillna("")
 
 
 @query("graph_counts", sql(_GRAPH + """
@@ -269,10 +270,10 @@ def episode_nodes(spark, sf):
  best as (select * from n qualify row_number() over (partition by name order by n desc, r, c) = 1),
  said as (select distinct speaker as name from claims where upper(trim(speaker)) <> 'UNKNOWN'
   and attribution_confidence <> 'UNKNOWN')
-select coalesce(best.name, said.name) as name, r as primary_role, c as primary_channel
+select coalesce(best.name, said.name) as name, coalesce(r, '') as primary_role, coalesce(c, '') as primary_channel
 from best full join said on best.name = said.name""", "titles", "claims"))
 def person_nodes(spark, sf):
-    return g.person_nodes(people(spark, sf), t.claims(spark, sf))
+    return g.person_nodes(people(spark, sf), t.claims(spark, sf)).fillna("")
 
 
 @query("orphans", sql(_GRAPH + """
@@ -319,11 +320,17 @@ def speaker_claims(spark, sf):
  select src as person, count(*) as episodes from edges where type = 'APPEARED_ON'
  group by 1 order by 2 desc, 1 limit 25""", *_GRAPH_VIEWS))
 def most_appearing(spark, sf):
-    return g.most_appearing(graph_edges(spark, sf))
+    return g.most_appearing(_appeared(spark, sf))
 
 
-def _appeared(spark, sf):
-    return g.appeared_on(people(spark, sf), chunks(spark, sf).select("video_id").distinct())
+def _heads(spark, sf):
+    """Episode and channel of each chunk, stored once."""
+    return cut_lineage(chunks(spark, sf).select("video_id", "channel_name").distinct())
+
+
+def _appeared(spark, sf, heads=None):
+    heads = heads or _heads(spark, sf)
+    return g.appeared_on(people(spark, sf), heads.select("video_id").distinct())
 
 
 @query("multi_channel_people", sql(_GRAPH + """
@@ -333,8 +340,9 @@ def _appeared(spark, sf):
  from edges a join edges b on a.dst = b.src where a.type = 'APPEARED_ON' and b.type = 'BELONGS_TO' group by 1) x
  where channel_count > 1 order by channel_count desc, person limit 25""", *_GRAPH_VIEWS))
 def multi_channel_people(spark, sf):
-    belongs = g.belongs_to(chunks(spark, sf), t.channels(spark, sf))
-    return g.multi_channel_people(_appeared(spark, sf), belongs).withColumn(
+    heads = _heads(spark, sf)
+    belongs = g.belongs_to(heads, t.channels(spark, sf))
+    return g.multi_channel_people(_appeared(spark, sf, heads), belongs).withColumn(
         "channels", F.array_join("channels", ","))
 
 

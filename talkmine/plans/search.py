@@ -193,7 +193,8 @@ def bm25_index(spark, sf):
  vs as (select vec_id as id, round({_COSINE.format('embedding', '(select embedding from embeddings where vec_id = 0)')}, 6)
   as score from embeddings),
  vec as (select id, row_number() over (order by score desc, id) as vector_rank from vs qualify vector_rank <= 50)
-select coalesce(vec.id, kw.id) as doc_id, vector_rank, keyword_rank,
+select coalesce(vec.id, kw.id) as doc_id, coalesce(vector_rank, 0) as vector_rank,
+ coalesce(keyword_rank, 0) as keyword_rank,
  round(coalesce(1.0::double / (60 + vector_rank), 0) + coalesce(1.0::double / (60 + keyword_rank), 0), 8) as score
 from vec full join kw on vec.id = kw.id order by score desc, doc_id limit 10""")
 def hybrid_topk(spark, sf):
@@ -201,7 +202,7 @@ def hybrid_topk(spark, sf):
     near = s.vector_topk(vectors, s.vector_of(vectors, "doc_id", 0), 50, key="doc_id")
     relevant = s.bm25_topk(documents(spark, sf), QUERY, 50, key="doc_id", text="text")
     fused = s.hybrid_topk(near, relevant, key="doc_id")
-    return fused.withColumns({c: F.col(c).cast("long") for c in ("vector_rank", "keyword_rank")})
+    return fused.withColumns({c: F.col(c).cast("long") for c in ("vector_rank", "keyword_rank")}).fillna(0)
 
 
 _CHUNK_BM25 = """, docs as (select chunk_id, list_filter(string_split_regex(lower(chunk_text), '[^a-z0-9]+'),

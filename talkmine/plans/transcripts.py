@@ -87,14 +87,16 @@ def chunk_sentence_aligned(spark, sf):
 
 
 @query("chunk_neighbors", sql("""
-select chunk_id, lag(chunk_id) over o as previous_segment_id, lead(chunk_id) over o as next_segment_id,
- length(lag(chunk_text) over o) as previous_chars, length(lead(chunk_text) over o) as next_chars
+select chunk_id, coalesce(lag(chunk_id) over o, '') as previous_segment_id,
+ coalesce(lead(chunk_id) over o, '') as next_segment_id,
+ coalesce(length(lag(chunk_text) over o), 0) as previous_chars,
+ coalesce(length(lead(chunk_text) over o), 0) as next_chars
 from chunks window o as (partition by video_id order by w)""", "chunks"))
 def chunk_neighbors(spark, sf):
     return chunking.with_neighbors(chunks(spark, sf)).select(
         "chunk_id", "previous_segment_id", "next_segment_id",
         F.length("previous_text").cast("long").alias("previous_chars"),
-        F.length("next_text").cast("long").alias("next_chars"))
+        F.length("next_text").cast("long").alias("next_chars")).fillna("").fillna(0)
 
 
 @query("episode_excerpt", sql("""
