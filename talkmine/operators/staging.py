@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
-from talkmine.functions import segments as seg
 from talkmine.functions.text import (
-    clean_text, deep_link, is_artifact, present, quality_tier, ratio, safe_ts, space_count,
+    clean_text, deep_link, is_artifact, quality_tier, ratio, safe_ts, space_count,
 )
 
 EPISODE_COLUMNS = {
@@ -139,7 +138,3 @@ def refine(
         hits = hits.filter(F.col("publish_date") <= F.lit(date_to).cast("date"))
     order = {"relevance": F.desc(score), "date": F.desc("publish_date"), "channel": F.asc("channel_name")}
     return hits.orderBy(order[sort], F.asc(key))
-
-
-def payload_has_text(payload: DataFrame) -> DataFrame:
-    return payload.filter(present(F.col("video_id")) & (seg.segment_count(F.col("segments")) > 0))
