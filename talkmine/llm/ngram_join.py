@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmine.llm.bitmap import bitmap, hits
 from talkmine.llm.partenum import Scheme, signatures
 from talkmine.llm.text import Words, mix, shingle_sets, slices
 from talkmine.operators.components import connected
@@ -25,6 +26,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 #: signatures that one task of the meeting stage holds
 SIGNATURES_PER_TASK = 1_000_000
+#: sets that all later ones with the same signature are compared with
+PIVOTS = 6
 #: members of a signature group that are compared with each other at once
 BLOCK = 256
 _U64 = np.uint64
@@ -57,25 +60,43 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def shingle_table(docs: DataFrame, length: int = SHINGLE_WORDS, full: bool = False) -> DataFrame:
-    """key, doc_id, n_shingles, set_id and sketch of each document; with ``full`` also the features."""
-    names = ["key", "doc_id", "n_shingles", "set_id", "sketch"] + ["features"] * full
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * (1 + full)
+def shingle_table(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
+    """key, doc_id, n_shingles, set_id and sketch of each document."""
 
     def compute(batches):
         for batch, a, sets in _each_set(batches, length):
-            columns = [
+            yield pa.RecordBatch.from_arrays([
                 batch.column("key").slice(a, len(sets)),
                 batch.column("doc_id").slice(a, len(sets)),
-                [len(s) for s in sets],
-                [_set_id(s) if len(s) else None for s in sets],
-                [_sketch(s) if len(s) else None for s in sets],
-            ] + [[s.view(np.int64) for s in sets]] * full
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                names=["key", "doc_id", "n_shingles", "set_id", "sketch"])
+
+    return docs.select(row_key(docs).alias("key"), "doc_id", "text").mapInArrow(
+        compute, "key long, doc_id long, n_shingles long, set_id long, sketch array<long>")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, length: int) -> DataFrame:
+    """(set_id, features) of the sets with the given ids, made anew from the texts where they are.
+
+    A bitmap of the ids keeps nearly all other sets inside their task; each task gives a set once.
+    """
+    box = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
+
+    def compute(batches):
+        given: set[int] = set()
+        for _, _, sets in _each_set(batches, length):
+            own = {_set_id(s): s for s in sets if len(s)}
+            names = np.array(list(own), dtype=np.int64)
+            chosen = [i for i in names[hits(names, box.value)].tolist() if i not in given]
+            given.update(chosen)
             yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                [pa.array(chosen, pa.int64()), pa.array([own[i].view(np.int64) for i in chosen], pa.list_(pa.int64()))],
+                names=["set_id", "features"])
 
-    schema = "key long, doc_id long, n_shingles long, set_id long, sketch array<long>" + ", features array<long>" * full
-    return docs.select(row_key(docs).alias("key"), "doc_id", "text").mapInArrow(compute, schema)
+    found = docs.select("text").mapInArrow(compute, "set_id long, features array<long>")
+    return found.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = SHINGLE_WORDS) -> DataFrame:
@@ -113,30 +134,51 @@ def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = S
 def _meet(batches, buffer: int = 1 << 18):
     """Rows (sig, pivot, member) of the signatures that several sets share.
 
-    The first set seen with a signature is its pivot; later ones stream past, so a task holds
-    its distinct signatures and never all sets of a frequent one.
+    The first set seen with a signature is its pivot, and all later ones are its members; they
+    stream past, so a task holds its distinct signatures and never all sets of a frequent one.
+    The next few sets are further pivots, whose pairs with later ones come without signature,
+    once for each buffer.
     """
-    known, pivots = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pivots = np.zeros((0, PIVOTS), np.int64)
     sigs, owners, held = [], [], 0
 
     def settle():
-        nonlocal known, pivots, sigs, owners, held
+        nonlocal known, count, pivots, sigs, owners, held
         s, o = np.concatenate(sigs), np.concatenate(owners)
         sigs, owners, held = [], [], 0
         order = np.lexsort((o, s))
         s, o = s[order], o[order]
+        once = np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1])]
+        s, o = s[once], o[once]
         head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        size = np.diff(np.r_[head, len(s)])
+        place = np.searchsorted(known, s[head])
+        fresh = np.ones(len(head), bool)
+        fresh[place < len(known)] = known[place[place < len(known)]] != s[head][place < len(known)]
+        known = np.insert(known, place[fresh], s[head][fresh])
+        count = np.insert(count, place[fresh], 0)
+        pivots = np.insert(pivots, place[fresh], 0, axis=0)
         at = np.searchsorted(known, s[head])
-        old = (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == s[head]) if len(known) else \
-            np.zeros(len(head), bool)
-        pivot = np.where(old, pivots[np.minimum(at, max(len(known) - 1, 0))] if len(known) else 0, o[head])
-        fresh = ~old
-        pivots = np.insert(pivots, at[fresh], o[head][fresh])
-        known = np.insert(known, at[fresh], s[head][fresh])
-        of = np.repeat(pivot, np.diff(np.r_[head, len(s)]))
-        keep = of != o
-        return pa.RecordBatch.from_arrays(
-            [pa.array(s[keep]), pa.array(of[keep]), pa.array(o[keep])], names=["sig", "pivot", "member"])
+        had = count[at]
+        group = np.repeat(np.arange(len(head)), size)
+        ordinal = np.arange(len(s)) - head[group]
+        out = []
+        for j in range(PIVOTS):
+            new = (had <= j) & (j - had < size)
+            pivots[at[new], j] = o[head[new] + (j - had)[new]]
+            count[at[new]] = j + 1
+            pivot = pivots[at, j][group]
+            later = (j < count[at])[group] & (ordinal > (j - had)[group]) & (o != pivot)
+            pairs = np.stack([s[later], pivot[later], o[later]])
+            if j:
+                pairs = np.unique(pairs[1:], axis=1)
+            out.append(pairs)
+        first, more = out[0], np.concatenate(out[1:], axis=1)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.r_[first[0], np.zeros(more.shape[1], np.int64)],
+                     mask=np.r_[np.zeros(first.shape[1], bool), np.ones(more.shape[1], bool)]),
+            pa.array(np.r_[first[1], more[0]]), pa.array(np.r_[first[2], more[1]])], names=["sig", "pivot", "member"])
 
     for batch in batches:
         counts = batch.column("counts").flatten().to_numpy()
@@ -150,7 +192,7 @@ def _meet(batches, buffer: int = 1 << 18):
 
 
 def signature_groups(docs: DataFrame, n_features: int, scheme: Scheme, length: int = SHINGLE_WORDS) -> DataFrame:
-    """(sig, pivot, member) of all signatures that at least two sets have."""
+    """(sig, pivot, member) of all signatures that at least two sets have; null sig: further pivots."""
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 -(-n_features // SIGNATURES_PER_TASK))
     packed = signature_rows(docs, scheme, 4 * tasks, length)
@@ -182,17 +224,10 @@ def _open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     return pairs.filter(_at_most("of_a", "of_b", percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, percent: int, length: int) -> DataFrame:
-    """Those of the candidate pairs that are similar, on their sets made anew from the texts.
-
-    Only documents in a pair are read again: one for each set.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    of_docs = cut_lineage(table.join(ids, "set_id", "left_semi").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    chosen = docs.join(of_docs, "doc_id", "left_semi")
-    sets = cut_lineage(shingle_table(chosen, length, full=True).select("set_id", "features")
-                       .dropDuplicates(["set_id"]))
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> DataFrame:
+    """Those of the candidate pairs that are similar, on the sets themselves."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    sets = cut_lineage(sets_of(docs, ids, length))
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("features").alias(f"of_{side}")), side)
     common = F.size(F.array_intersect("of_a", "of_b"))
@@ -201,61 +236,88 @@ def verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, percent: int,
 
 
 def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of blocks of those groups whose members, the pivot aside, are not all connected.
+    """Blocks, and pairs of blocks, of those groups whose members, the pivot aside, are not all
+    connected.
 
-    A member stands once for its component only if it is alone; members of one component are
-    never compared. Blocks hold about ``BLOCK`` members, so a frequent signature is many tasks.
+    Of groups with the same members one is enough. Blocks hold about ``BLOCK`` members, so a
+    frequent signature is many tasks.
     """
     label = F.coalesce("component", "member")
     members = groups.select("sig", "member").join(labels.withColumnRenamed("node", "member"), "member", "left")
     members = cut_lineage(members.select("sig", "member", label.alias("component")))
-    several = cut_lineage(members.groupBy("sig").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-        .filter("x <> y").select("sig", "size"))
+    several = members.groupBy("sig").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"),
+        F.sum(F.shiftright(F.xxhash64("member"), 24)).alias("all"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("same"))
+    several = cut_lineage(several.filter("x <> y").groupBy("size", "all", "same").agg(F.min("sig").alias("sig")).select(
+        "sig", F.ceil(F.col("size") / BLOCK).alias("blocks")))
     members = members.join(several, "sig").join(sketches.withColumnRenamed("set_id", "member"), "member")
-    n = F.ceil(F.col("size") / BLOCK)
-    members = members.withColumn("block", F.pmod(F.xxhash64("member"), n)).withColumn("blocks", n)
-    blocks = cut_lineage(members.groupBy("sig", "block", "blocks").agg(F.collect_list(
-        F.struct("member", "component", "n", "sketch")).alias("members")))
-    left = blocks.select("sig", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"),
-                         F.col("members").alias("left"), F.col("block").alias("own"))
-    return left.join(blocks.select("sig", "block", "members"), ["sig", "block"]).select(
-        "left", F.when(F.col("own") != F.col("block"), F.col("members")).alias("right"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
+    blocks = members.groupBy("sig", "block", "blocks").agg(F.collect_list(
+        F.struct("member", "component", "n", "sketch")).alias("members"))
+    none = F.lit(None).cast(blocks.schema["members"].dataType)
+    small = blocks.filter("blocks = 1").select(F.col("members").alias("left"), none.alias("right"))
+    large = cut_lineage(blocks.filter("blocks > 1"))
+    left = large.select("sig", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"),
+                        F.col("members").alias("left"), F.col("block").alias("own"))
+    return small.union(left.join(large.select("sig", "block", "members"), ["sig", "block"]).select(
+        "left", F.when(F.col("own") != F.col("block"), F.col("members")).alias("right")))
+
+
+class _Block:
+    """Members of one block: ids, components, sizes, and sketches by their width."""
+
+    def __init__(self, members: pa.StructArray) -> None:
+        self.member, self.component, self.n = (members.field(f).to_numpy() for f in ("member", "component", "n"))
+        sketches = members.field("sketch")
+        begin = sketches.offsets.to_numpy()
+        values, begin = sketches.values.to_numpy()[begin[0]:begin[-1]], begin - begin[0]
+        width = np.diff(begin)
+        self.by_width = {w: (at, values[begin[at][:, None] + np.arange(w)]) for w in np.unique(width).tolist()
+                         for at in [np.flatnonzero(width == w)]}
+
+
+def _close(x: _Block, y: _Block, percent: int) -> np.ndarray:
+    """Places of the pairs of two blocks in different components that sketches leave open."""
+    out = [np.zeros((0, 2), np.int64)]
+    for w, (at, a) in x.by_width.items():
+        for v, (to, b) in y.by_width.items():
+            common = min(w, v)
+            if max(w, v) > 2 * common:  # sizes too different
+                continue
+            a_, b_ = (np.bitwise_xor.reduce(m.reshape(len(m), -1, common), axis=1) for m in (a, b))
+            for i in range(0, len(at), step := max(1, (1 << 21) // (len(to) * common))):
+                rows = at[i:i + step]
+                n, m = x.n[rows][:, None], y.n[to][None, :]
+                fit = (x.component[rows][:, None] != y.component[to][None, :]) & (
+                    np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+                differ = np.bitwise_count(a_[i:i + step, None, :] ^ b_[None, :, :]).sum(axis=2, dtype=np.int64)
+                p, q = np.nonzero(fit & (differ * (100 + percent) <= (n + m) * (100 - percent)))
+                out.append(np.stack([rows[p], to[q]], axis=1))
+    return np.concatenate(out)
 
 
 def _cross_pairs(percent: int):
-    """Compare two blocks of members: pairs of different components that sketches leave open."""
-
-    def fold(sketch: np.ndarray, width: int) -> np.ndarray:
-        return np.bitwise_xor.reduce(sketch.reshape(-1, width), axis=0)
-
-    def read(members) -> dict[str, np.ndarray]:
-        return {k: np.array([m[k] for m in members]) for k in ("member", "component", "n")} | {
-            "sketch": [np.array(m["sketch"], dtype=np.int64) for m in members]}
-
-    def compare(x, y, same: bool):
-        for i in range(len(x["n"])):
-            n = x["n"][i]
-            fit = (y["component"] != x["component"][i]) & (np.minimum(n, y["n"]) * 100 >= np.maximum(n, y["n"]) * percent)
-            if same:
-                fit[:i + 1] = False
-            for width in {len(y["sketch"][j]) for j in np.flatnonzero(fit)}:
-                at = np.array([j for j in np.flatnonzero(fit) if len(y["sketch"][j]) == width])
-                common = min(width, len(x["sketch"][i]))
-                mine = fold(x["sketch"][i], common)
-                theirs = np.stack([y["sketch"][j] for j in at]).reshape(len(at), -1, common)
-                differ = np.bitwise_count(np.bitwise_xor.reduce(theirs, axis=1) ^ mine).sum(axis=1, dtype=np.int64)
-                for j in at[differ * (100 + percent) <= (n + y["n"][at]) * (100 - percent)]:
-                    yield x["member"][i], y["member"][j]
+    """Compare blocks with themselves or each other; each task gives a pair once a batch."""
+
+    def members(batch, side: str, i: int) -> _Block:
+        column = batch.column(side)
+        a, b = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
+        return _Block(column.values.slice(a, b - a))
 
     def compute(batches):
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                x = read(left.as_py())
-                y = x if not right.is_valid else read(right.as_py())
-                found.update((min(p), max(p)) for p in compare(x, y, not right.is_valid))
-            pairs = np.array(list(found), dtype=np.int64).reshape(-1, 2)
+            found = [np.zeros((0, 2), np.int64)]
+            crosses = batch.column("right").is_valid().to_pylist()
+            for i in range(batch.num_rows):
+                x = members(batch, "left", i)
+                if len(x.n) < 2 and not crosses[i]:
+                    continue
+                y = members(batch, "right", i) if crosses[i] else x
+                at = _close(x, y, percent)
+                if not crosses[i]:
+                    at = at[at[:, 0] < at[:, 1]]
+                found.append(np.stack([x.member[at[:, 0]], y.member[at[:, 1]]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return compute
@@ -280,15 +342,16 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
     n_features = table.agg(F.sum("n_shingles")).first()[0] or 0
 
     groups = cut_lineage(signature_groups(docs, n_features, scheme, length).distinct())
-    stars = groups.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct()
+    low, high = F.least("pivot", "member"), F.greatest("pivot", "member")
+    stars = groups.select(low.alias("a"), high.alias("b")).distinct()
     first = cut_lineage(verified(
-        cut_lineage(_open_pairs(stars, sketches, percent)), docs, table, percent, length))
+        cut_lineage(_open_pairs(stars, sketches, percent)), docs, percent, length))
     labels = cut_lineage(connected(first))
 
-    rest = _blocks(groups, labels, sketches).repartition(docs.sparkSession.sparkContext.defaultParallelism * 4)
+    rest = _blocks(groups.filter("sig is not null"), labels, sketches)
     rest = cut_lineage(rest.mapInArrow(_cross_pairs(percent), "a long, b long").distinct())
     if not rest.isEmpty():
-        second = cut_lineage(verified(rest, docs, table, percent, length))
+        second = cut_lineage(verified(rest, docs, percent, length))
         labels = cut_lineage(connected(labels.toDF("a", "b").union(second)))
 
     lows = nodes.select("set_id", "low").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -309,8 +372,19 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT, length: int = SHI
     kept = grouped.groupBy("root").agg(F.max("first")["key"].alias("key"), F.count_if(F.col("place") == F.col("first")).alias("n"))
     gone = cut_lineage(grouped.filter("place <> first").select("key").distinct())
     repeated = cut_lineage(kept.filter("n > 1").select("key"))
+    changed = cut_lineage(gone.withColumn("stays", F.lit(False)).union(repeated.withColumn("stays", F.lit(True))))
+    box = docs.sparkSession.sparkContext.broadcast(bitmap(changed.select("key")))
     named = docs.withColumn("__row_key", row_key(docs))
-    key = F.col("__row_key")
-    alone = named.join(gone.union(repeated), key == F.col("key"), "left_anti")
-    once = named.join(repeated, key == F.col("key"), "left_semi").dropDuplicates(["__row_key"])
-    return alone.union(once).select(*[f"`{c}`" for c in docs.columns])
+
+    def touched(yes: bool):
+        def compute(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(hits(batch.column("__row_key").to_numpy(), box.value) == yes))
+        return named.mapInArrow(compute, named.schema)
+
+    asked = touched(True).join(changed.withColumnRenamed("key", "__row_key").withColumnRenamed("stays", "__stays"),
+                               "__row_key", "left")
+    once = asked.filter("__stays").dropDuplicates(["__row_key"])
+    columns = [f"`{c}`" for c in docs.columns]
+    return touched(False).select(*columns).union(asked.filter("__stays is null").select(*columns)).union(
+        once.select(*columns))
