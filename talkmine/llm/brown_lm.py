@@ -19,6 +19,8 @@ from talkmine.session import cut_lineage
 
 #: words that exchange puts into classes, classes for them, classes of the other words by length
 CLASS_WORDS, CLASSES, LENGTHS = 1024, 64, 12
+#: steps in which counts double
+_STEPS = 64
 #: frequent words whose counts every task holds; those of the others are shuffled
 FREQUENT = 65_536
 ROUNDS = 6
@@ -175,11 +177,20 @@ def exchange(bigrams: np.ndarray, n_words: int, classes: int = CLASSES, rounds:
     return own
 
 
+def _frequent_from(counts: DataFrame, most: int = FREQUENT) -> int:
+    """Least step of the logarithm of a count such that at most ``most`` words reach it."""
+    steps = counts.groupBy(F.floor(F.log2("n") * _STEPS).alias("step")).agg(F.count("*").alias("words")).toPandas()
+    steps = steps.sort_values("step", ascending=False)
+    enough = steps[steps["words"].cumsum() <= most]
+    return int(enough["step"].min()) if len(enough) else 1 << 20
+
+
 def train(training: DataFrame) -> dict:
     """Model of the texts of ``training``: word counts as a table, and bounded arrays."""
     counts = cut_lineage(word_counts(training))
     totals = counts.agg(F.sum("n"), F.count("*")).first()
-    most = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    most = counts.filter(F.floor(F.log2("n") * _STEPS) >= _frequent_from(counts)).toPandas()
+    most = most.sort_values(["n", "word"], ascending=[False, True])
     of_words = most[most["word"] != END]
     chosen = of_words[:CLASS_WORDS]
     units = _Units(chosen["word"].to_numpy(dtype=np.int64))
