@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from talkmine import fixed_values as fixed
 
 
+#: what separates words, in Java and in RE2
+NOT_IN_WORD = r"[^\p{L}\p{N}]+"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -76,6 +80,12 @@ def word_count(c: Column) -> Column:
     return F.coalesce(count, F.lit(0)).cast("long")
 
 
+def padded(number: Column, width: int) -> Column:
+    """Digits of a number with leading zeros; a longer number stays whole."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def watch_url(video_id: Column) -> Column:
     return F.concat(F.lit(fixed.WATCH_URL), video_id)
 
@@ -137,8 +147,8 @@ def digest(columns: list[str]) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case runs of a-z and 0-9."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits of any script."""
+    return F.filter(F.split(F.lower(c), NOT_IN_WORD), lambda t: t != "")
 
 
 def unfence(c: Column) -> Column:

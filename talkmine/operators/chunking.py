@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talkmine.functions import segments as seg
-from talkmine.functions.text import deep_link, quality_tier, safe_ts, space_count
+from talkmine.functions.text import deep_link, padded, quality_tier, safe_ts, space_count
 
 CONTEXT = ["video_id", "channel_id", "channel_name", "genre"]
 
 
 def chunk_id(video_id: Column, window: Column) -> Column:
-    return F.concat(video_id, F.lit("_chunk_"), F.lpad(window.cast("string"), 4, "0"))
+    return F.concat(video_id, F.lit("_chunk_"), padded(window, 4))
 
 
 def _episode_context() -> list[Column]:

@@ -25,6 +25,7 @@ INSTRUCTIONS = {
               "speaker_name, speaker_role, attribution_confidence, claim_type, topic and sentiment.",
 }
 # Characters of text that fit a prompt.
+CLAIM_CHARS = {"claim_text": 1000, "speaker": 200, "topic": 100}
 PROMPT_CHARS = {"topics": 1500, "entities": 1500, "summary": 3000, "claims": 2000}
 
 
@@ -32,12 +33,22 @@ def build_prompts(
     df: DataFrame, kind: str, key: str = "chunk_id", text: str = "chunk_text",
     context: list[str] = (), chars: int | None = None, instruction: str | None = None,
 ) -> DataFrame:
-    """One prompt per row: instruction, context lines, and the text up to the prompt size."""
+    """Prompts for each row: instruction, context lines, and a part of the text.
+
+    A text longer than the prompt size goes into several prompts (``part`` of ``parts``, from 1),
+    cut at blanks where there are any, that show all of it together.
+    """
     limit = PROMPT_CHARS[kind] if chars is None else chars
+    whole = strip_ws(F.coalesce(text, F.lit("")))
+    pieces = F.regexp_extract_all(whole, F.lit(rf"(?s)\S.{{0,{limit - 1}}}(?=\s|$)|\S{{1,{limit}}}"), F.lit(0))
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
     lines = [F.lit(instruction or INSTRUCTIONS[kind])]
     lines += [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))) for c in context]
-    lines.append(F.concat(F.lit("text: "), F.left(F.coalesce(text, F.lit("")), F.lit(limit))))
-    return df.select(key, F.lit(kind).alias("kind"), F.concat_ws("\n", *lines).alias("prompt"))
+    lines.append(F.concat(F.lit("text: "), F.col("_piece")))
+    cut = df.withColumn("_pieces", pieces).select(
+        "*", F.size("_pieces").alias("parts"), F.posexplode("_pieces").alias("_pos", "_piece"))
+    return cut.select(key, F.lit(kind).alias("kind"), (F.col("_pos") + 1).alias("part"), "parts",
+                      F.concat_ws("\n", *lines).alias("prompt"))
 
 
 # --- answers -----------------------------------------------------------------------------
@@ -57,12 +68,18 @@ def _domain(c: Column, allowed: list[str], default: str, fold=F.upper) -> Column
 
 
 def sanitize_claims(
-    claims: DataFrame, min_chars: int = 10, reset_unknown: bool = True, model: str = "unspecified"
+    claims: DataFrame, min_chars: int = 10, reset_unknown: bool = True, model: str = "unspecified",
+    chars: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Valid values, length limits and a repeatable id for each parsed claim.
+    """Valid values and a repeatable id for each parsed claim.
 
-    The id hashes chunk and text, so a re-run task writes the same row again.
+    The id hashes chunk and text, so a re-run task writes the same row again. A text that an
+    answer repeats is one claim: the one named first. ``chars`` limits claim_text, topic and
+    speaker; nothing is cut without it. ``CLAIM_CHARS`` has the limits of the claims table.
     """
+    def limited(name: str, c: Column) -> Column:
+        return F.left(c, F.lit(chars[name])) if chars and name in chars else c
+
     text = strip_ws(F.coalesce("claim_text", F.lit("")))
     speaker = strip_ws(F.coalesce("speaker_name", F.lit("Unknown")))
     unknown = (speaker == "") | (F.lower(speaker) == "unknown")
@@ -73,13 +90,19 @@ def sanitize_claims(
         confidence = F.when(unknown, "UNKNOWN").otherwise(confidence)
     optional = [c for c in ("video_id", "channel_name", "youtube_url") if c in claims.columns]
     dated = [F.col("publish_date").try_cast("date").alias("claim_date")] if "publish_date" in claims.columns else []
-    return claims.filter(F.length(text) >= min_chars).select(
+    long_enough = claims.filter(F.length(text) >= min_chars)
+    if "claim_pos" in claims.columns:
+        rest = [c for c in claims.columns if c != "chunk_id"]
+        first = F.min_by(F.struct(*rest), F.struct("claim_pos", F.to_json(F.struct(*rest)))).alias("c")
+        long_enough = long_enough.withColumn("_text", text).groupBy("chunk_id", "_text").agg(first).select(
+            "chunk_id", "c.*")
+    return long_enough.select(
         F.sha2(F.concat("chunk_id", text), 256).alias("claim_id"), "chunk_id", *optional,
-        F.left(text, F.lit(1000)).alias("claim_text"),
-        F.left(strip_ws(F.coalesce("topic", F.lit("General"))), F.lit(100)).alias("topic"),
+        limited("claim_text", text).alias("claim_text"),
+        limited("topic", strip_ws(F.coalesce("topic", F.lit("General")))).alias("topic"),
         _domain(F.col("claim_type"), fixed.CLAIM_TYPES, "OPINION").alias("claim_type"),
         _domain(F.col("sentiment"), fixed.SENTIMENTS, "neutral", F.lower).alias("sentiment"),
-        F.left(F.when(unknown, "Unknown").otherwise(speaker), F.lit(200)).alias("speaker"),
+        limited("speaker", F.when(unknown, "Unknown").otherwise(speaker)).alias("speaker"),
         role.alias("speaker_role"), confidence.alias("attribution_confidence"),
         F.lit("LLM_INFERRED").alias("attribution_source"), *dated,
         F.lit(model).alias("extraction_model"),

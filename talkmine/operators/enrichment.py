@@ -8,7 +8,11 @@ from pyspark.sql.window import Window
 
 from talkmine.functions.ranking import skew_join, top_k
 from talkmine.functions.segments import runs
-from talkmine.functions.text import let, tokens
+from talkmine.functions.text import NOT_IN_WORD, let, tokens
+
+
+#: two or more capitalised words of any script
+NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"
 
 
 def term_counts(terms: Column) -> Column:
@@ -19,7 +23,7 @@ def term_counts(terms: Column) -> Column:
 
 
 def long_tokens(text: Column, least: int = 3) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
+    return F.filter(F.split(F.lower(text), NOT_IN_WORD), lambda t: F.length(t) >= least)
 
 
 def postings(docs: DataFrame, key: str = "chunk_id", text: str = "chunk_text",
@@ -55,7 +59,7 @@ def tfidf_topics(chunks: DataFrame, k: int = 5, least: int = 4) -> DataFrame:
 
 def cap_entities(chunks: DataFrame) -> DataFrame:
     """Runs of two or more capitalised words per chunk, with counts."""
-    found = F.regexp_extract_all("chunk_text", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))
+    found = F.regexp_extract_all("chunk_text", F.lit(NAME), F.lit(0))
     return chunks.select("chunk_id", F.explode(term_counts(found)).alias("e")).select(
         "chunk_id", F.col("e.term").alias("entity"), F.col("e.tf").alias("mentions"))
 

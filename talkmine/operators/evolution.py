@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
 from talkmine.functions.ranking import top_k
-from talkmine.functions.text import icontains, known_speaker, present, strict_json, tokens
+from talkmine.functions.text import icontains, known_speaker, present, strict_json, strip_ws, tokens
 from talkmine.schemas import DRIFT_RESPONSE
 
 CLAIM_FIELDS = ["claim_id", "claim_text", "speaker", "channel_name", "claim_date"]
@@ -33,8 +33,8 @@ def topic_pairs(
     """Earliest and latest claim of every topic that spans at least ``min_days``.
 
     One aggregate finds both ends; it combines on the map side, so a topic with a third of
-    all claims costs one row per task. With ``max_topics``, the topics with most claims are
-    taken from twice as many candidates, as a budget for whoever classifies the pairs.
+    all claims costs one row per task. ``max_topics`` is a budget for whoever classifies the
+    pairs: the topics with most claims among those whose pair is not in ``done``.
     """
     item = F.struct(*CLAIM_FIELDS)
     # Latest: highest date, then lowest id, hence the order by days before the far future.
@@ -47,8 +47,6 @@ def topic_pairs(
         "time_delta_days", F.datediff(F.col("b.claim_date"), F.col("a.claim_date")).cast("long")
     ).filter((F.col("time_delta_days") >= min_days) & (F.col("claim_count") >= 2))
     most = [F.desc("claim_count"), F.asc("topic")]
-    if max_topics is not None:
-        spans = top_k(spans, most, 2 * max_topics)
     pairs = describe_pairs(spans.filter(F.col("a.claim_id") != F.col("b.claim_id")))
     if done is not None:
         pairs = pairs.join(done.select("evolution_id"), "evolution_id", "left_anti")
@@ -75,16 +73,20 @@ def describe_pairs(pairs: DataFrame) -> DataFrame:
         a["claim_text"].alias("original_text"), b["claim_text"].alias("evolved_text"))
 
 
-def parse_drift(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    """Drift type and analysis of each answer; unknown types are CONFIRMED, bad JSON is skipped."""
-    text = F.trim(F.col(raw))
+def parse_drift(responses: DataFrame, raw: str = "raw", chars: int | None = None) -> DataFrame:
+    """Drift type and analysis of each answer; unknown types are CONFIRMED, bad JSON is skipped.
+
+    The analysis is kept whole unless ``chars`` limits it.
+    """
+    text = strip_ws(F.col(raw))
     body = F.when(text.startswith("```"), F.regexp_replace(text, r"(?m)^\s*```.*$", "")).otherwise(text)
     kept = [c for c in responses.columns if c != raw]
     found = F.col("_found")
-    kind = F.upper(F.trim(F.coalesce(found["drift_type"], F.lit(""))))
+    kind = F.upper(strip_ws(F.coalesce(found["drift_type"], F.lit(""))))
+    analysis = strip_ws(F.coalesce(found["analysis"], F.lit("")))
     return responses.withColumn("_found", strict_json(body, DRIFT_RESPONSE)).filter(found.isNotNull()).select(
         *kept, F.when(kind.isin(fixed.DRIFT_TYPES), kind).otherwise("CONFIRMED").alias("drift_type"),
-        F.left(F.trim(F.coalesce(found["analysis"], F.lit(""))), F.lit(1000)).alias("analysis"))
+        (analysis if chars is None else F.left(analysis, F.lit(chars))).alias("analysis"))
 
 
 def evolution_rows(pairs: DataFrame, drifts: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
 from talkmine.functions import segments as seg
 from talkmine.functions.text import digest, ratio
+from talkmine.session import cut_lineage
 
 
 def _per(num: Column, den: Column) -> Column:
@@ -203,14 +204,28 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.skewness("value").alias("skewness"))
 
 
-def column_quantiles(df: DataFrame, columns: list[str], at=(0.25, 0.5, 0.75), accuracy=10000) -> DataFrame:
-    """Approximate quantiles from mergeable sketches of bounded size."""
+def column_quantiles(df: DataFrame, columns: list[str], at=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Quantiles of each column: the least value that the given share of values doesn't exceed.
+
+    Equal values are counted first. Their running count adds up ranges of values, found by sorting,
+    so no task needs all values of a column.
+    """
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-        for c in columns])).alias("s")).select("s.*")
-    found = F.percentile_approx("value", list(at), accuracy)
-    return stacked.groupBy("column_name").agg(found.alias("q")).select(
-        "column_name", *[F.get("q", F.lit(i)).alias(f"q{int(p * 100):02d}") for i, p in enumerate(at)])
+        for c in columns])).alias("s")).select("s.*").filter("value is not null")
+    bins = stacked.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = cut_lineage(bins.repartitionByRange(parts, "column_name", "value").withColumn(
+        "part", F.spark_partition_id()))
+    sums = bins.groupBy("column_name", "part").agg(F.sum("n").alias("s"))
+    column = Window.partitionBy("column_name")
+    sums = sums.withColumns({"before": F.sum("s").over(column.orderBy("part")) - F.col("s"),
+                             "total": F.sum("s").over(column)}).drop("s")
+    inside = Window.partitionBy("column_name", "part").orderBy("value")
+    seen = bins.join(F.broadcast(sums), ["column_name", "part"]).withColumn(
+        "seen", F.col("before") + F.sum("n").over(inside))
+    return seen.groupBy("column_name").agg(*[
+        F.min(F.when(F.col("seen") >= F.col("total") * p, F.col("value"))).alias(f"q{int(p * 100):02d}") for p in at])
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkmine import fixed_values as fixed
 from talkmine.functions.ranking import literal_table, top_k
 from talkmine.functions.text import pct, quote, strip_ws
+from talkmine.operators import components
 from talkmine.session import cut_lineage
 
 SHOW_SCHEMA = "channel_name string, hosts array<string>, patterns array<struct<pattern:string,groups:int>>"
@@ -186,28 +187,11 @@ def similar_names(names: DataFrame, max_dist: int = 1) -> DataFrame:
     ).select(F.col("a.folded").alias("src"), F.col("b.folded").alias("dst")).distinct()
 
 
-def connected(vertices: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Smallest vertex of each connected component, as (vertex, component).
-
-    Each round takes the smallest label among the neighbours and then follows labels one
-    step further, so long chains shrink fast. Every round is checkpointed.
-    """
-    both = cut_lineage(edges.select("src", "dst").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut_lineage(vertices.select(F.col("folded").alias("vertex"), F.col("folded").alias("component")))
-    for _ in range(max_rounds):
-        lowest = both.join(labels, F.col("dst") == F.col("vertex")).groupBy("src").agg(
-            F.min("component").alias("near"))
-        pulled = labels.join(lowest, F.col("vertex") == F.col("src"), "left").select(
-            "vertex", F.col("component").alias("old"),
-            F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = pulled.select(F.col("vertex").alias("component"), F.col("component").alias("further"))
-        moved = cut_lineage(pulled.join(jump, "component").select(
-            "vertex", "old", F.least("component", "further").alias("component")))
-        labels = moved.select("vertex", "component")
-        if moved.filter(F.col("old") != F.col("component")).isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest vertex of each connected component, as (vertex, component)."""
+    found = components.connected(edges.select("src", "dst")).withColumnRenamed("node", "vertex")
+    return vertices.select(F.col("folded").alias("vertex")).join(found, "vertex", "left").select(
+        "vertex", F.coalesce("component", "vertex").alias("component"))
 
 
 def resolve_entities(names: DataFrame, max_dist: int = 1, name: str = "name", last_names: bool = False) -> DataFrame:

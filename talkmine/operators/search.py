@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from talkmine import fixed_values as fixed
-from talkmine.functions.ranking import skew_join, top_k
+from talkmine.functions.ranking import ranked, skew_join, top_k
 from talkmine.functions.text import tokens
-from talkmine.functions.vectors import best_of_block, cosine_to, top_of_partition, unit, unit_rows
+from talkmine.functions.vectors import (
+    best_of_block, cosine_to, top_of_partition, unit, unit_rows, with_direction,
+)
 
 # Query vectors up to this size are sent to every task; more are joined block by block.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -26,9 +28,13 @@ def vector_topk(vectors: DataFrame, query: Column, k: int = 8, key: str = "chunk
 
     ``vector_of`` gives one from a table, ``unit(F.lit([...]))`` from plain numbers.
     """
-    scored = vectors.withColumn("_query", query).withColumn(
-        "score", F.round(cosine_to(F.col(vector), F.col("_query")), 6))
-    return top_k(scored.drop(vector, "_query"), [F.desc_nulls_last("score"), key], k)
+    return top_k(vector_scores(vectors, query, vector), [F.desc_nulls_last("score"), key], k)
+
+
+def vector_scores(vectors: DataFrame, query: Column, vector: str = "embedding") -> DataFrame:
+    """Cosine of every vector to a ``query`` of length 1."""
+    return vectors.withColumn("_query", query).withColumn(
+        "score", F.round(cosine_to(F.col(vector), F.col("_query")), 6)).drop(vector, "_query")
 
 
 def vector_of(vectors: DataFrame, key: str, value, vector: str = "embedding") -> Column:
@@ -45,10 +51,11 @@ def batch_search(
     Vectors are scored in blocks with numpy, and each task keeps only its best ``k`` per
     query, so what is shuffled does not grow with the corpus. Query tables whose measured
     size fits ``broadcast_bytes`` go to every task; larger ones are cut into blocks that are
-    joined with blocks of vectors. Both ways give the same rows.
+    joined with blocks of vectors. Both ways give the same rows. Vectors without a direction
+    (NULL, all zero, or with a NULL or non-finite number) take no part.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("query"))
-    corpus = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    asked = with_direction(queries, vector).select(F.col(query_id).alias("query_id"), F.col(vector).alias("query"))
+    corpus = with_direction(vectors, vector).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     schema = T.StructType([
         T.StructField("query_id", asked.schema["query_id"].dataType),
         T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType())])
@@ -111,7 +118,7 @@ def similar_pairs(
     topic with a third of all claims is spread over many tasks. Only true pairs leave a task.
     """
     rows = claims.filter(F.col("topic").isNotNull() & F.col("claim_date").isNotNull()).join(
-        vectors.select(key, F.col(vector).alias("v")), key).select(
+        with_direction(vectors, vector).select(key, F.col(vector).alias("v")), key).select(
         "topic", F.col(key).alias("id"), F.unix_date("claim_date").alias("day"), "v")
     sizes = rows.groupBy("topic").agg(F.count("*").alias("n")).withColumn(
         "blocks", F.ceil(F.col("n") / block).cast("int"))
@@ -152,7 +159,7 @@ def corpus_stats(docs: DataFrame, text: str = "chunk_text") -> DataFrame:
 
 def query_terms(query: str) -> list[str]:
     import re
-    return sorted({t for t in re.split("[^a-z0-9]+", query.lower()) if t})
+    return sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
 
 
 def _term_weight(docs: Column, df: Column) -> Column:
@@ -163,18 +170,21 @@ def _term_part(tf: Column, doc_len: Column, avg_len: Column, k1: float, b: float
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))
 
 
-def bm25_scan(docs: DataFrame, terms: list[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_scan(docs: DataFrame, terms: list[str], key: str, text: str, k1: float = 1.2, b: float = 0.75,
+              where: Column | None = None) -> DataFrame:
     """Relevance of each document without an index: one scan for figures, one to score.
 
-    Nothing is shuffled but one row of figures per task.
+    Nothing is shuffled but one row of figures per task. ``where`` narrows what is scored; the
+    figures are those of all documents.
     """
-    words = docs.select(key, tokens(F.col(text)).alias("w"))
+    wanted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    words = docs.select(key, wanted.alias("wanted"), tokens(F.col(text)).alias("w"))
     figures = words.agg(F.struct(
         F.count("*").alias("docs"), F.avg(F.size("w")).alias("avg_len"),
         *[F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, t in enumerate(terms)])).scalar()
     hits = words.select(
         key, F.size("w").alias("doc_len"), F.filter("w", lambda w: w.isin(terms)).alias("h"),
-    ).filter(F.size("h") > 0).withColumn("f", figures)
+        "wanted").filter(F.col("wanted") & (F.size("h") > 0)).withColumn("f", figures)
     f = F.col("f")
 
     def part(i: int, term: str) -> Column:
@@ -195,27 +205,36 @@ def bm25_indexed(rows: DataFrame, stats: DataFrame, key: str, k1: float = 1.2, b
     return rows.join(F.broadcast(idf), "term").groupBy(key).agg(F.round(F.sum(part), 4).alias("score"))
 
 
-def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str = "chunk_id", text: str = "chunk_text",
-              index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """The ``k`` most relevant documents, from the text itself or from a stored index."""
+def bm25_topk(docs: DataFrame, query: str, k: int | None = 10, key: str = "chunk_id", text: str = "chunk_text",
+              index: DataFrame | None = None, stats: DataFrame | None = None,
+              where: Column | None = None) -> DataFrame:
+    """The ``k`` most relevant documents, from the text itself or from a stored index.
+
+    ``where``, a condition on ``docs``, narrows the search before the ranking, so the ``k`` are those
+    of the documents that meet it. Without ``k`` all that hold a term.
+    """
     terms = query_terms(query)
     if index is None:
-        scores = bm25_scan(docs, terms, key, text)
+        scores = bm25_scan(docs, terms, key, text, where=where)
     else:
         stats = corpus_stats(docs, text) if stats is None else stats
         scores = bm25_indexed(index.filter(F.col("term").isin(terms)), stats, key)
-    return top_k(scores, [F.desc("score"), key], k)
+        if where is not None:
+            scores = scores.join(docs.filter(where).select(key), key, "left_semi")
+    return scores if k is None else top_k(scores, [F.desc("score"), key], k)
 
 
 def hybrid_topk(
     by_vector: DataFrame, by_keyword: DataFrame, k: int = 10, key: str = "chunk_id", smooth: int = 60
 ) -> DataFrame:
-    """Reciprocal rank fusion of two short ranked lists (each with ``score``)."""
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        order = Window.orderBy(F.desc("score"), key)
-        return df.withColumn(name, F.row_number().over(order)).select(key, name)
+    """Reciprocal rank fusion of two lists (each with ``score``), ranked in full.
 
-    both = placed(by_vector, "vector_rank").join(placed(by_keyword, "keyword_rank"), key, "full")
+    A document far down in both lists can beat one that is only in the first places of one, so
+    no list may be cut before the fusion.
+    """
+    order = [F.desc_nulls_last("score"), F.asc(key)]
+    both = ranked(by_vector, order, "vector_rank").select(key, "vector_rank").join(
+        ranked(by_keyword, order, "keyword_rank").select(key, "keyword_rank"), key, "full")
 
     def worth(c: str) -> Column:
         return F.coalesce(1.0 / (smooth + F.col(c)), F.lit(0.0))

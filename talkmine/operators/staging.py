@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
 from talkmine.functions.text import (
-    clean_text, deep_link, is_artifact, quality_tier, ratio, safe_ts, space_count,
+    clean_text, deep_link, icontains, is_artifact, padded, quality_tier, ratio, safe_ts, space_count,
 )
 
 EPISODE_COLUMNS = {
@@ -88,7 +88,7 @@ def with_segment_keys(segments: DataFrame) -> DataFrame:
     return segments.withColumns({
         "end_time": F.col("start_time") + F.col("duration_sec"),
         "segment_id": F.concat(
-            "video_id", F.lit("_"), F.lpad(F.col("segment_index").cast("string"), 5, "0")),
+            "video_id", F.lit("_"), padded(F.col("segment_index"), 5)),
     })
 
 
@@ -122,19 +122,38 @@ def int_segments(segments: DataFrame, episodes: DataFrame) -> DataFrame:
     })
 
 
+def narrowed(channels: list[str] | None = None, date_from: str | None = None, date_to: str | None = None) -> Column:
+    """Condition on channel and date that a search applies before it ranks."""
+    kept = F.lit(True)
+    if channels:
+        kept &= F.col("channel_name").isin(channels)
+    if date_from:
+        kept &= F.col("publish_date") >= F.lit(date_from).cast("date")
+    if date_to:
+        kept &= F.col("publish_date") <= F.lit(date_to).cast("date")
+    return kept
+
+
+def with_topic(rows: DataFrame, topics: DataFrame, topic: str, key: str = "chunk_id", name: str = "topic") -> DataFrame:
+    """``rows`` with ``on_topic``: whether a topic (or entity) of theirs has the given text in it."""
+    on = topics.filter(icontains(F.col(name), topic)).select(key).distinct().withColumn("on_topic", F.lit(True))
+    return rows.join(on, key, "left").withColumn("on_topic", F.coalesce("on_topic", F.lit(False)))
+
+
 def refine(
     hits: DataFrame, channels: list[str] | None = None, topic: str | None = None,
     date_from: str | None = None, date_to: str | None = None, sort: str = "relevance",
-    score: str = "score", key: str = "chunk_id",
+    score: str = "score", key: str = "chunk_id", topics: DataFrame | None = None,
 ) -> DataFrame:
-    """Narrow search results by channel, topic and date; sort by relevance, date or channel."""
-    if channels:
-        hits = hits.filter(F.col("channel_name").isin(channels))
-    if topic:
-        hits = hits.filter(F.lower("topic").contains(topic.lower()))
-    if date_from:
-        hits = hits.filter(F.col("publish_date") >= F.lit(date_from).cast("date"))
-    if date_to:
-        hits = hits.filter(F.col("publish_date") <= F.lit(date_to).cast("date"))
+    """Narrow a result by channel, topic and date; sort by relevance, date or channel.
+
+    The topics of the hits are a column ``topic``, or a table ``topics`` of (key, topic). To rank what
+    meets the conditions rather than narrow what was ranked, give them to the search.
+    """
+    hits = hits.filter(narrowed(channels, date_from, date_to))
+    if topic and topics is not None:
+        hits = with_topic(hits, topics, topic, key).filter("on_topic").drop("on_topic")
+    elif topic:
+        hits = hits.filter(icontains(F.col("topic"), topic))
     order = {"relevance": F.desc(score), "date": F.desc("publish_date"), "channel": F.asc("channel_name")}
     return hits.orderBy(order[sort], F.asc(key))

@@ -37,9 +37,9 @@ def top_topics_of_speaker(spark, sf):
 
 @query("channel_report", sql("""
 select claim_type, count(*) as cnt, count(distinct speaker) as speakers, count(distinct topic) as topics
-from claims where lower(channel_name) like '%united%' group by 1""", "claims"))
+from claims where lower(channel_name) like '%nation_1%' group by 1""", "claims"))
 def channel_report(spark, sf):
-    return c.channel_report(t.claims(spark, sf), "United")
+    return c.channel_report(t.claims(spark, sf), "Nation_1")
 
 
 @query("top_speakers", sql("""
@@ -67,9 +67,9 @@ def compare_speakers(spark, sf):
         "claim_date", day("claim_date"))
 
 
-@query("compare_channels", _compare_sql("channel_name", "france", "japan", "t1"))
+@query("compare_channels", _compare_sql("channel_name", "nation_3", "nation_7", "t1"))
 def compare_channels(spark, sf):
-    return c.compare(t.claims(spark, sf), "France", "Japan", topic="T1", by="channel").withColumn(
+    return c.compare(t.claims(spark, sf), "Nation_3", "Nation_7", topic="T1", by="channel").withColumn(
         "claim_date", day("claim_date"))
 
 
@@ -178,11 +178,11 @@ def topic_channel_heatmap(spark, sf):
 
 
 @query("topic_channel_pivot", sql("""
-select topic, count(*) filter (channel_name = 'FRANCE') as "FRANCE",
- count(*) filter (channel_name = 'JAPAN') as "JAPAN",
- count(*) filter (channel_name = 'KENYA') as "KENYA" from claims group by 1""", "claims"))
+select topic, count(*) filter (channel_name = 'NATION_3') as "NATION_3",
+ count(*) filter (channel_name = 'NATION_7') as "NATION_7",
+ count(*) filter (channel_name = 'NATION_9') as "NATION_9" from claims group by 1""", "claims"))
 def topic_channel_pivot(spark, sf):
-    return c.topic_channel_heatmap(t.claims(spark, sf), ["FRANCE", "JAPAN", "KENYA"])
+    return c.topic_channel_heatmap(t.claims(spark, sf), ["NATION_3", "NATION_7", "NATION_9"])
 
 
 @query("channel_date_span", sql("""
@@ -273,11 +273,13 @@ def parse_drift(spark, sf):
 
 
 @query("claim_prompts", sql("""
-select chunk_id, 'topics' as kind, length('text: ' || left(chunk_text, 1500)) as text_chars from chunks""", "chunks"))
+select chunk_id, 'topics' as kind, md5(regexp_replace(chunk_text, '[ \t\n\r]+', '', 'g')) as covered from chunks""", "chunks"))
 def claim_prompts(spark, sf):
+    """What the prompts of a chunk show together: every character but the blanks they are cut at."""
     made = c.build_prompts(chunks(spark, sf), "topics")
-    head = len(c.INSTRUCTIONS["topics"]) + 1
-    return made.select("chunk_id", "kind", (F.length("prompt") - head).cast("long").alias("text_chars"))
+    shown = F.substr("prompt", F.lit(len(c.INSTRUCTIONS["topics"]) + len("\ntext: ") + 1))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", shown.alias("t")))), lambda p: p["t"]), "")
+    return made.groupBy("chunk_id", "kind").agg(F.md5(F.regexp_replace(whole, "[ \t\n\r]+", "")).alias("covered"))
 
 
 @query("search_history_stats", sql("""
@@ -326,14 +328,17 @@ def topic_pairs_new(spark, sf):
 
 @query("drift_rules", sql(r"""
 , w as (select evolution_id, same_speaker,
-  list_filter(string_split_regex(lower(original_text), '[^a-z0-9]+'), lambda x: x <> '') as a,
-  list_filter(string_split_regex(lower(evolved_text), '[^a-z0-9]+'), lambda x: x <> '') as b from evolution),
+  list_filter(string_split_regex(lower(original_text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as a,
+  list_filter(string_split_regex(lower(evolved_text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as b from evolution),
  n as (select *, len(list_filter(a, lambda x: x in ('always','certainly','definitely','clearly','will','must','undoubtedly','every')))
    - len(list_filter(a, lambda x: x in ('maybe','might','could','perhaps','possibly','probably','somewhat','may'))) as fa,
   len(list_filter(b, lambda x: x in ('always','certainly','definitely','clearly','will','must','undoubtedly','every')))
    - len(list_filter(b, lambda x: x in ('maybe','might','could','perhaps','possibly','probably','somewhat','may'))) as fb,
   len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as overlap from w)
-select evolution_id, round(overlap, 6) as overlap, case when fb < fa then 'SOFTENED' when fb > fa then 'ESCALATED'
+select evolution_id, round(overlap, 6) as overlap,
+ case when (len(list_filter(a, lambda x: x in ('not','no','never','none','cannot','without','isn','won','don','doesn','didn'))) > 0)
+   <> (len(list_filter(b, lambda x: x in ('not','no','never','none','cannot','without','isn','won','don','doesn','didn'))) > 0)
+  then 'CONTRADICTED' when fb < fa then 'SOFTENED' when fb > fa then 'ESCALATED'
  when same_speaker and overlap < 0.5 then 'REVISED' else 'CONFIRMED' end as drift_type from n""", "evolution"))
 def drift_rules(spark, sf):
     return ev.drift_rules(ev.topic_pairs(t.claims(spark, sf))).select("evolution_id", "overlap", "drift_type")

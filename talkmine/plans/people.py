@@ -297,10 +297,10 @@ def who_discussed(spark, sf):
 
 
 @query("channel_topics", sql("""
-select topic, count(*) as mentions from claims where lower(channel_name) like '%ind%'
+select topic, count(*) as mentions from claims where lower(channel_name) like '%nation_2%'
 group by 1 order by 2 desc, 1 limit 25""", "claims"))
 def channel_topics(spark, sf):
-    return g.channel_topics(t.claims(spark, sf), "IND")
+    return g.channel_topics(t.claims(spark, sf), "NATION_2")
 
 
 @query("most_discussed", sql(

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from talkmine.operators import enrichment as en
 from talkmine.operators import search as s
-from talkmine.operators.staging import refine
+from talkmine.operators.staging import narrowed, refine, with_topic
 from talkmine.plans.oracle import sql
 from talkmine.plans.registry import query
 from talkmine.plans.transcripts import chunks, day
 from talkmine.sources import tables as t
 
-_TOKENS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: length(x) >= {1})"
+_TOKENS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= {1})"
 
 
 def _postings(least: int) -> str:
@@ -31,7 +31,7 @@ def tfidf_topics(spark, sf):
 
 @query("cap_entities", sql("""
 select chunk_id, entity, count(*) as mentions from (
- select chunk_id, unnest(regexp_extract_all(chunk_text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) as entity from chunks) x
+ select chunk_id, unnest(regexp_extract_all(chunk_text, '\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)+')) as entity from chunks) x
 group by 1, 2""", "chunks"))
 def cap_entities(spark, sf):
     return en.cap_entities(chunks(spark, sf))
@@ -40,7 +40,7 @@ def cap_entities(spark, sf):
 @query("top_entities", sql("""
 select entity, cast(sum(n) as bigint) as mentions, count(*) as chunks from (
  select chunk_id, entity, count(*) as n from (
-  select chunk_id, unnest(regexp_extract_all(chunk_text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) as entity from chunks) x
+  select chunk_id, unnest(regexp_extract_all(chunk_text, '\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)+')) as entity from chunks) x
  group by 1, 2) y group by 1 order by mentions desc, entity limit 25""", "chunks"))
 def top_entities(spark, sf):
     return en.top_entities(en.cap_entities(chunks(spark, sf)))
@@ -64,7 +64,7 @@ def extract_summary(spark, sf):
 
 @query("hash_embed", sql("""
 , slots as (select chunk_id, cast(('0x' || substring(md5(term), 1, 8)) as bigint) % 768 as slot, count(*) as n
-  from (select chunk_id, unnest(list_filter(string_split_regex(lower(chunk_text), '[^a-z0-9]+'),
+  from (select chunk_id, unnest(list_filter(string_split_regex(lower(chunk_text), '[^\\p{L}\\p{N}]+'),
    lambda x: x <> '')) as term from chunks) x group by 1, 2)
 select chunk_id, slot, round(n / sqrt(sum(n * n) over (partition by chunk_id)), 6) as weight from slots""", "chunks"))
 def hash_embed(spark, sf):
@@ -75,7 +75,7 @@ def hash_embed(spark, sf):
 
 @query("hash_embed_dense", sql("""
 , slots as (select chunk_id, cast(('0x' || substring(md5(term), 1, 8)) as bigint) % 768 as slot, count(*) as n
-  from (select chunk_id, unnest(list_filter(string_split_regex(lower(chunk_text), '[^a-z0-9]+'),
+  from (select chunk_id, unnest(list_filter(string_split_regex(lower(chunk_text), '[^\\p{L}\\p{N}]+'),
    lambda x: x <> '')) as term from chunks) x group by 1, 2)
 select c.chunk_id, 768 as dims, count(s.slot) as filled,
  case when count(s.slot) = 0 then 0.0::double else 1.0::double end as length,
@@ -157,7 +157,7 @@ def similarity_pairs(spark, sf):
 
 
 QUERY = "the transcript of the and with"
-_BM25 = """, docs as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as ws
+_BM25 = """, docs as (select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws
   from documents),
  st as (select count(*) as n, avg(len(ws)) as al from docs),
  hits as (select doc_id, len(ws) as dl, unnest(ws) as term from docs),
@@ -188,24 +188,23 @@ def bm25_index(spark, sf):
 
 
 @query("hybrid_topk", "with " + _BM25[2:] + f""",
- kw as (select doc_id as id, row_number() over (order by score desc, doc_id) as keyword_rank from bm
-  qualify keyword_rank <= 50),
+ kw as (select doc_id as id, row_number() over (order by score desc, doc_id) as keyword_rank from bm),
  vs as (select vec_id as id, round({_COSINE.format('embedding', '(select embedding from embeddings where vec_id = 0)')}, 6)
   as score from embeddings),
- vec as (select id, row_number() over (order by score desc, id) as vector_rank from vs qualify vector_rank <= 50)
+ vec as (select id, row_number() over (order by score desc, id) as vector_rank from vs)
 select coalesce(vec.id, kw.id) as doc_id, coalesce(vector_rank, 0) as vector_rank,
  coalesce(keyword_rank, 0) as keyword_rank,
  round(coalesce(1.0::double / (60 + vector_rank), 0) + coalesce(1.0::double / (60 + keyword_rank), 0), 8) as score
 from vec full join kw on vec.id = kw.id order by score desc, doc_id limit 10""")
 def hybrid_topk(spark, sf):
     vectors = embeddings(spark, sf).withColumnRenamed("vec_id", "doc_id")
-    near = s.vector_topk(vectors, s.vector_of(vectors, "doc_id", 0), 50, key="doc_id")
-    relevant = s.bm25_topk(documents(spark, sf), QUERY, 50, key="doc_id", text="text")
+    near = s.vector_scores(vectors, s.vector_of(vectors, "doc_id", 0))
+    relevant = s.bm25_topk(documents(spark, sf), QUERY, None, key="doc_id", text="text")
     fused = s.hybrid_topk(near, relevant, key="doc_id")
     return fused.withColumns({c: F.col(c).cast("long") for c in ("vector_rank", "keyword_rank")}).fillna(0)
 
 
-_CHUNK_BM25 = """, docs as (select chunk_id, list_filter(string_split_regex(lower(chunk_text), '[^a-z0-9]+'),
+_CHUNK_BM25 = """, docs as (select chunk_id, list_filter(string_split_regex(lower(chunk_text), '[^\\p{L}\\p{N}]+'),
    lambda x: x <> '') as ws from chunks),
  st as (select count(*) as n, avg(len(ws)) as al from docs),
  hits as (select chunk_id, len(ws) as dl, unnest(ws) as term from docs),
@@ -227,17 +226,36 @@ def search_results(spark, sf):
 
 
 @query("refined_results", sql(_CHUNK_BM25 + """
-select chunk_id, score, row_number() over (order by publish_date desc, chunk_id) as place from
- (select * from bm order by score desc, chunk_id limit 200) b join chunks c using (chunk_id)
+select chunk_id, score, channel_name, strftime(publish_date, '%Y-%m-%d') as publish_date
+from bm join chunks c using (chunk_id)
 where channel_name in ('src1', 'src2', 'src3') and publish_date >= date '2023-01-01'
  and publish_date <= date '2025-01-01'""", "chunks"))
 def refined_results(spark, sf):
-    from pyspark.sql.window import Window
+    """All that match, narrowed by channel and date before the ranking."""
     rows = chunks(spark, sf)
-    hits = s.result_view(s.bm25_topk(rows, "music more", 200), rows)
-    kept = refine(hits, channels=["src1", "src2", "src3"], date_from="2023-01-01", date_to="2025-01-01", sort="date")
-    place = F.row_number().over(Window.orderBy(F.desc("publish_date"), "chunk_id")).cast("long")
-    return kept.select("chunk_id", "score", place.alias("place"))
+    where = narrowed(["src1", "src2", "src3"], date_from="2023-01-01", date_to="2025-01-01")
+    hits = s.result_view(s.bm25_topk(rows, "music more", None, where=where), rows)
+    return refine(hits, sort="date").select("chunk_id", "score", "channel_name", day("publish_date"))
+
+
+@query("refined_top", sql(_CHUNK_BM25 + """
+select chunk_id, score from bm join chunks c using (chunk_id)
+where channel_name = 'src4' and publish_date >= date '2024-01-01'
+order by score desc, chunk_id limit 10""", "chunks"))
+def refined_top(spark, sf):
+    """The best of those that meet the conditions, not what is left of the best."""
+    return s.bm25_topk(chunks(spark, sf), "music more", 10, where=narrowed(["src4"], date_from="2024-01-01"))
+
+
+@query("refined_by_topic", sql(_CHUNK_BM25 + """,
+ words as (select chunk_id, unnest(""" + _TOKENS.format("chunk_text", 4) + """) as term from chunks)
+select chunk_id, score from bm where chunk_id in (select chunk_id from words where contains(term, 'ent'))
+order by score desc, chunk_id limit 10""", "chunks"))
+def refined_by_topic(spark, sf):
+    """Hits in chunks that have a topic with the given text in it; every long word counts as one."""
+    rows = chunks(spark, sf)
+    topics = en.postings(rows, least=4).select("chunk_id", F.col("term").alias("topic"))
+    return s.bm25_topk(with_topic(rows, topics, "ENT"), "music more", 10, where=F.col("on_topic"))
 
 
 @query("related_episodes", f"""

@@ -298,7 +298,10 @@ def column_profile(spark, sf):
         {c: F.round(c, 4) for c in ("mean_value", "std_value", "skewness")})
 
 
-@query("column_quantiles")
+@query("column_quantiles", " union all ".join(
+    f"select '{x}' as column_name, " + ", ".join(
+        f"quantile_disc({x}, {p})::double as q{int(p * 100):02d}" for p in (0.25, 0.5, 0.75)) + " from orders"
+    for x in PROFILED))
 def column_quantiles(spark, sf):
     return metrics.column_quantiles(t.table(spark, sf, "orders"), PROFILED)
 

@@ -138,7 +138,8 @@ def _cue(block: Column) -> Column:
 
 def vtt_segments(content: Column) -> Column:
     """Segments of a subtitle file: blocks with a time line and text, repeats dropped."""
-    cues = F.transform(F.split(strip_ws(content), "\n\n"), _cue)
+    lines = F.regexp_replace(content, "\r\n?", "\n")
+    cues = F.transform(F.split(strip_ws(lines), "\n\n"), _cue)
     return drop_repeats(F.filter(cues, lambda s: s["text"] != ""))
 
 

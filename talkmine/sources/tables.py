@@ -102,6 +102,11 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("youtube_url", F.concat(F.lit(fixed.CHANNEL_URL), "channel_id"))
 
 
+#: ways to say it: hedged, certain, negated, plain
+WORDINGS = ["will maybe", "will certainly", "will never", "could possibly", "may in many more different words slowly",
+            "is about to"]
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as claims made by customers; the nation is the channel."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -120,9 +125,11 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(video, F.lit("_chunk_0000")).alias("chunk_id"),
         F.concat(
             F.lit("Claim "), key.cast("string"), F.lit(" says that segment "), "c_mktsegment",
-            F.lit(" will maybe move by "), (cust % 90).cast("string"), F.lit(" percent")
+            F.lit(" "), pick(key % 97, WORDINGS), F.lit(" move by "), (cust % 90).cast("string"), F.lit(" percent")
         ).alias("claim_text"),
-        F.concat(F.lit("T"), (key % 400).cast("string")).alias("topic"),
+        # one topic in nine belongs to a single speaker
+        F.when(cust % 9 == 4, F.concat(F.lit("S"), cust.cast("string"))).otherwise(
+            F.concat(F.lit("T"), (key % 400).cast("string"))).alias("topic"),
         pick(cust, ["VERIFIABLE_FACT", "PREDICTION", "OPINION", "STATISTICAL"]).alias("claim_type"),
         pick(key, ["positive", "negative", "neutral"]).alias("sentiment"),
         F.when(cust % 10 == 0, "Unknown").otherwise(F.col("c_name")).alias("speaker"),
