@@ -20,14 +20,14 @@ from talkmine.llm.bitmap import bitmap, hits
 from talkmine.llm.partenum import Scheme, signatures
 from talkmine.llm.text import Words, mix, shingle_sets, slices
 from talkmine.operators.components import connected
-from talkmine.session import cut_lineage
+from talkmine.session import cut_lineage, fresh_dir
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 #: signatures that one task of the meeting stage holds
 SIGNATURES_PER_TASK = 1_000_000
-#: sets that all later ones with the same signature are compared with
-PIVOTS = 6
+#: sets that all later ones with the same signature are compared with; at least 3
+PIVOTS = 4
 #: members of a signature group that are compared with each other at once
 BLOCK = 256
 _U64 = np.uint64
@@ -137,7 +137,7 @@ def _meet(batches, buffer: int = 1 << 18):
     The first set seen with a signature is its pivot, and all later ones are its members; they
     stream past, so a task holds its distinct signatures and never all sets of a frequent one.
     The next few sets are further pivots, whose pairs with later ones come without signature,
-    once for each buffer.
+    once for each buffer. So do the pairs of signatures that only two sets share.
     """
     known, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
     pivots = np.zeros((0, PIVOTS), np.int64)
@@ -171,10 +171,17 @@ def _meet(batches, buffer: int = 1 << 18):
             pivot = pivots[at, j][group]
             later = (j < count[at])[group] & (ordinal > (j - had)[group]) & (o != pivot)
             pairs = np.stack([s[later], pivot[later], o[later]])
-            if j:
-                pairs = np.unique(pairs[1:], axis=1)
-            out.append(pairs)
-        first, more = out[0], np.concatenate(out[1:], axis=1)
+            if j == 0:
+                # a group of two is only a pair; from three on all its members are wanted by signature
+                third = (ordinal + had[group])[later] >= 2
+                grown = np.flatnonzero((had < 3) & (had + size >= 3))
+                named = pairs[:, third]
+                pairs = pairs[:, ~third]
+            out.append(np.unique(pairs[1:], axis=1))
+        grown = at[grown]
+        first = np.concatenate([named, np.stack([known[grown], pivots[grown, 0], pivots[grown, 1]])], axis=1)
+        first = first[:, first[1] != first[2]]
+        more = np.concatenate(out, axis=1)
         return pa.RecordBatch.from_arrays([
             pa.array(np.r_[first[0], np.zeros(more.shape[1], np.int64)],
                      mask=np.r_[np.zeros(first.shape[1], bool), np.ones(more.shape[1], bool)]),
@@ -199,6 +206,13 @@ def signature_groups(docs: DataFrame, n_features: int, scheme: Scheme, length: i
     return packed.repartition(tasks, "place").mapInArrow(_meet, "sig long, pivot long, member long")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: smaller than a checkpoint of many short rows."""
+    path = fresh_dir(df.sparkSession, "ngram-join")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _at_most(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches of two sets leave it open that they are similar."""
     big, small = F.greatest(f"{a}.n", f"{b}.n"), F.least(f"{a}.n", f"{b}.n")
@@ -244,7 +258,7 @@ def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFr
     """
     label = F.coalesce("component", "member")
     members = groups.select("sig", "member").join(labels.withColumnRenamed("node", "member"), "member", "left")
-    members = cut_lineage(members.select("sig", "member", label.alias("component")))
+    members = _stored(members.select("sig", "member", label.alias("component")))
     several = members.groupBy("sig").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"),
         F.sum(F.shiftright(F.xxhash64("member"), 24)).alias("all"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("same"))
@@ -341,7 +355,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
     sketches = nodes.select("set_id", "n", "sketch")
     n_features = table.agg(F.sum("n_shingles")).first()[0] or 0
 
-    groups = cut_lineage(signature_groups(docs, n_features, scheme, length).distinct())
+    groups = _stored(signature_groups(docs, n_features, scheme, length))
     low, high = F.least("pivot", "member"), F.greatest("pivot", "member")
     stars = groups.select(low.alias("a"), high.alias("b")).distinct()
     first = cut_lineage(verified(

@@ -104,7 +104,7 @@ def test_groups_agree_with_all_pairs(spark, given):
 
 def test_blocks_meet_each_other(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 3)
     rows = chains()
     got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == components(rows)
