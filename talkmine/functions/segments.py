@@ -142,9 +142,25 @@ def window_groups(segs: Column, size: int, step: int) -> Column:
     return runs(ordered, lambda s, p: s["w"] != p["w"])
 
 
-def sentences(segs: Column) -> Column:
-    """Arrays of segments, each closed by a segment that ends in ``.``, ``!`` or ``?``."""
-    return runs(spoken(segs), lambda s, p: p["text"].rlike(r"[.!?]\s*$"))
+def sentences(segs: Column, longest: int | None = None) -> Column:
+    """Arrays of segments, each closed by a segment that ends in ``.``, ``!`` or ``?``.
+
+    Captions often have no punctuation. With ``longest``, a sentence that goes on past a multiple
+    of so many seconds is closed there if no mark ended one since the multiple before it.
+    """
+    found = runs(spoken(segs), lambda s, p: p["text"].rlike(r"[.!?]\s*$"))
+    if longest is None:
+        return found
+
+    def window(s: Column) -> Column:
+        return F.floor(s["start"] / longest)
+
+    def split(sentence: Column) -> Column:
+        begin = window(F.get(sentence, F.lit(0)))
+        # the window a sentence begins in and the one after it are one piece
+        return runs(sentence, lambda s, p: (window(s) != window(p)) & (window(s) > begin + 1))
+
+    return F.flatten(F.transform(found, split))
 
 
 def joined(group: Column) -> Column:

@@ -75,9 +75,10 @@ def chunk_sentences(
     """Windows filled with whole sentences.
 
     A sentence belongs to the window its first segment starts in, and also to the next
-    window when it starts in the last ``overlap`` seconds before it.
+    window when it starts in the last ``overlap`` seconds before it. A sentence without an end,
+    as in captions without punctuation, is closed after the window that follows its first.
     """
-    sentences = seg.sentences(F.col("segments"))
+    sentences = seg.sentences(F.col("segments"), target)
 
     def placed(sentence: Column) -> Column:
         begin = seg.first_start(sentence)

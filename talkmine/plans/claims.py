@@ -267,7 +267,8 @@ def parse_drift(spark, sf):
     body = F.concat(F.lit('{"drift_type": "'), kind, F.lit('", "analysis": "because '), "c_name", F.lit('"}'))
     raw = (
         F.when(key % 5 == 2, F.concat(body, F.lit("}{")))
-        .when(key % 5 == 3, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body))
+        .when(key % 5 == 3, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(key % 5 == 4, F.concat(F.lit("\n\n```json\n"), body, F.lit("\n```\n"))).otherwise(body))
     return ev.parse_drift(t.table(spark, sf, "customer").select(
         key.cast("string").alias("evolution_id"), raw.alias("raw")))
 
@@ -318,6 +319,15 @@ def topic_pairs_budget(spark, sf):
     return ev.topic_pairs(t.claims(spark, sf), max_topics=50).select("evolution_id", "topic", "claim_count")
 
 
+@query("topic_pairs_budget_new", sql("""
+select evolution_id, topic, claim_count from evolution where drift_type <> 'REVISED'
+order by claim_count desc, topic limit 50""", "evolution"))
+def topic_pairs_budget_new(spark, sf):
+    """The budget is spent on pairs that aren't stored yet."""
+    stored = evolution(spark, sf).filter("drift_type = 'REVISED'").select("evolution_id")
+    return ev.topic_pairs(t.claims(spark, sf), max_topics=50, done=stored).select("evolution_id", "topic", "claim_count")
+
+
 @query("topic_pairs_new", sql("""
 select evolution_id from evolution where drift_type <> 'REVISED'""", "evolution"))
 def topic_pairs_new(spark, sf):

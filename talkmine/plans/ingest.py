@@ -124,6 +124,22 @@ def iso_minutes(spark, sf):
     return t.table(spark, sf, "orders").select("o_orderkey", F.round(iso(text), 6).alias("minutes"))
 
 
+@query("long_episode_ids", """
+select doc_id, concat('v_chunk_', case when doc_id * 3000 < 1000 then lpad((doc_id * 3000)::varchar, 4, '0')
+  else (doc_id * 3000)::varchar end) as chunk_id,
+ concat('v_', case when doc_id * 30000 < 10000 then lpad((doc_id * 30000)::varchar, 5, '0')
+  else (doc_id * 30000)::varchar end) as segment_id from documents""")
+def long_episode_ids(spark, sf):
+    """Ids of windows and segments far into an endless episode stay different."""
+    from talkmine.operators.chunking import chunk_id
+    from talkmine.operators.staging import with_segment_keys
+    far = t.table(spark, sf, "documents").select(
+        "doc_id", F.lit("v").alias("video_id"), (F.col("doc_id") * 30_000).alias("segment_index"),
+        F.lit(0.0).alias("start_time"), F.lit(1.0).alias("duration_sec"),
+        chunk_id(F.lit("v"), F.col("doc_id") * 3000).alias("chunk_id"))
+    return with_segment_keys(far).select("doc_id", "chunk_id", "segment_id")
+
+
 @query("vtt_to_segments", r"""
 with lines as (select doc_id, unnest(string_split(text, chr(10))) as t,
   generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
@@ -143,8 +159,10 @@ def vtt_to_segments(spark, sf):
         return F.concat(clock(i * 4.0), F.lit(" --> "), clock(i * 4.0 + 3.5), F.lit(" align:start\n<c>"), line, F.lit("</c>"))
 
     body = F.array_join(F.transform(F.split("text", "\n", -1), cue), "\n\n")
-    subtitles = t.documents(spark, sf).select(
-        F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("WEBVTT\nKind: captions\n\n"), body).alias("content"))
+    whole = F.concat(F.lit("WEBVTT\nKind: captions\n\n"), body)
+    # every third file has the line ends of another system
+    ends = F.when(F.col("doc_id") % 3 == 1, F.regexp_replace(whole, "\n", "\r\n")).otherwise(whole)
+    subtitles = t.documents(spark, sf).select(F.col("doc_id").cast("string").alias("file_id"), ends.alias("content"))
     return files.vtt_rows(subtitles)
 
 
@@ -292,22 +310,42 @@ def dq_embedding_coverage(spark, sf):
 @query("dq_links", sql("""
 select 'link format in chunks' as check_name, count(*) filter (not regexp_matches(youtube_url,
  '^https://www\\.youtube\\.com/watch\\?v=[^&\\s]+&t=[0-9]+s?$')) as value, 'pass' as status from chunks
-union all select 'chunk times ordered', count(*) filter (chunk_end_sec < chunk_start_sec), 'pass' from chunks
-union all select 'segment times ordered', count(*) filter (start < before), 'pass' from (
- select start, lag(start) over (partition by video_id order by segment_index) as before from segments) x""", "chunks"))
+union all select 'link format in claims', count(*), case when count(*) = 0 then 'pass' else 'fail' end from claims
+ where o_bad
+union all select 'chunk times ordered', count(*) filter (chunk_end_sec < chunk_start_sec
+  or floor(chunk_start_sec / 120) <> w), 'pass' from chunks
+union all select 'segment times ordered', v, case when v = 0 then 'pass' else 'fail' end from (
+ select count(*) filter (start < before) as v from (
+  select start, lag(start) over (partition by video_id order by segment_index) as before from segments) x) y""".replace(
+    "from claims\n where o_bad", "from orders where o_orderkey % 10 = 3 and o_custkey in (select c_custkey from customer)"),
+  "chunks"))
 def dq_links(spark, sf):
     made = chunks(spark, sf)
     return q.stack(
-        q.link_format(made, "youtube_url", "chunks"), q.times_ordered(made),
+        q.link_format(made, "youtube_url", "chunks"), q.link_format(
+            t.claims(spark, sf).withColumn("youtube_url", F.when(
+                F.col("claim_id").cast("long") % 10 == 3, "watch?v=broken").otherwise(F.col("youtube_url"))),
+            "youtube_url", "claims"), q.times_ordered(made),
         q.segments_ordered(t.episodes(spark, sf)).withColumn("value", F.col("value").cast("long")))
 
 
 @query("dq_domains", sql("""
-select 'values of ' || n as check_name, cast(0 as bigint) as value, 'pass' as status from (values ('claim_type'), ('sentiment'),
- ('speaker_role'), ('attribution_confidence'), ('verification_status')) v(n) where (select count(*) from claims) > 0""",
+select 'values of ' || n as check_name, v as value, case when v = 0 then 'pass' else 'fail' end as status from (
+ select 'claim_type' as n, count(*) filter (claim_type not in ('VERIFIABLE_FACT', 'PREDICTION', 'OPINION', 'STATISTICAL')
+   or cast(claim_id as bigint) % 11 = 0) as v from claims
+ union all select 'sentiment', count(*) filter (sentiment not in ('positive', 'negative', 'neutral')) from claims
+ union all select 'speaker_role', count(*) filter (cast(claim_id as bigint) % 13 = 0) from claims
+ union all select 'attribution_confidence', count(*) filter (attribution_confidence not in ('HIGH', 'MEDIUM', 'LOW', 'UNKNOWN'))
+  from claims
+ union all select 'verification_status', count(*) filter (verification_status not in ('PENDING', 'VERIFIED', 'OUTDATED',
+  'DISPUTED', 'UNVERIFIED', 'FALSE')) from claims) x""",
                          "claims"))
 def dq_domains(spark, sf):
-    return q.claim_domains(t.claims(spark, sf))
+    """Some claims are given a type and a role that no domain holds."""
+    key = F.col("claim_id").cast("long")
+    return q.claim_domains(t.claims(spark, sf).withColumns({
+        "claim_type": F.when(key % 11 == 0, "RUMOUR").otherwise(F.col("claim_type")),
+        "speaker_role": F.when(key % 13 == 0, "BYSTANDER").otherwise(F.col("speaker_role"))}))
 
 
 @query("dq_bands", sql("""
@@ -377,6 +415,19 @@ def stream_index_search(spark, sf):
     return s.bm25_topk(index, "music more", 8, index=index, stats=stats)
 
 
+@query("stream_append_once", """
+select event_type, count(*) as events, count(distinct event_id) as ids from events group by 1""")
+def stream_append_once(spark, sf):
+    """Copies come in later batches than the first, and some first rows come years late."""
+    home = fresh_dir(spark, "once")
+    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.col("event_id") % 3 == 0
+    for run, rows in enumerate((events.filter(~late), events)):
+        r.append_once(rows, f"{home}/events", f"{home}/checkpoint{run}", "event_id")
+    return spark.read.parquet(f"{home}/events").groupBy("event_type").agg(
+        F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+
+
 @query("stream_dedupe", """
 select event_type, count(*) as events, count(distinct event_id) as ids from events group by 1""")
 def stream_dedupe(spark, sf):

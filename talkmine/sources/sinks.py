@@ -97,7 +97,10 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "over
     for name, rows, keys, part in (
         ("nodes", nodes, ["label", "id"], "label"), ("edges", edges, ["type", "src", "dst"], "type"),
     ):
-        rows, target = rows.dropDuplicates(keys), f"{path}/{name}"
+        rest = [c for c in rows.columns if c not in keys]
+        one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")) if rest else \
+            rows.distinct()
+        rows, target = one.select(*keys, *(["_r.*"] if rest else [])).select(*rows.columns), f"{path}/{name}"
         held = read_table(spark, target) if mode == "append" else None
         if held is not None:
             rows = rows.join(held.select(*keys), keys, "left_anti")

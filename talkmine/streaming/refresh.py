@@ -61,6 +61,18 @@ def dedupe_stream(stream: DataFrame, key: list[str], time: str, delay: str = "1
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
+def append_once(stream: DataFrame, path: str, checkpoint: str, key: str) -> None:
+    """Append the rows of a stream whose key the table doesn't hold, however late they come.
+
+    Unlike a watermark, this drops no late row, and its memory is the table itself.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        append_new(first_per_key(batch, key), path, key)
+
+    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+
+
 def run_refresh(
     source: DataFrame, tables: str, checkpoint: str, to_payload: Callable[[DataFrame], DataFrame] = lambda df: df
 ) -> None:
