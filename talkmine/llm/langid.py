@@ -18,6 +18,8 @@ from talkmine.llm.text import SLICE_BYTES, mix, powers, slices
 
 ORDERS = (1, 2, 3, 4)
 CELLS = 1 << 16
+#: words whose n-grams are held at once
+PIECE = 20_000
 SMOOTHING = 0.5
 #: what a change of language costs, in natural logarithms
 SWITCH = 12.0
@@ -57,9 +59,10 @@ class LetterWords:
     def __init__(self, texts: list[str]) -> None:
         joined = "\x00".join(texts)
         self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        inside = _letters()[self.points]
+        inside = np.zeros(len(self.points) + 2, dtype=np.int8)
+        inside[1:-1] = _letters()[self.points]
         self.points = _lower()[self.points]
-        edge = np.diff(np.r_[0, inside.view(np.int8), 0])
+        edge = np.diff(inside)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
@@ -79,7 +82,9 @@ class LetterWords:
         up, down = powers(len(self.points))
         if self._total is None:
             self._total = np.zeros(len(self.points) + 1, dtype=np.uint64)
-            np.cumsum((self.points + np.uint32(1)).astype(np.uint64) * up, out=self._total[1:])
+            np.add(self.points, 1, out=self._total[1:])
+            self._total[1:] *= up
+            np.cumsum(self._total, out=self._total)
         return mix((self._total[end] - self._total[start]) * down[start] + (end - start).astype(np.uint64))
 
     def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +109,13 @@ class LetterWords:
             owners.append(owner[:len(code)][same])
         return np.concatenate(cells), np.concatenate(owners)
 
+    def gram_counts(self, words: np.ndarray) -> np.ndarray:
+        """How often each cell is met among the n-grams of the given words."""
+        out = np.zeros(CELLS, dtype=np.int64)
+        for a in range(0, len(words), PIECE):
+            out += np.bincount(self.grams(words[a:a + PIECE])[0], minlength=CELLS)
+        return out
+
 
 def train(labelled: DataFrame) -> dict:
     """Model out of all rows of ``labelled`` (text, lang); null langs and texts are left out.
@@ -124,7 +136,7 @@ def train(labelled: DataFrame) -> dict:
                     mine = np.flatnonzero((own == name)[words.doc])
                     have = totals.setdefault(name, np.zeros(CELLS + len(SCRIPT_NAMES)))
                     if len(mine):
-                        have[:CELLS] += np.bincount(words.grams(mine)[0], minlength=CELLS)
+                        have[:CELLS] += words.gram_counts(mine)
                         have[CELLS:] += np.bincount(
                             words.script[mine], words.length[mine], minlength=len(SCRIPT_NAMES))
         for name, have in totals.items():
@@ -150,12 +162,11 @@ def word_scores(words: LetterWords, model: dict) -> np.ndarray:
     example, which = words.distinct()
     n_langs = len(model["langs"])
     scores = np.zeros((len(example), n_langs))
-    step = 20_000
-    for a in range(0, len(example), step):
-        cells, owner = words.grams(example[a:a + step])
+    for a in range(0, len(example), PIECE):
+        cells, owner = words.grams(example[a:a + PIECE])
         for lang in range(n_langs):
-            scores[a:a + step, lang] = np.bincount(
-                owner, model["grams"][cells, lang], minlength=len(example[a:a + step]))
+            scores[a:a + PIECE, lang] = np.bincount(
+                owner, model["grams"][cells, lang], minlength=len(example[a:a + PIECE]))
     written = model["scripts"][words.script[example]]
     unknown = ~written.any(axis=1)
     written[unknown] = True
@@ -222,7 +233,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     def compute(batches):
         for batch in batches:
             text = batch.column("text").fill_null("")
-            for a, b in slices(text, 4 * SLICE_BYTES):
+            for a, b in slices(text, 2 * SLICE_BYTES):
                 words, path, lang, score = _of_texts(text.slice(a, b - a).to_pylist(), box.value)
                 spans = []
                 for i in range(b - a):
@@ -248,7 +259,7 @@ def keep_known(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     def compute(batches):
         for batch in batches:
             text = batch.column("text").fill_null("")
-            for a, b in slices(text, 4 * SLICE_BYTES):
+            for a, b in slices(text, 2 * SLICE_BYTES):
                 _, _, lang, score = _of_texts(text.slice(a, b - a).to_pylist(), box.value)
                 yield batch.slice(a, b - a).select(columns).filter(
                     pa.array([name != "und" and s >= least for name, s in zip(lang, score)]))

@@ -45,7 +45,7 @@ class _Powers:
         if len(self.up) < n:
             up, down = np.full(n, _BASE, dtype=_U64), np.full(n, _BASE_INVERSE, dtype=_U64)
             up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=_U64), np.cumprod(down, dtype=_U64)
+            self.up, self.down = np.cumprod(up, out=up), np.cumprod(down, out=down)
         return self.up[:n], self.down[:n]
 
 
