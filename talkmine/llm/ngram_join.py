@@ -48,6 +48,11 @@ def _sketch(features: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _brief(sketch: np.ndarray) -> np.ndarray:
+    """The sketch as if made with a quarter of the cells, of which there are at least 64."""
+    return np.bitwise_xor.reduce(sketch.reshape(min(4, len(sketch)), -1), axis=0)
+
+
 def _each_set(batches, length: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     for batch in batches:
         text = batch.column("text")
@@ -61,20 +66,22 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def shingle_table(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
-    """key, doc_id, n_shingles, set_id and sketch of each document."""
+    """key, doc_id, n_shingles, set_id, sketch and brief sketch of each document."""
 
     def compute(batches):
         for batch, a, sets in _each_set(batches, length):
+            sketches = [_sketch(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("key").slice(a, len(sets)),
                 batch.column("doc_id").slice(a, len(sets)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                names=["key", "doc_id", "n_shingles", "set_id", "sketch"])
+                pa.array(sketches, pa.list_(pa.int64())),
+                pa.array([None if x is None else _brief(x) for x in sketches], pa.list_(pa.int64()))],
+                names=["key", "doc_id", "n_shingles", "set_id", "sketch", "brief"])
 
     return docs.select(row_key(docs).alias("key"), "doc_id", "text").mapInArrow(
-        compute, "key long, doc_id long, n_shingles long, set_id long, sketch array<long>")
+        compute, "key long, doc_id long, n_shingles long, set_id long, sketch array<long>, brief array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, length: int) -> DataFrame:
@@ -231,11 +238,14 @@ def _at_most(a: str, b: str, percent: int) -> Column:
 
 
 def _open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) that sketches can't rule out."""
-    for side in ("a", "b"):
-        own = sketches.select(F.col("set_id").alias(side), F.struct("n", "sketch").alias(f"of_{side}"))
-        pairs = pairs.join(own, side)
-    return pairs.filter(_at_most("of_a", "of_b", percent)).select("a", "b")
+    """Candidate pairs (a, b) that sketches can't rule out. Most are by the brief ones, so few pairs
+    carry whole sketches through a shuffle."""
+    for kind in ("brief", "sketch"):
+        for side in ("a", "b"):
+            own = sketches.select(F.col("set_id").alias(side), F.struct("n", F.col(kind).alias("sketch")).alias(f"of_{side}"))
+            pairs = pairs.join(own, side)
+        pairs = pairs.filter(_at_most("of_a", "of_b", percent)).select("a", "b")
+    return pairs
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> DataFrame:
@@ -264,7 +274,8 @@ def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFr
         F.sum(F.shiftright(F.xxhash64("member"), 24)).alias("all"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("same"))
     several = cut_lineage(several.filter("x <> y").groupBy("size", "all", "same").agg(F.min("sig").alias("sig")).select(
         "sig", F.ceil(F.col("size") / BLOCK).alias("blocks")))
-    members = members.join(several, "sig").join(sketches.withColumnRenamed("set_id", "member"), "member")
+    members = members.join(several, "sig").join(
+        sketches.select(F.col("set_id").alias("member"), "n", "sketch"), "member")
     members = members.withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
     blocks = members.groupBy("sig", "block", "blocks").agg(F.collect_list(
         F.struct("member", "component", "n", "sketch")).alias("members"))
@@ -351,8 +362,9 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
     docs = docs.select("doc_id", "text")
     table = cut_lineage(shingle_table(docs, length))
     nodes = cut_lineage(table.filter("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    sketches = nodes.select("set_id", "n", "sketch")
+        F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+        F.first("brief").alias("brief")))
+    sketches = nodes.select("set_id", "n", "sketch", "brief")
     n_features = table.agg(F.sum("n_shingles")).first()[0] or 0
 
     groups = _stored(signature_groups(docs, n_features, scheme, length))
