@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from talkmine.llm.text import tidy
+
 #: words remembered with their tokens, per Python worker: at most twice as many
 REMEMBERED = 150_000
 #: control characters that count as blanks in Python, but not in the tokenizer
@@ -184,4 +186,4 @@ def encoded(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                 columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
 
     return docs.select("doc_id", "text").mapInArrow(
-        compute, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+        tidy(compute), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmine.llm.text import SLICE_BYTES, mix, powers, slices
+from talkmine.llm.text import SLICE_BYTES, mix, powers, slices, tidy
 
 ORDERS = (1, 2, 3, 4)
 CELLS = 1 << 16
@@ -129,7 +129,7 @@ def train(labelled: DataFrame) -> dict:
         for batch in batches:
             lang = np.array(batch.column("lang").to_pylist(), dtype=object)
             text = batch.column("text")
-            for a, b in slices(text, 4 * SLICE_BYTES):
+            for a, b in slices(text, 2 * SLICE_BYTES):
                 own = lang[a:b]
                 words = LetterWords(text.slice(a, b - a).to_pylist())
                 for name in set(own):
@@ -146,7 +146,7 @@ def train(labelled: DataFrame) -> dict:
                 names=["lang", "cell", "n"])
 
     counted = labelled.select("text", "lang").filter("lang is not null and text is not null").mapInArrow(
-        count, "lang string, cell int, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+        tidy(count), "lang string, cell int, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = counted.toPandas()
     langs = sorted(table["lang"].unique())
     counts = np.zeros((len(langs), CELLS + len(SCRIPT_NAMES)))
@@ -248,7 +248,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                     names=["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        compute, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, letters: long>>")
+        tidy(compute), "doc_id long, lang_pred string, score double, spans array<struct<lang: string, letters: long>>")
 
 
 def keep_known(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -264,7 +264,7 @@ def keep_known(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
                 yield batch.slice(a, b - a).select(columns).filter(
                     pa.array([name != "und" and s >= least for name, s in zip(lang, score)]))
 
-    return docs.mapInArrow(compute, docs.schema)
+    return docs.mapInArrow(tidy(compute), docs.schema)
 
 
 def fold(doc_id, parts: int):

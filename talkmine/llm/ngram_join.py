@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from talkmine.llm.bitmap import bitmap, hits
 from talkmine.llm.partenum import Scheme, signatures
-from talkmine.llm.text import Words, mix, shingle_sets, slices
+from talkmine.llm.text import Words, mix, shingle_sets, slices, tidy
 from talkmine.operators.components import connected
 from talkmine.session import cut_lineage, fresh_dir
 
@@ -81,7 +81,7 @@ def shingle_table(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
                 names=["key", "doc_id", "n_shingles", "set_id", "sketch", "brief"])
 
     return docs.select(row_key(docs).alias("key"), "doc_id", "text").mapInArrow(
-        compute, "key long, doc_id long, n_shingles long, set_id long, sketch array<long>, brief array<long>")
+        tidy(compute), "key long, doc_id long, n_shingles long, set_id long, sketch array<long>, brief array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, length: int) -> DataFrame:
@@ -102,7 +102,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, length: int) -> DataFrame:
                 [pa.array(chosen, pa.int64()), pa.array([own[i].view(np.int64) for i in chosen], pa.list_(pa.int64()))],
                 names=["set_id", "features"])
 
-    found = docs.select("text").mapInArrow(compute, "set_id long, features array<long>")
+    found = docs.select("text").mapInArrow(tidy(compute), "set_id long, features array<long>")
     return found.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
@@ -135,7 +135,7 @@ def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = S
             ], names=["place", "ids", "counts", "sigs"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        compute, "place int, ids array<long>, counts array<int>, sigs array<long>")
+        tidy(compute), "place int, ids array<long>, counts array<int>, sigs array<long>")
 
 
 def _meet(batches, buffer: int = 1 << 18):
@@ -210,7 +210,7 @@ def signature_groups(docs: DataFrame, n_features: int, scheme: Scheme, length: i
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 -(-n_features // SIGNATURES_PER_TASK))
     packed = signature_rows(docs, scheme, 4 * tasks, length)
-    return packed.repartition(tasks, "place").mapInArrow(_meet, "sig long, pivot long, member long")
+    return packed.repartition(tasks, "place").mapInArrow(tidy(_meet), "sig long, pivot long, member long")
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
     labels = cut_lineage(connected(first))
 
     rest = _blocks(groups.filter("sig is not null"), labels, sketches)
-    rest = cut_lineage(rest.mapInArrow(_cross_pairs(percent), "a long, b long").distinct())
+    rest = cut_lineage(rest.mapInArrow(tidy(_cross_pairs(percent)), "a long, b long").distinct())
     if not rest.isEmpty():
         second = cut_lineage(verified(rest, docs, percent, length))
         labels = cut_lineage(connected(labels.toDF("a", "b").union(second)))
@@ -406,7 +406,7 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT, length: int = SHI
         def compute(batches):
             for batch in batches:
                 yield batch.filter(pa.array(hits(batch.column("__row_key").to_numpy(), box.value) == yes))
-        return named.mapInArrow(compute, named.schema)
+        return named.mapInArrow(tidy(compute), named.schema)
 
     asked = touched(True).join(changed.withColumnRenamed("key", "__row_key").withColumnRenamed("stays", "__stays"),
                                "__row_key", "left")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmine.llm.text import raw_text, slices
+from talkmine.llm.text import raw_text, slices, tidy
 
 #: cells of hashed shape trigrams
 CELLS = 512
@@ -66,7 +66,7 @@ def feature_table(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x.tobytes() for x in features(text.slice(a, b - a))], pa.binary())], names=["features"])
 
-    return rows.select("text").mapInArrow(compute, "features binary")
+    return rows.select("text").mapInArrow(tidy(compute), "features binary")
 
 
 def bounded(rows: DataFrame, most: int, by: str = "doc_id") -> DataFrame:
@@ -176,7 +176,7 @@ def classify(docs: DataFrame, model: dict | None, cut: float = 0.5) -> DataFrame
                     [batch.column("doc_id").slice(a, b - a), pa.array(s), pa.array((s >= cut).astype(np.int32))],
                     names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(compute, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(compute), "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: dict | None, cut: float = 0.5) -> DataFrame:
@@ -190,4 +190,4 @@ def keep_good(docs: DataFrame, model: dict | None, cut: float = 0.5) -> DataFram
             for a, b in slices(text):
                 yield batch.slice(a, b - a).select(columns).filter(pa.array(scores(text.slice(a, b - a), box.value) >= cut))
 
-    return docs.mapInArrow(compute, docs.schema)
+    return docs.mapInArrow(tidy(compute), docs.schema)

@@ -6,7 +6,8 @@ in their UTF-8 bytes, in which neither rule can meet part of another character.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,23 @@ def mix(values: np.ndarray) -> np.ndarray:
     return v
 
 
+def tidy(compute: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``compute`` for mapInArrow, at whose end freed memory goes back to the system.
+
+    Python workers live on between tasks, beside a JVM that keeps its heap; without this, what
+    each kind of task once held adds up in an executor.
+    """
+
+    def run(batches):
+        yield from compute(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+    return run
+
+
 class _Powers:
     """Powers of the hash base and of its inverse modulo 2**64, as many as were asked for."""
 
