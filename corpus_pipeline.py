@@ -7,21 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talkmine.llm import bpe, langid, mixing, ngram_join, quality
 from talkmine.llm.queries import TOKENIZER, quality_model
+from talkmine.llm.text import small_batches
 from talkmine.session import fresh_dir
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.5."""
+    small_batches(spark)
     return quality.keep_good(docs, quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, at least half of them in one language."""
+    small_batches(spark)
     return langid.keep_known(docs, langid.learn_from(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return ngram_join.one_of_each_group(docs)
 
 
@@ -32,6 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
+    small_batches(spark)
     return bpe.encoded(docs, TOKENIZER)
 
 

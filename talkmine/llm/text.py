@@ -11,9 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
+#: whole texts that Spark hands to Python at once, unless the session names a number of its own
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -53,6 +57,16 @@ def tidy(compute: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return run
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand ``BATCH_ROWS`` rows at once to Python, if it still has Spark's default.
+
+    A batch is held by the JVM and by Python at the same time, and texts may be long, so this
+    bounds their memory.
+    """
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 class _Powers:
     """Powers of the hash base and of its inverse modulo 2**64, as many as were asked for."""
 
