@@ -315,7 +315,7 @@ def _close(x: _Block, y: _Block, percent: int) -> np.ndarray:
                 n, m = x.n[rows][:, None], y.n[to][None, :]
                 fit = (x.component[rows][:, None] != y.component[to][None, :]) & (
                     np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-                differ = np.bitwise_count(a_[i:i + step, None, :] ^ b_[None, :, :]).sum(axis=2, dtype=np.int64)
+                differ = np.bitwise_count((a_[i:i + step, None, :] ^ b_[None, :, :]).view(_U64)).sum(axis=2, dtype=np.int64)
                 p, q = np.nonzero(fit & (differ * (100 + percent) <= (n + m) * (100 - percent)))
                 out.append(np.stack([rows[p], to[q]], axis=1))
     return np.concatenate(out)
