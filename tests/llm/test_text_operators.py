@@ -224,3 +224,11 @@ def test_exchange_finds_words_that_behave_alike():
             table[u, v] += 1
     own = brown_lm.exchange(table, 20, classes=2)
     assert len({(k, c) for k, c in zip(kind, own[:20])}) == 2
+
+
+def test_blocks_count_differing_cells_of_the_top_bit():
+    members = pa.array([
+        {"member": i, "component": i, "n": 10, "sketch": [word]} for i, word in ((1, 0), (2, -(1 << 63) | 1))],
+        pa.struct([("member", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
+    block = ngram_join._Block(members)
+    assert ngram_join._close(block, block, 80).tolist().count([0, 1]) == 1
