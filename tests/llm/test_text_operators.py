@@ -232,3 +232,78 @@ def test_blocks_count_differing_cells_of_the_top_bit():
         pa.struct([("member", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
     block = ngram_join._Block(members)
     assert ngram_join._close(block, block, 80).tolist().count([0, 1]) == 1
+
+
+def test_words_go_to_the_class_that_gains_most():
+    rng = np.random.default_rng(1)
+    units = rng.integers(0, 9, (400, 2))  # class words 0 to 3, an end, two lengths: 5 and 6 of one, 7 and 8 of the other
+    bigrams = np.zeros((9, 9))
+    np.add.at(bigrams, (units[:, 0], units[:, 1]), rng.integers(1, 9, 400))
+
+    def likelihood(own):
+        table = np.zeros((7, 7))
+        np.add.at(table, (own[:, None], own[None, :]), bigrams)
+        return sum(brown_lm._gain(x).sum() for x in (table,)) - sum(brown_lm._gain(table.sum(axis=i)).sum() for i in (0, 1)), table
+
+    own = np.array([0, 1, 2, 3, 4, 5, 5, 6, 6])
+    words = np.array([5, 6, 7, 8])
+    table = likelihood(own)[1]
+    before, after = (np.stack([np.bincount(own, x, minlength=7) for x in side]) for side in (bigrams[:, words].T, bigrams[words]))
+    got = brown_lm.assign(table, 4, own[words], before, after, bigrams[words, words])
+    want = [int(np.argmax([likelihood(np.where(np.arange(9) == w, c, own))[0] for c in range(4)])) for w in words]
+    assert got.tolist() == want
+
+
+def test_lm_puts_every_word_seen_twice_into_a_class(spark, given, odd_documents, monkeypatch):
+    docs = given.select("doc_id", "text").limit(150).union(odd_documents.select("doc_id", "text"))
+    trains = docs.filter("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2")
+    monkeypatch.setattr(brown_lm, "CLASS_WORDS", 50)
+    whole = brown_lm.train(trains)
+    assert ((whole["class"] < whole["classes"]) == ((whole["counts"] > 1) & (whole["words"] != brown_lm.END))).all()
+    # transitions of all words make probabilities of every class after each
+    assert whole["known_table"].sum() == whole["n"] and (whole["known_table"] == whole["table"]).all()
+    monkeypatch.setattr(brown_lm, "FREQUENT", 200)
+    model = brown_lm.train(trains)
+    assert model["n_rare"] > 0
+    seen = {}
+    real = brown_lm._with_probabilities
+    monkeypatch.setattr(brown_lm, "_with_probabilities", lambda m, table: seen.setdefault("model", real(m, table)))
+    got = brown_lm.score(docs, model=model).collect()
+    table, m = seen["model"], seen["model"]
+    rows = [(r.doc_id, words_of(r.text)) for r in docs.collect()]
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in rows]
+    count = collections.Counter(w for (_, ws), h in zip(rows, held) if not h for w in ws)
+    hashes = {w: int(brown_lm._tokens(pa.array([w]))[1][0]) for _, ws in rows for w in ws}
+    frequent = dict(zip(m["words"].tolist(), m["class"].tolist()))
+    start = {w: frequent.get(h, m["end"] + min(len(w.encode()), 12)) for w, h in hashes.items()}
+    # each rare word seen twice or more, judged by all its neighbours
+    k = m["k"]
+    beside = collections.defaultdict(lambda: np.zeros((2, k)))
+    itself = collections.Counter()
+    for (_, ws), h in zip(rows, held):
+        for a, b in zip([None, *ws], [*ws, None]):
+            if not h and b is not None:
+                beside[b][0, m["end"] if a is None else start[a]] += 1
+            if not h and a is not None:
+                beside[a][1, m["end"] if b is None else start[b]] += 1
+            itself[a] += not h and a is not None and a == b
+    own = {}
+    for w in start:
+        own[w] = start[w]
+        if hashes[w] not in frequent and count[w] > 1:
+            own[w] = int(brown_lm.assign(m["table"], m["classes"], np.array([start[w]]), beside[w][:1], beside[w][1:],
+                                         np.array([itself[w]]))[0])
+    steps = np.zeros((k, k))
+    for (_, ws), h in zip(rows, held):
+        line = [m["end"], *[own[w] for w in ws], m["end"]]
+        if not h:
+            np.add.at(steps, (line[:-1], line[1:]), 1)
+    want = real(m, steps)
+    assert np.allclose(want["follows"], table["follows"])
+    scores = []
+    for d, ws in rows:
+        line = [m["end"], *[own[w] for w in ws], m["end"]]
+        scores.append(sum(want["follows"][a * k + b] + want["emits"][b] for a, b in zip(line, line[1:]))
+                      + sum(math.log10(count[w] + (own[w] >= m["classes"])) for w in ws))
+    assert sorted(r.score for r in got) == pytest.approx(sorted(scores), abs=1e-6)
+    assert all(own[w] < m["classes"] for w in own if count[w] > 1)
