@@ -357,6 +357,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
     A document with fewer words has its whole sequence as its one shingle. Null and empty texts
     and those of blanks have no shingle and link with nothing. Repeated rows link with each
     other and each gives a row; a null doc_id is never the least. An empty table gives no rows.
+    Links are not counted: pairs already in one component are mostly not tested.
     """
     scheme = scheme or Scheme(percent=percent, parts=2, damage=1, spare=0.3)
     docs = docs.select("doc_id", "text")
