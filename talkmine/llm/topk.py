@@ -42,8 +42,10 @@ def _packed(vectors: DataFrame, n: int, size: int, width: int) -> DataFrame:
                 pa.array([np.stack(parts[a:a + size]).tobytes()], pa.binary())], names=["rows", "ids", "matrix"])
 
     packed = vectors.repartition(count).mapInArrow(pack, "rows array<long>, ids array<long>, matrix binary")
-    packed = cut_lineage(packed)
-    return cut_lineage(packed.withColumn("block", F.row_number().over(Window.orderBy(F.element_at("rows", 1))) - 1))
+    packed = cut_lineage(packed.withColumn("first", F.element_at("rows", 1)))
+    # only the blocks' first rows pass through one task, never what they hold
+    numbers = packed.select("first").withColumn("block", F.row_number().over(Window.orderBy("first")) - 1)
+    return cut_lineage(packed.join(F.broadcast(numbers), "first").drop("first"))
 
 
 def _entries(queries, matrix, lists: int, width: int) -> tuple[np.ndarray, ...]:

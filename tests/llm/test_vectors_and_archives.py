@@ -79,6 +79,15 @@ def brute_top(rows, k):
     return sorted(out)
 
 
+def test_blocks_are_numbered_without_moving_matrices(spark):
+    rows = spark.range(1000).select(F.col("id").alias("row"), F.col("id").alias("vec_id"), F.array("id").alias("vector"))
+    blocks = topk._packed(rows, 1000, 100, 1)
+    assert sum(n > 0 for n in blocks.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) > 1
+    got = blocks.orderBy("block").collect()
+    assert [r.block for r in got] == list(range(len(got))) and sorted(i for r in got for i in r.rows) == list(range(1000))
+    assert all(np.frombuffer(r.matrix, np.int64).tolist() == r.rows for r in got)
+
+
 @pytest.mark.parametrize("k, lists", [(1, 1), (5, 3), (20, 4), (2000, 4)])
 def test_top_scores_agree_with_brute_force(spark, monkeypatch, k, lists):
     monkeypatch.setattr(topk, "ROWS", 97)
