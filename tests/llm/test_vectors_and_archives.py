@@ -1,15 +1,20 @@
 """Near-duplicate vectors, exact top k, WARC files and the pipeline."""
 
+import collections
 import gzip
+import hashlib
 import io
+import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import SF
+from tests.llm.test_text_operators import LIBRARY, components, words_of
 
 import corpus_pipeline
-from talkmine.llm import topk, vector_dedup, warc
+from talkmine.llm import langid, quality, topk, vector_dedup, warc
 from talkmine.llm.bitmap import bitmap, hits
 from talkmine.session import fresh_dir
 
@@ -174,3 +179,74 @@ def test_pipeline_on_given_and_odd_rows(spark, odd_documents, no_documents):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
             assert out.count() <= 2 * docs.count()
+
+
+def mixed(rows):
+    """How often the mix takes each document of (doc_id, text, source)."""
+    sized = collections.defaultdict(list)
+    for doc, text, source in rows:
+        u = (int(hashlib.md5(f"0:{doc}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+        sized[source].append((u, doc, len(words_of(text))))
+    names = sorted(sized, key=lambda x: (x is None, x))
+    weight = {name: (3, 1, 2)[i % 3] for i, name in enumerate(names)}
+    size = {name: sum(n for *_, n in sized[name]) for name in names}
+    lacking, unfilled, target = 1.5 * sum(size.values()), list(names), {}
+    while unfilled:
+        level = lacking / sum(weight[x] for x in unfilled)
+        full = [x for x in unfilled if 2 * size[x] <= level * weight[x]]
+        target |= {x: 2 * size[x] if full else level * weight[x] for x in full or unfilled}
+        lacking -= sum(target[x] for x in full)
+        unfilled = [x for x in unfilled if x not in target]
+    out = collections.Counter()
+    for name in names:
+        whole = math.floor(target[name] / size[name])
+        rest, before, last = target[name] - whole * size[name], 0, 0
+        for u, _, n in sorted(sized[name]):
+            if rest > 0 and before + n / 2 <= rest:
+                last = u
+            before += n
+        out.update({doc: whole + (u <= last) for u, doc, _ in sized[name]})
+    return +out
+
+
+def test_pipeline_stages_agree_with_brute_force(spark, monkeypatch):
+    paths, models = {}, {}
+
+    def keeping(box, name, make):
+        return lambda *given: box.setdefault(name, make(*given))
+
+    monkeypatch.setattr(corpus_pipeline, "fresh_dir", lambda spark, name: paths.setdefault(name, fresh_dir(spark, name)))
+    monkeypatch.setattr(corpus_pipeline, "quality_model", keeping(models, "quality", corpus_pipeline.quality_model))
+    monkeypatch.setattr(langid, "learn_from", keeping(models, "language", langid.learn_from))
+    final = corpus_pipeline.run(spark, SF).collect()
+
+    def rows(df):
+        return sorted((r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect())
+
+    left = rows(spark.read.parquet(f"{SF}/documents.parquet"))
+    n = [len(left)]
+
+    def stage(name, want):
+        got = rows(spark.read.parquet(paths[name]))
+        assert got == sorted(want), name
+        n.append(len(got))
+        return got
+
+    left = stage("quality", [r for r in left if quality.scores(pa.array([r[1]]), models["quality"])[0] >= 0.5])
+
+    def known(text):
+        _, _, (lang,), (share,) = langid._of_texts([text or ""], models["language"])
+        return lang != "und" and share >= 0.5
+
+    left = stage("language", [r for r in left if known(r[1])])
+    stays = {doc for doc, shingles, low in components([r[:2] for r in left]) if doc == low or not shingles}
+    left = stage("near_duplicates", [r for r in left if r[0] in stays])
+    assert len(left) < n[-2]  # near copies were there to drop
+    copies = mixed(left)
+    left = stage("mix", [r for r in left for _ in range(copies[r[0]])])
+    want = []
+    for doc, text, _ in left:
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        want.append((doc, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in final) == sorted(want)
