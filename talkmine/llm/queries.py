@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmine.llm import (
-    bpe, brown_lm, filter_audit, langid, mixing, ngram_join, quality, topk, toxicity, vector_dedup, warc,
+    bpe, brown_lm, filter_audit, langid, mixing, ngram_join, quality, sharding, topk, toxicity,
+    vector_dedup, warc,
 )
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +78,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.pack(_read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -84,7 +89,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_mix_sources, op3_bpe, op4_brown_lm, op5_language, op6_toxicity, op7_quality,
-        op8_vector_near_dedup, op9_exact_top_k, op10_warc, op12_filter_audit)}
+        op8_vector_near_dedup, op9_exact_top_k, op10_warc, op11_sharding, op12_filter_audit)}
 
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op9_exact_top_k": topk.ORACLE, "op10_warc": warc.ORACLE,
            "op12_filter_audit": filter_audit.ORACLE}
