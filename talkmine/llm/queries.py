@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmine.llm import (
-    bpe, brown_lm, filter_audit, langid, mixing, ngram_join, quality, sharding, topk, toxicity,
+    bpe, brown_lm, conversation_repair, filter_audit, langid, mixing, ngram_join, quality, sharding, topk, toxicity,
     vector_dedup, warc,
 )
 
@@ -86,10 +86,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(_read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_mix_sources, op3_bpe, op4_brown_lm, op5_language, op6_toxicity, op7_quality,
-        op8_vector_near_dedup, op9_exact_top_k, op10_warc, op11_sharding, op12_filter_audit)}
+        op8_vector_near_dedup, op9_exact_top_k, op10_warc, op11_sharding, op12_filter_audit,
+        op13_conversation_repair)}
 
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op9_exact_top_k": topk.ORACLE, "op10_warc": warc.ORACLE,
-           "op12_filter_audit": filter_audit.ORACLE}
+           "op12_filter_audit": filter_audit.ORACLE,
+           "op13_conversation_repair": conversation_repair.ORACLE}

@@ -32,6 +32,7 @@ WHOLE = 1 / 16
 #: rows that one task numbers
 CELL = 20_000
 
+
 def facts(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, crc32, bytes and tokens of its text, and a number
     ``_copy`` that tells repeated rows apart. Repeated rows cross the network as one."""
@@ -98,7 +99,7 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
 
 def _placed(items: list, totals: dict, shards: int) -> list[tuple[str, int]]:
     items = sorted(items, key=lambda r: r["_item"])
-    shares = np.array([[r[s] * shards / totals[s] if totals[s] else 0.0 for s in SIZES] for r in items])
+    shares = np.array([[r[s] * shards / totals[s] if totals[s] else 0.0 for s in SIZES] for r in items]).reshape(-1, len(SIZES))
     return list(zip((r["_item"] for r in items), place(shares, shards).tolist()))
 
 
