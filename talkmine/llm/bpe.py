@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+import warnings
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,6 +25,33 @@ REMEMBERED = 150_000
 _NOT_BLANK = "\x1c\x1d\x1e\x1f"
 #: white space of the tokenizer's pattern language
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: version of Python's character tables, to which the fixed values below are additions
+UNICODE = "15.1.0"
+# What the tokenizer's own tables have otherwise, as first and last code point.
+# Its patterns know Unicode 16, its lower case Unicode 17, its normal forms Unicode 9.
+LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+    (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+    (0x1E5F0, 0x1E5F0))
+NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: capital letters, first and last, and the lower case of the first
+CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+#: characters that neither change place nor combine in its normal form
+UNMOVED = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA),
+    (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42),
+    (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF))
 _NONE = 1 << 62
 _PLACE = (1 << 40) - 1
 
@@ -36,6 +64,36 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _inside(ranges) -> str:
+    """Code points as the inside of a pattern's brackets."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@lru_cache(2)
+def code_points(kind: str) -> str:
+    """Inside of a pattern's brackets: all code points that the tokenizer takes for ``kind``, L or N.
+
+    They come from Python's tables and the fixed values, whatever the pattern engine is built with.
+    """
+    if unicodedata.unidata_version != UNICODE:
+        warnings.warn(f"Unicode {unicodedata.unidata_version} instead of {UNICODE}: rare characters may be cut otherwise")
+    found = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind]
+    starts = [c for c, before in zip(found, [None, *found]) if before != c - 1]
+    ends = [c for c, after in zip(found, [*found[1:], None]) if after != c + 1]
+    return _inside([*zip(starts, ends), *(LETTERS if kind == "L" else NUMBERS)])
+
+
+_LOWER = {a + i: to + i for a, b, to in CAPITALS for i in range(b - a + 1)} | {ord("Σ"): "σ"}
+_UNMOVED = regex.compile(f"([{_inside(UNMOVED)}])")
+
+
+def plain(text: str) -> str:
+    """Normal form and lower case as the tokenizer makes them."""
+    if text.isascii():
+        return text.lower()
+    return "".join([unicodedata.normalize("NFC", part) for part in _UNMOVED.split(text)]).translate(_LOWER).lower()
+
+
 class _Memory(dict):
     """Results of ``compute`` for short arguments: recent ones, and those seen just before."""
 
@@ -70,6 +128,8 @@ class Bpe:
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for name, kind in ((r"\p{L}", "L"), (r"\p{N}", "N")):
+            pattern = pattern.replace(name, code_points(kind))
         self.piece = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.pieces, self.words = _Memory(self._piece), _Memory(self._word)
@@ -129,8 +189,7 @@ class Bpe:
     def _word(self, text: str) -> tuple[str, str]:
         """The same of any text without special tokens; what stands between blanks is cut alike
         whether it stands alone or not."""
-        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        pieces = [self.pieces[p] for p in self.piece.findall(plain)]
+        pieces = [self.pieces[p] for p in self.piece.findall(plain(text))]
         return " ".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces])
 
     def parts(self, text: str) -> list[tuple[str, str]]:

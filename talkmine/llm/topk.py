@@ -10,6 +10,8 @@ phase three scores their rows exactly. Queries and rows meet in blocks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,6 +22,8 @@ from talkmine.session import cut_lineage
 
 LISTS = 4
 ROWS, QUERIES = 4096, 1024
+#: largest score, less what rounding in the bound may hide
+MOST = 2.0 ** 63 * (1 - 2.0 ** -40)
 
 
 def _packed(vectors: DataFrame, n: int, size: int, width: int) -> DataFrame:
@@ -136,14 +140,20 @@ def top_scores(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int =
     candidates all rows but the query's own; ties go to the smaller vec_id. Rows with a null
     vec_id, a null vector, or a null or non-finite component take no part. Vectors of different
     length are compared as if the shorter ended in zeros. A row that repeats an id is a
-    candidate of its own and, if divisible, a query of its own. Scores must fit a long.
+    candidate of its own and, if divisible, a query of its own. Where the product of the longest
+    vectors' lengths, which no score exceeds, doesn't fit a long, an ``OverflowError`` is raised.
     """
     rows = embeddings.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
     rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    n, width, n_q = rows.agg(F.count("*"), F.max(F.size("vector")), F.count_if(F.col("vec_id") % every == 0)).first()
+    asks = F.col("vec_id") % every == 0
+    queries = rows.filter(asks)
+    length = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    n, width, n_q, longest, asked_longest = rows.agg(
+        F.count("*"), F.max(F.size("vector")), F.count_if(asks), F.max(length), F.max(F.when(asks, length))).first()
+    if n_q and math.sqrt(longest) * math.sqrt(asked_longest) > MOST:
+        raise OverflowError(f"products of vectors of length {math.sqrt(longest):.3g} don't fit a long; take a smaller scale")
     width = max(1, width or 0)
     lists = min(lists, width)
     spark = embeddings.sparkSession

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -165,6 +166,21 @@ def test_bpe_agrees_with_the_library(text):
     assert own.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_knows_every_character():
+    """All code points but every seventh of those in the large blocks without case or marks."""
+    large = [(0x3400, 0xD7A3), (0xE000, 0xF8FF), (0x17000, 0x18CFE), (0x1F000, 0xDFFFF), (0xF0000, 0x10FFFF)]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (
+        c % (701 if c > 0x33500 else 7) == 0 or not any(a <= c <= b for a, b in large))]
+    own = bpe.load(TOKENIZER)
+    texts = [f":{chr(c)}a" for c in points]
+    found = LIBRARY.encode_batch(texts, add_special_tokens=False)
+    assert [hex(c) for c, t, e in zip(points, texts, found) if own.encode(t) != e.ids] == []
+    marks = [chr(c) for c in points if unicodedata.combining(chr(c))] + [chr(c) for c in range(0x11930, 0x11940)]
+    texts = ["".join(t) for t in zip("aeq" * len(marks), marks, reversed(marks), marks[7:], "\u0301\u0345" * len(marks))]
+    found = LIBRARY.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, found) if own.encode(t) != e.ids] == []
+
+
 @pytest.mark.parametrize("text", [
     "<|endoftext|>hi <|startoftext|> x<|endoftext", "Don't we'LL 'S 123 ½ ΑΣ ΣΑΣ İ \x1c\x85é 가 ﬀ ßẞ\x00", "a" * 30_000,
     "!!!###'t't", " ", " 　x﻿"])

@@ -105,8 +105,12 @@ def test_top_scores_agree_with_brute_force(spark, monkeypatch, k, lists):
 def test_top_scores_of_odd_rows_and_large_numbers(spark):
     df = odd_vectors(spark)
     assert sorted(tuple(r) for r in topk.top_scores(df, k=3).collect()) == brute_top(df.collect(), 3)
-    big = spark.createDataFrame([(i, [float(i << 20), 3.0 * i + 1], 0) for i in range(60)], VECTOR)
+    # 64 times 59 << 19, squared, still fits a long; 59 << 20 doesn't
+    big = spark.createDataFrame([(i, [float(i << 19), 3.0 * i + 1], 0) for i in range(60)], VECTOR)
     assert sorted(tuple(r) for r in topk.top_scores(big, k=4).collect()) == brute_top(big.collect(), 4)
+    for rows in ([(i, [float(i << 20), 3.0 * i + 1], 0) for i in range(60)], [(0, [1e300], 0), (1, [1.0], 0)]):
+        with pytest.raises(OverflowError):
+            topk.top_scores(spark.createDataFrame(rows, VECTOR), k=4)
     assert topk.top_scores(spark.createDataFrame([], VECTOR)).count() == 0
     assert topk.top_scores(spark.createDataFrame([(1, [1.0], 0)], VECTOR)).count() == 0
     assert topk.top_scores(spark.createDataFrame([(20, [1.0], 0)], VECTOR)).count() == 0
