@@ -3,8 +3,9 @@
 Every distinct shingle set is a node. Sets that share a PartEnum signature are candidates; no
 similar pair shares none. A candidate pair is dropped when parity sketches prove it too far
 apart, and otherwise settled on the sets themselves. Only membership in components is wanted,
-so a signature group is first compared with one pivot; pairs of its other members are looked
-at only where they are still in different components, in blocks of bounded size.
+so a signature group is first compared with a few pivots; pairs of its other members are looked
+at only where they are still in different components, in blocks of bounded size: first those that
+would connect the components at best, then what these leave open.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmine.llm.bitmap import bitmap, hits
 from talkmine.llm.partenum import Scheme, signatures
 from talkmine.llm.text import Words, mix, shingle_sets, slices, tidy
+from talkmine.functions.ranking import skew_join
 from talkmine.operators.components import connected
 from talkmine.session import cut_lineage, fresh_dir
 
@@ -30,6 +33,8 @@ SIGNATURES_PER_TASK = 1_000_000
 PIVOTS = 4
 #: members of a signature group that are compared with each other at once
 BLOCK = 256
+#: signatures that one count stands for at most
+RUN = 32_767
 _U64 = np.uint64
 
 
@@ -108,7 +113,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, length: int) -> DataFrame:
 
 def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = SHINGLE_WORDS) -> DataFrame:
     """Signatures packed by the place where they meet: per slice of documents and place, the set
-    ids, how many signatures each has there, and the signatures. Copies in a slice count once."""
+    ids, how many signatures each has there, and the signatures. Copies in a slice count once.
+
+    A place holds about ``SIGNATURES_PER_TASK`` signatures at any size of corpus, so 32 more bits tell
+    them apart as well as before; the few that fall together only make a candidate more.
+    """
 
     def compute(batches):
         for _, _, sets in _each_set(batches, length):
@@ -119,10 +128,12 @@ def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = S
             sig = np.concatenate(list(own.values()))
             who = np.repeat(np.arange(len(ids)), [len(x) for x in own.values()])
             place = (sig % _U64(places)).astype(np.int64)
+            sig = (sig // _U64(places)).astype(np.uint32)
             order = np.argsort(place, kind="stable")
             sig, who, place = sig[order], who[order], place[order]
-            runs = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (place[1:] != place[:-1])]) if len(sig) else \
-                np.zeros(0, np.int64)
+            begins = np.r_[True, (who[1:] != who[:-1]) | (place[1:] != place[:-1])][:len(sig)]
+            inside = np.arange(len(sig)) - np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))
+            runs = np.flatnonzero(inside % RUN == 0)
             counts = np.diff(np.r_[runs, len(sig)])
             full = np.flatnonzero(np.bincount(place, minlength=places))
             at_run = np.searchsorted(place[runs], full)
@@ -130,12 +141,12 @@ def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = S
             yield pa.RecordBatch.from_arrays([
                 pa.array(full, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(np.r_[at_run, len(runs)], pa.int32()), pa.array(ids[who[runs]])),
-                pa.ListArray.from_arrays(pa.array(np.r_[at_run, len(runs)], pa.int32()), pa.array(counts, pa.int32())),
-                pa.ListArray.from_arrays(pa.array(np.r_[at_sig, len(sig)], pa.int32()), pa.array(sig.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.r_[at_run, len(runs)], pa.int32()), pa.array(counts, pa.int16())),
+                pa.ListArray.from_arrays(pa.array(np.r_[at_sig, len(sig)], pa.int32()), pa.array(sig.view(np.int32))),
             ], names=["place", "ids", "counts", "sigs"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        tidy(compute), "place int, ids array<long>, counts array<int>, sigs array<long>")
+        tidy(compute), "place int, ids array<long>, counts array<smallint>, sigs array<int>")
 
 
 def _meet(batches, buffer: int = 1 << 18):
@@ -196,7 +207,8 @@ def _meet(batches, buffer: int = 1 << 18):
 
     for batch in batches:
         counts = batch.column("counts").flatten().to_numpy()
-        sigs.append(batch.column("sigs").flatten().to_numpy())
+        place = np.repeat(batch.column("place").to_numpy().astype(np.int64), pc.list_value_length(batch.column("sigs")))
+        sigs.append(place << 32 | batch.column("sigs").flatten().to_numpy().view(np.uint32))
         owners.append(np.repeat(batch.column("ids").flatten().to_numpy(), counts))
         held += len(sigs[-1])
         if held >= buffer:
@@ -209,8 +221,8 @@ def signature_groups(docs: DataFrame, n_features: int, scheme: Scheme, length: i
     """(sig, pivot, member) of all signatures that at least two sets have; null sig: further pivots."""
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 -(-n_features // SIGNATURES_PER_TASK))
-    packed = signature_rows(docs, scheme, 4 * tasks, length)
-    return packed.repartition(tasks, "place").mapInArrow(tidy(_meet), "sig long, pivot long, member long")
+    packed = signature_rows(docs, scheme, tasks, length)
+    return packed.repartitionById(tasks, "place").mapInArrow(tidy(_meet), "sig long, pivot long, member long")
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -301,9 +313,10 @@ class _Block:
                          for at in [np.flatnonzero(width == w)]}
 
 
-def _close(x: _Block, y: _Block, percent: int) -> np.ndarray:
-    """Places of the pairs of two blocks in different components that sketches leave open."""
-    out = [np.zeros((0, 2), np.int64)]
+def _close(x: _Block, y: _Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks in different components that sketches leave open, and the
+    share of features that they surely differ in."""
+    out, shares = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
     for w, (at, a) in x.by_width.items():
         for v, (to, b) in y.by_width.items():
             common = min(w, v)
@@ -318,11 +331,35 @@ def _close(x: _Block, y: _Block, percent: int) -> np.ndarray:
                 differ = np.bitwise_count((a_[i:i + step, None, :] ^ b_[None, :, :]).view(_U64)).sum(axis=2, dtype=np.int64)
                 p, q = np.nonzero(fit & (differ * (100 + percent) <= (n + m) * (100 - percent)))
                 out.append(np.stack([rows[p], to[q]], axis=1))
-    return np.concatenate(out)
+                shares.append(differ[p, q] / (n[p, 0] + m[0, q]))
+    return np.concatenate(out), np.concatenate(shares)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> list[int]:
+    """Of pairs of components (a, b), the nearest ones that connect all that the pairs connect."""
+    above: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while above.get(c, c) != c:
+            above[c] = above.get(above[c], above[c])
+            c = above[c]
+        return c
+
+    order = np.lexsort((share, np.maximum(a, b), np.minimum(a, b)))
+    low, high = np.minimum(a, b)[order], np.maximum(a, b)[order]
+    best = order[np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])][:len(order)]]
+    chosen = []
+    for i in best[np.argsort(share[best], kind="stable")].tolist():
+        x, y = root(int(a[i])), root(int(b[i]))
+        if x != y:
+            above[x] = y
+            chosen.append(i)
+    return chosen
 
 
-def _cross_pairs(percent: int):
-    """Compare blocks with themselves or each other; each task gives a pair once a batch."""
+def _cross_pairs(percent: int, spanning: bool = False):
+    """Compare blocks with themselves or each other; each task gives a pair once a batch. With
+    ``spanning`` no more pairs than connect the components."""
 
     def members(batch, side: str, i: int) -> _Block:
         column = batch.column(side)
@@ -338,9 +375,11 @@ def _cross_pairs(percent: int):
                 if len(x.n) < 2 and not crosses[i]:
                     continue
                 y = members(batch, "right", i) if crosses[i] else x
-                at = _close(x, y, percent)
+                at, share = _close(x, y, percent)
                 if not crosses[i]:
-                    at = at[at[:, 0] < at[:, 1]]
+                    at, share = at[once := at[:, 0] < at[:, 1]], share[once]
+                if spanning:
+                    at = at[_spanning(x.component[at[:, 0]], y.component[at[:, 1]], share)]
                 found.append(np.stack([x.member[at[:, 0]], y.member[at[:, 1]]], axis=1))
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -375,16 +414,19 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
         cut_lineage(_open_pairs(stars, sketches, percent)), docs, percent, length))
     labels = cut_lineage(connected(first))
 
-    rest = _blocks(groups.filter("sig is not null"), labels, sketches)
-    rest = cut_lineage(rest.mapInArrow(tidy(_cross_pairs(percent)), "a long, b long").distinct())
-    if not rest.isEmpty():
-        second = cut_lineage(verified(rest, docs, percent, length))
-        labels = cut_lineage(connected(labels.toDF("a", "b").union(second)))
+    named = groups.filter("sig is not null")
+    for spanning in (True, False):
+        rest = _blocks(named, labels, sketches).mapInArrow(tidy(_cross_pairs(percent, spanning)), "a long, b long")
+        rest = cut_lineage(rest.distinct())
+        if rest.isEmpty():
+            break
+        linked = cut_lineage(verified(rest, docs, percent, length))
+        labels = cut_lineage(connected(labels.toDF("a", "b").union(linked)))
 
     lows = nodes.select("set_id", "low").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     lows = cut_lineage(lows.select("set_id", "low", F.coalesce("component", "set_id").alias("root")))
-    least = cut_lineage(lows.groupBy("root").agg(F.min("low").alias("component_id")))
-    of_sets = cut_lineage(lows.join(least, "root").select("set_id", "component_id", "root"))
+    least = lows.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    of_sets = cut_lineage(skew_join(lows, least, "root", "n").select("set_id", "component_id", "root"))
     return table.select("doc_id", "n_shingles", "set_id", "key").join(of_sets, "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "key")
 
@@ -394,8 +436,8 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT, length: int = SHI
     least doc_id stays (a null id comes last). Texts without a word all stay."""
     rows = cut_lineage(similar_groups(docs, percent, length).filter("root is not null").select(
         "root", "key", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key").alias("place")))
-    first = cut_lineage(rows.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    grouped = rows.join(first, "root")
+    first = rows.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    grouped = cut_lineage(skew_join(rows, first, "root", "n"))
     kept = grouped.groupBy("root").agg(F.max("first")["key"].alias("key"), F.count_if(F.col("place") == F.col("first")).alias("n"))
     gone = cut_lineage(grouped.filter("place <> first").select("key").distinct())
     repeated = cut_lineage(kept.filter("n > 1").select("key"))

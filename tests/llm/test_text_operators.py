@@ -247,7 +247,22 @@ def test_blocks_count_differing_cells_of_the_top_bit():
         {"member": i, "component": i, "n": 10, "sketch": [word]} for i, word in ((1, 0), (2, -(1 << 63) | 1))],
         pa.struct([("member", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
     block = ngram_join._Block(members)
-    assert ngram_join._close(block, block, 80).tolist().count([0, 1]) == 1
+    assert ngram_join._close(block, block, 80)[0].tolist().count([0, 1]) == 1
+
+
+def test_spanning_pairs_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(2)
+    a, b, share = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.random(300)
+    a, b, share = a[a != b], b[a != b], share[a != b]
+    def joined(pairs):
+        group = list(range(40))
+        for x, y in pairs:
+            group = [group[x] if g == group[y] else g for g in group]
+        return {frozenset(i for i in range(40) if group[i] == g) for g in group}
+
+    chosen = ngram_join._spanning(a, b, share)
+    assert len(chosen) == 40 - len(joined(zip(a, b))) and joined(zip(a[chosen], b[chosen])) == joined(zip(a, b))
+    assert ngram_join._spanning(a[:0], b[:0], share[:0]) == []
 
 
 def test_words_go_to_the_class_that_gains_most():
