@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmine.session import cut_lineage
@@ -13,20 +15,32 @@ def top_k(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Place of every row in a total order, found without bringing all rows into one task.
+def places(df: DataFrame, score: str, key: str, asked: list[tuple]) -> list[int]:
+    """Places of some rows, given as (score, key), in ``df`` by falling score (null last), then key.
 
-    Rows are stored in sorted ranges; a place is that within its range plus the sizes of the ranges
-    before it, of which there are as many as partitions.
+    One pass counts in every task how many rows come before each; nothing is sorted or moved but
+    these counts. Meant for a bounded number of rows.
     """
-    place = F.monotonically_increasing_id()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored = cut_lineage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({
-        "_range": F.shiftright(place, 33), "_inside": place.bitwiseAND((1 << 33) - 1)}))
-    sizes = stored.groupBy("_range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("_range")) - F.col("n")
-    return stored.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn(
-        name, F.col("_before") + F.col("_inside") + 1).drop("_range", "_inside", "_before")
+    asked = [(-np.inf if s is None else s, k) for s, k in asked]
+    wanted = np.array([s for s, _ in asked])
+
+    def count(batches):
+        before = np.zeros(len(asked), dtype=np.int64)
+        for batch in batches:
+            scores = batch.column(0).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            before += len(scores) - np.searchsorted(np.sort(scores), wanted, "right")
+            tied = np.isin(scores, wanted)
+            if tied.any():
+                keys, same = np.asarray(batch.column(1).to_pylist(), dtype=object)[tied], scores[tied]
+                for value in np.unique(same):
+                    own = np.sort(keys[same == value])
+                    for i in np.flatnonzero(wanted == value):
+                        before[i] += np.searchsorted(own, asked[i][1], "left")
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(asked)), pa.int32()), pa.array(before)], names=["i", "n"])
+
+    counted = df.select(F.col(score).cast("double"), key).mapInArrow(count, "i int, n long")
+    total = {r["i"]: r["n"] for r in counted.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    return [total.get(i, 0) + 1 for i in range(len(asked))]
 
 
 def count_by_case(df: DataFrame, keys: list[str], column: str, names: dict[str, str]) -> DataFrame:

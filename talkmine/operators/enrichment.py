@@ -43,14 +43,15 @@ def term_weights(docs: DataFrame, text: str = "chunk_text", least: int = 1) -> D
     return seen.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(total / F.col("df")))
 
 
-def tfidf_topics(chunks: DataFrame, k: int = 5, least: int = 4) -> DataFrame:
-    """The ``k`` terms of each chunk with the highest tf * idf.
+def tfidf_topics(chunks: DataFrame, k: int = 5, least: int = 4, weights: DataFrame | None = None) -> DataFrame:
+    """The ``k`` terms of each chunk with the highest tf * idf, by these chunks or by stored ``weights``.
 
     Weights are joined by term; terms that fill a large share of all rows are broadcast, the
     rest is spread by term, so no single word makes a long task.
     """
     rows = postings(chunks, least=least).select("term", "chunk_id", "tf")
-    weighted = skew_join(rows, term_weights(chunks, least=least), "term", "df")
+    weights = term_weights(chunks, least=least) if weights is None else weights
+    weighted = skew_join(rows, weights, "term", "df")
     scored = weighted.withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     ranks = Window.partitionBy("chunk_id").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k).select(
@@ -70,29 +71,40 @@ def top_entities(entities: DataFrame, k: int = 25) -> DataFrame:
     return top_k(groups, [F.desc("mentions"), "entity"], k)
 
 
+def sentences_in(text: str) -> Column:
+    """Sentences of a text column, trimmed, without empty ones."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda p: F.trim(p)),
+                    lambda s: s != "")
+
+
 def chunk_sentences_of(chunks: DataFrame) -> DataFrame:
     """(video_id, chunk_window, pos, sentence) for each sentence of each chunk."""
-    pieces = F.filter(
-        F.transform(F.regexp_extract_all("chunk_text", F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda p: F.trim(p)),
-        lambda s: s != "")
-    return chunks.select("video_id", "chunk_window", F.posexplode(pieces).alias("pos", "sentence"))
+    return chunks.select("video_id", "chunk_window", F.posexplode(sentences_in("chunk_text")).alias("pos", "sentence"))
 
 
-def extract_summary(chunks: DataFrame, sentences: int = 3, least_words: int = 5) -> DataFrame:
+def extract_summary(chunks: DataFrame, sentences: int = 3, least_words: int = 5,
+                    weights: DataFrame | None = None) -> DataFrame:
     """The sentences with the highest mean term weight, in their original order.
 
-    Only keys and weights travel with the terms; the text is joined to the few winners.
+    Only keys and weights travel with the terms. Winners come to their chunk as one row and are cut
+    out of its text there, so sentences are never rows of their own.
     """
     place = ["video_id", "chunk_window", "pos"]
     pieces = chunk_sentences_of(chunks)
     words = pieces.select(*place, long_tokens(F.col("sentence")).alias("w")).filter(F.size("w") >= least_words)
     rows = words.select(*place, F.explode(term_counts(F.col("w"))).alias("p")).select(*place, "p.term", "p.tf")
-    weights = term_weights(chunks, least=3)
+    weights = term_weights(chunks, least=3) if weights is None else weights
     scored = skew_join(rows, weights, "term", "df").groupBy(*place).agg(
         F.round(F.sum(F.col("tf") * F.col("idf")) / F.sum("tf"), 6).alias("score"))
     ranks = Window.partitionBy("video_id").orderBy(F.desc("score"), "chunk_window", "pos")
     best = scored.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= sentences)
-    return best.join(pieces, place).groupBy("video_id").agg(
+    chosen = best.groupBy("video_id", "chunk_window").agg(F.collect_list(F.struct("pos", "score")).alias("won"))
+    texts = chunks.select("video_id", "chunk_window", sentences_in("chunk_text").alias("s"))
+    cut = texts.join(chosen, ["video_id", "chunk_window"]).select("video_id", "chunk_window", F.transform(
+        "won", lambda w: F.struct(w["pos"].alias("pos"), w["score"].alias("score"), F.get(F.col("s"), w["pos"]).alias("sentence")))
+        .alias("won"))
+    return cut.select("video_id", "chunk_window", F.explode("won").alias("w")).select("video_id", "chunk_window", "w.*").groupBy(
+        "video_id").agg(
         F.expr("listagg(sentence, ' ') within group (order by chunk_window, pos)").alias("episode_summary"),
         F.max("score").alias("best_score"))
 

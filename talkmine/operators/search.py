@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from talkmine import fixed_values as fixed
-from talkmine.functions.ranking import ranked, skew_join, top_k
+from talkmine.functions.ranking import literal_table, places, skew_join, top_k
 from talkmine.functions.text import tokens
 from talkmine.functions.vectors import (
     best_of_block, cosine_to, top_of_partition, unit, unit_rows, with_direction,
@@ -227,20 +227,33 @@ def bm25_topk(docs: DataFrame, query: str, k: int | None = 10, key: str = "chunk
 def hybrid_topk(
     by_vector: DataFrame, by_keyword: DataFrame, k: int = 10, key: str = "chunk_id", smooth: int = 60
 ) -> DataFrame:
-    """Reciprocal rank fusion of two lists (each with ``score``), ranked in full.
+    """Reciprocal rank fusion of two lists (each with ``score`` and unique keys), by a threshold.
 
-    A document far down in both lists can beat one that is only in the first places of one, so
-    no list may be cut before the fusion.
+    A list's first ``k`` score at least ``1 / (smooth + k)``. A document below place ``smooth + 2k``
+    in both scores less, so only those above it in one list can be among the best ``k``. Their
+    places in the other list, however far down, are counted in one pass; no list is sorted or cut.
     """
-    order = [F.desc_nulls_last("score"), F.asc(key)]
-    both = ranked(by_vector, order, "vector_rank").select(key, "vector_rank").join(
-        ranked(by_keyword, order, "keyword_rank").select(key, "keyword_rank"), key, "full")
-
-    def worth(c: str) -> Column:
-        return F.coalesce(1.0 / (smooth + F.col(c)), F.lit(0.0))
-
-    fused = both.withColumn("score", F.round(worth("vector_rank") + worth("keyword_rank"), 8))
-    return top_k(fused, [F.desc("score"), key], k)
+    depth = smooth + 2 * k
+    lists = {"vector_rank": by_vector.select(key, F.col("score").cast("double").alias("score")),
+             "keyword_rank": by_keyword.select(key, F.col("score").cast("double").alias("score"))}
+    heads = {name: top_k(rows, [F.desc_nulls_last("score"), key], depth).collect() for name, rows in lists.items()}
+    found: dict = {row[key]: {} for rows in heads.values() for row in rows}
+    for name, rows in heads.items():
+        for place, row in enumerate(rows, 1):
+            found[row[key]][name] = place
+    for name, rows in lists.items():
+        if len(heads[name]) < depth:
+            continue  # the whole list was read
+        missing = [i for i, ranks in found.items() if name not in ranks]
+        seen = [(row["score"], row[key]) for row in rows.filter(F.col(key).isin(missing)).collect()] if missing else []
+        for (_, i), place in zip(seen, places(rows, "score", key, seen) if seen else []):
+            found[i][name] = place
+    worth = {i: round(sum(1.0 / (smooth + r) for r in ranks.values()), 8) for i, ranks in found.items()}
+    best = sorted(found, key=lambda i: (-worth[i], i))[:k]
+    kind = lists["vector_rank"].schema[key].dataType.simpleString()
+    return literal_table(by_vector.sparkSession, [
+        (i, found[i].get("vector_rank"), found[i].get("keyword_rank"), worth[i]) for i in best],
+        f"{key} {kind}, vector_rank long, keyword_rank long, score double")
 
 
 def result_view(hits: DataFrame, chunks: DataFrame, preview: int | None = None) -> DataFrame:

@@ -102,6 +102,21 @@ def test_hybrid_keeps_hits_of_either_list(spark):
     assert [r.chunk_id for r in s.hybrid_topk(a, b).collect()] == ["y", "x", "z"]
 
 
+def test_hybrid_agrees_with_ranking_in_full(spark):
+    """Long lists with ties and nulls, in which some of the best stand far down in one list."""
+    import random
+    rng = random.Random(5)
+    near = {f"d{i:04}": round(rng.random(), 2) if i % 7 else None for i in range(900)}
+    said = {f"d{i:04}": round(rng.random(), 2) for i in range(300, 1200)}
+    lists = [spark.createDataFrame(list(x.items()), "chunk_id string, score double") for x in (near, said)]
+    rank = [{i: n for n, i in enumerate(sorted(x, key=lambda i: (-(-1 if x[i] is None else x[i]), i)), 1)} for x in (near, said)]
+    worth = {i: round(sum(1 / (3 + r[i]) for r in rank if i in r), 8) for i in {**near, **said}}
+    want = sorted(worth, key=lambda i: (-worth[i], i))[:12]
+    got = s.hybrid_topk(*lists, k=12, smooth=3).collect()
+    assert [(r.chunk_id, r.vector_rank, r.keyword_rank, r.score) for r in got] == [
+        (i, rank[0].get(i), rank[1].get(i), worth[i]) for i in want]
+
+
 def test_dense_vector_has_unit_length(spark):
     df = en.hash_embed(docs(spark, "one two two three", ""), 64)
     full, empty = [r.embedding for r in df.orderBy("chunk_id").collect()]
