@@ -62,8 +62,15 @@ def topic_nodes(claims: DataFrame) -> DataFrame:
     return claims.filter(present(F.col("topic"))).select(F.col("topic").alias("name")).distinct()
 
 
+def _one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the same on every run: the one whose text form comes first."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")).select(
+        *keys, "_r.*").select(*rows.columns)
+
+
 def claim_nodes(claims: DataFrame) -> DataFrame:
-    return claims.filter(F.col("claim_id").isNotNull()).dropDuplicates(["claim_id"])
+    return _one_per_key(claims.filter(F.col("claim_id").isNotNull()), ["claim_id"])
 
 
 def nodes(chunks: DataFrame, people: DataFrame, claims: DataFrame, channels: DataFrame) -> DataFrame:
@@ -95,8 +102,10 @@ def _edge(df: DataFrame, kind, src_label: str, src: str, dst_label: str, dst: st
 
 
 def drop_dangling(edges: DataFrame, ids: DataFrame, side: str) -> DataFrame:
-    """Keep edges whose ``side`` (src or dst) is among ``ids``, a table with one column."""
-    return edges.join(ids.toDF(side), side, "left_semi")
+    """Keep edges whose ``side`` (src or dst) is among ``ids``, a table with one column. Ids that a
+    count shows to be few, such as channels, are sent to the edges, of which one may have very many."""
+    ids = ids.toDF(side).distinct()
+    return edges.join(F.broadcast(ids) if ids.count() <= SMALL_LAYER else ids, side, "left_semi")
 
 
 def belongs_to(chunks: DataFrame, channels: DataFrame) -> DataFrame:
@@ -108,8 +117,8 @@ def belongs_to(chunks: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def appeared_on(people: DataFrame, episodes: DataFrame) -> DataFrame:
-    rows = people.filter(F.col("participant_name").isNotNull() & F.col("video_id").isNotNull()).dropDuplicates(
-        ["participant_name", "video_id"])
+    rows = people.filter(F.col("participant_name").isNotNull() & F.col("video_id").isNotNull())
+    rows = _one_per_key(rows, ["participant_name", "video_id"])
     return drop_dangling(
         _edge(rows, "APPEARED_ON", "Person", "participant_name", "Episode", "video_id",
               role="participant_role", confidence="confidence", method="extraction_method"),
@@ -250,16 +259,28 @@ def co_appearance(appeared: DataFrame, person: str) -> DataFrame:
         F.col("src").alias("person")).agg(F.count_distinct("dst").alias("shared_episodes"))
 
 
-def k_hop(all_edges: DataFrame, label: str, start: str, k: int = 2) -> DataFrame:
-    """Nodes within ``k`` steps of a node, direction ignored, with the number of steps.
+def adjacency(all_edges: DataFrame, piece: int = 1024) -> DataFrame:
+    """(a, piece, near): the neighbours of each node, direction ignored, packed into lists.
 
-    Each round joins only the newest layer, drops nodes seen before and is checkpointed. A
-    layer counted as small is broadcast, so the many edges of a hub stay where they are.
+    A node with many edges has several lists of about ``piece`` neighbours, so no hub is one row.
     """
     out = all_edges.select(
         F.struct(F.col("src_label").alias("label"), F.col("src").alias("id")).alias("a"),
         F.struct(F.col("dst_label").alias("label"), F.col("dst").alias("id")).alias("b"))
-    links = out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = cut_lineage(out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degree = links.groupBy("a").agg(F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("n") / piece))
+    cut = skew_join(links, degree, "a", "n").withColumn("piece", F.pmod(F.xxhash64("b"), F.col("pieces")))
+    return cut.groupBy("a", "piece").agg(F.sort_array(F.collect_list("b")).alias("near"))
+
+
+def k_hop(all_edges: DataFrame, label: str, start: str, k: int = 2, packed: DataFrame | None = None) -> DataFrame:
+    """Nodes within ``k`` steps of a node, direction ignored, with the number of steps.
+
+    Lists of neighbours (``packed``, as ``adjacency`` gives them) are built once. Each round joins
+    only the newest layer, drops nodes seen before and is checkpointed. A layer counted as small
+    is broadcast, so the lists of a hub stay where they are.
+    """
+    packed = cut_lineage(adjacency(all_edges)) if packed is None else packed
     spark = all_edges.sparkSession
     layer = spark.range(1).select(
         F.struct(F.lit(label).alias("label"), F.lit(start).alias("id")).alias("node"), F.lit(0).alias("hops"))
@@ -268,7 +289,7 @@ def k_hop(all_edges: DataFrame, label: str, start: str, k: int = 2) -> DataFrame
         front = layer.select(F.col("node").alias("a"))
         if layer.count() <= SMALL_LAYER:
             front = F.broadcast(front)
-        reached = links.join(front, "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        reached = packed.join(front, "a", "left_semi").select(F.explode("near").alias("node")).distinct()
         layer = cut_lineage(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(step)))
         seen = seen.unionByName(layer)
     return seen.select("node.label", "node.id", "hops")

@@ -19,6 +19,9 @@ EPISODE_COLUMNS = {
     "avg_segment_len_sec": "double",
 }
 
+#: channels that may be sent to every task
+SMALL_CHANNELS = 100_000
+
 
 def variant_payload(raw: DataFrame) -> DataFrame:
     """Schema-on-read: pull the typed columns out of a VARIANT ``raw_data`` column."""
@@ -49,8 +52,13 @@ def stg_episodes(payload: DataFrame) -> DataFrame:
 
 
 def with_channel(episodes: DataFrame, channels: DataFrame) -> DataFrame:
-    """Attach the channel link. The channel table has one row per channel."""
+    """Attach the channel link. The channel table has one row per channel.
+
+    A channel may have a large share of all episodes, so a table counted as small is sent to them.
+    """
     links = channels.select("channel_id", F.col("youtube_url").alias("channel_url"))
+    if links.count() <= SMALL_CHANNELS:
+        links = F.broadcast(links)
     return episodes.join(links, "channel_id", "left")
 
 

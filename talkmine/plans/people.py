@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkmine.operators import claims
 from talkmine.operators import graph as g
 from talkmine.operators import participants as p
 from talkmine.plans.claims import evolution
 from talkmine.plans.oracle import sql
-from talkmine.plans.registry import query
+from talkmine.plans.registry import ORACLES, QUERIES, query
 from talkmine.plans.transcripts import chunks, day
-from talkmine.session import cut_lineage
+from talkmine.session import cut_lineage, fresh_dir
+from talkmine.sources import files, sinks
 from talkmine.sources import tables as t
 
 NAME = r"([A-Z][a-z]+ [A-Z][a-z]+)"
@@ -364,3 +366,162 @@ def co_appearance(spark, sf):
  from hops group by node""", *_GRAPH_VIEWS))
 def k_hop(spark, sf):
     return g.k_hop(graph_edges(spark, sf), "Person", "Dev Lind", 2)
+
+
+@query("k_hop_hub", sql(_GRAPH + """,
+ links as (select src_label || ':' || src as a, dst_label || ':' || dst as b from edges union
+  select dst_label || ':' || dst, src_label || ':' || src from edges),
+ one as (select distinct b from links where a = 'Channel:src1'),
+ two as (select distinct links.b from links join one on links.a = one.b),
+ hops as (select 'Channel:src1' as node, 0 as hops union all select b, 1 from one union all select b, 2 from two)
+select split_part(node, ':', 1) as label, substring(node, position(':' in node) + 1) as id, min(hops) as hops
+from hops group by node""", *_GRAPH_VIEWS))
+def k_hop_hub(spark, sf):
+    """From a channel, a node with many edges, whose neighbours lie in several lists."""
+    all_edges = cut_lineage(graph_edges(spark, sf))
+    return g.k_hop(all_edges, "Channel", "src1", 2, cut_lineage(g.adjacency(all_edges, 16)))
+
+
+# --- sinks ---------------------------------------------------------------------------------
+
+_KIND_COUNTS = """
+select 'edge' as part, type as kind, count(*) as count from edges group by 2
+union all select 'node', label, count(*) from nodes group by 2"""
+
+
+def _stored_counts(spark, path):
+    made = [spark.read.parquet(f"{path}/{name}").groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("count")).select(
+        F.lit(part).alias("part"), "kind", "count") for name, part, kind in (("edges", "edge", "type"), ("nodes", "node", "label"))]
+    return made[0].unionByName(made[1])
+
+
+def _graph_tables(spark, sf):
+    all_nodes, all_edges = (cut_lineage(x) for x in graph(spark, sf))
+    return all_nodes, all_edges.select("type", "src_label", "src", "dst_label", "dst").distinct()
+
+
+@query("graph_export", sql(_GRAPH + _KIND_COUNTS, *_GRAPH_VIEWS))
+def graph_export(spark, sf):
+    """Nodes and edges written in two overlapping parts, each key once."""
+    all_nodes, all_edges = _graph_tables(spark, sf)
+    path = fresh_dir(spark, "graph")
+    sinks.write_graph(all_nodes.filter(F.xxhash64("id") % 2 == 0), all_edges.filter(F.xxhash64("src") % 2 == 0), path)
+    sinks.write_graph(all_nodes, all_edges, path, "append")
+    return _stored_counts(spark, path)
+
+
+@query("graph_reload", sql(_GRAPH + _KIND_COUNTS, *_GRAPH_VIEWS))
+def graph_reload(spark, sf):
+    """A reload leaves nothing of what was there before."""
+    all_nodes, all_edges = _graph_tables(spark, sf)
+    path = fresh_dir(spark, "graph")
+    sinks.write_graph(all_nodes.withColumn("id", F.concat(F.lit("old "), "id")), all_edges.limit(5), path)
+    sinks.write_graph(all_nodes, all_edges, path)
+    return _stored_counts(spark, path)
+
+
+@query("stored_claims", sql("""
+select topic, count(*) as claims, min(claim_id) as first_claim,
+ (select count(distinct video_id) from claims) as chunks_answered from claims group by 1""", "claims"))
+def stored_claims(spark, sf):
+    """Claims stored in two overlapping batches; answered chunks are noted once."""
+    rows, path = t.claims(spark, sf), fresh_dir(spark, "claims")
+    for part in (rows.filter(F.xxhash64("claim_id") % 3 != 0), rows):
+        sinks.store_claims(part, part.select("chunk_id"), path)
+    answered = spark.read.parquet(f"{path}/processed_chunks").agg(F.count("*")).scalar()
+    return spark.read.parquet(f"{path}/claims").groupBy("topic").agg(
+        F.count("*").alias("claims"), F.min("claim_id").alias("first_claim")).withColumn("chunks_answered", answered)
+
+
+@query("search_log", sql("""
+select query_type, count(*) as searches, cast(sum(latency_ms) as bigint) as latency from search_history group by 1""",
+                         "search_history"))
+def search_log(spark, sf):
+    """The search history appended in two parts."""
+    rows, path = t.search_history(spark, sf), fresh_dir(spark, "log")
+    for part in (0, 1):
+        sinks.append_log(rows.filter(F.col("search_id") % 2 == part), path)
+    return spark.read.parquet(path).groupBy("query_type").agg(
+        F.count("*").alias("searches"), F.sum("latency_ms").alias("latency"))
+
+
+@query("profile_report", ORACLES["genre_breakdown"])
+def profile_report(spark, sf):
+    """A profile stored as a report and read again; a second report takes its place."""
+    rows, path = QUERIES["genre_breakdown"](spark, sf), fresh_dir(spark, "report")
+    sinks.write_report(rows.limit(1), path, "json")
+    sinks.write_report(rows, path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("loaded_episodes", sql("""
+select channel_name, count(*) as episodes, min(video_id) as first_id, cast(sum(segment_count) as bigint) as segments
+from metrics group by 1""", "metrics"))
+def loaded_episodes(spark, sf):
+    """Landing rows loaded twice, half of them first."""
+    rows, path = cut_lineage(t.payload(spark, sf)), fresh_dir(spark, "landing")
+    for part in (rows.filter(F.xxhash64("video_id") % 2 == 0), rows, rows):
+        sinks.load_episodes(part, path)
+    return spark.read.parquet(path).groupBy("channel_name").agg(
+        F.count("*").alias("episodes"), F.min("video_id").alias("first_id"), F.sum("segment_count").alias("segments"))
+
+
+@query("pending_channels", """
+with wanted as (select source as name, 60 as target from documents group by 1),
+ held as (select source as name, count(distinct doc_id) as done from documents
+  where doc_id in (select doc_id from labels) and source <> 'src3' group by 1)
+select name, target - coalesce(done, 0) as remaining from wanted left join held using (name)
+where target - coalesce(done, 0) > 0""")
+def pending_channels(spark, sf):
+    """What the channel list still asks for after the ledger, both read from their JSON files."""
+    docs, home = t.table(spark, sf, "documents").select("doc_id", "source"), fresh_dir(spark, "config")
+    listed = docs.select("source").distinct().agg(F.collect_list(F.struct(
+        F.col("source").alias("name"), F.lit(60).alias("target_episodes"))).alias("channels"))
+    listed.write.json(f"{home}/channels")
+    held = docs.join(t.table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").filter("source <> 'src3'")
+    state = held.groupBy("source").agg(F.struct(F.collect_list(F.col("doc_id").cast("string")).alias("downloaded_ids")).alias("s"))
+    state.agg(F.map_from_entries(F.collect_list(F.struct("source", "s"))).alias("channels")).write.json(f"{home}/ledger")
+    left = files.pending(files.read_channels(spark, f"{home}/channels"), files.read_ledger(spark, f"{home}/ledger"))
+    return left.select("name", "remaining")
+
+
+@query("spread_claim_jobs", sql("""
+select channel_name, count(*) as chunks, true as several_tasks from chunks group by 1""", "chunks"))
+def spread_claim_jobs(spark, sf):
+    """Every chunk is a job once, and the jobs are many tasks."""
+    jobs = cut_lineage(claims.spread_jobs(chunks(spark, sf).select("chunk_id", "channel_name"), 8).withColumn(
+        "task", F.spark_partition_id()))
+    tasks = jobs.agg(F.count_distinct("task") > 1).scalar()
+    return jobs.groupBy("channel_name").agg(F.count("*").alias("chunks")).withColumn("several_tasks", tasks)
+
+
+@query("prompts_with_participants", sql(_PEOPLE + """,
+ named as (select video_id,
+  coalesce(nullif(string_agg(distinct participant_name, ', ' order by participant_name) filter (participant_role = 'HOST'), ''), 'Unknown') as hosts,
+  coalesce(nullif(string_agg(distinct participant_name, ', ' order by participant_name) filter (participant_role = 'GUEST'), ''), 'Unknown') as guests
+  from people where confidence in ('HIGH', 'MEDIUM') group by 1)
+select chunk_id, 'claims' as kind, concat('hosts: ', coalesce(hosts, 'Unknown')) as host_line,
+ concat('guests: ', coalesce(guests, 'Unknown')) as guest_line, md5(regexp_replace(chunk_text, '[ \t\n\r]+', '', 'g')) as covered
+from chunks left join named using (video_id)""", "titles", "chunks"))
+def prompts_with_participants(spark, sf):
+    """Claim prompts name who speaks, and show all of the chunk."""
+    rows = p.with_participants(chunks(spark, sf), people(spark, sf))
+    made = claims.build_prompts(rows, "claims", context=["hosts", "guests"])
+    lines = F.split("prompt", "\n", 4)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "part", F.substr(F.get(lines, F.lit(3)), F.lit(len("text: ") + 1)).alias("t")))), lambda x: x["t"]), "")
+    return made.groupBy("chunk_id", "kind").agg(
+        F.min(F.get(lines, F.lit(1))).alias("host_line"), F.min(F.get(lines, F.lit(2))).alias("guest_line"),
+        F.md5(F.regexp_replace(whole, "[ \t\n\r]+", "")).alias("covered"))
+
+
+@query("entity_and_summary_prompts", sql("""
+select chunk_id as id, 'entities' as kind, cast(1 as bigint) as first_part from chunks
+union all select video_id, 'summary', 1 from chunks group by video_id""", "chunks"))
+def entity_and_summary_prompts(spark, sf):
+    """Prompts for the entities of every chunk and the summary of every episode's beginning."""
+    from talkmine.operators.chunking import episode_excerpt
+    rows = chunks(spark, sf)
+    made = claims.build_prompts(rows, "entities").withColumnRenamed("chunk_id", "id").unionByName(
+        claims.build_prompts(episode_excerpt(rows), "summary", "video_id", "excerpt").withColumnRenamed("video_id", "id"))
+    return made.groupBy("id", "kind").agg(F.min("part").cast("long").alias("first_part"))
