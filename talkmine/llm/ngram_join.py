@@ -4,8 +4,8 @@ Every distinct shingle set is a node. Sets that share a PartEnum signature are c
 similar pair shares none. A candidate pair is dropped when parity sketches prove it too far
 apart, and otherwise settled on the sets themselves. Only membership in components is wanted,
 so a signature group is first compared with a few pivots; pairs of its other members are looked
-at only where they are still in different components, in blocks of bounded size: first those that
-would connect the components at best, then what these leave open.
+at only where they are still in different components, in blocks of bounded size. Blocks tell which
+components may be linked; then the members of one are held against those of the other, on the sets.
 """
 
 from __future__ import annotations
@@ -313,10 +313,9 @@ class _Block:
                          for at in [np.flatnonzero(width == w)]}
 
 
-def _close(x: _Block, y: _Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of two blocks in different components that sketches leave open, and the
-    share of features that they surely differ in."""
-    out, shares = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+def _close(x: _Block, y: _Block, percent: int) -> np.ndarray:
+    """Places of the pairs of two blocks in different components that sketches leave open."""
+    out = [np.zeros((0, 2), np.int64)]
     for w, (at, a) in x.by_width.items():
         for v, (to, b) in y.by_width.items():
             common = min(w, v)
@@ -331,35 +330,12 @@ def _close(x: _Block, y: _Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
                 differ = np.bitwise_count((a_[i:i + step, None, :] ^ b_[None, :, :]).view(_U64)).sum(axis=2, dtype=np.int64)
                 p, q = np.nonzero(fit & (differ * (100 + percent) <= (n + m) * (100 - percent)))
                 out.append(np.stack([rows[p], to[q]], axis=1))
-                shares.append(differ[p, q] / (n[p, 0] + m[0, q]))
-    return np.concatenate(out), np.concatenate(shares)
+    return np.concatenate(out)
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> list[int]:
-    """Of pairs of components (a, b), the nearest ones that connect all that the pairs connect."""
-    above: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while above.get(c, c) != c:
-            above[c] = above.get(above[c], above[c])
-            c = above[c]
-        return c
-
-    order = np.lexsort((share, np.maximum(a, b), np.minimum(a, b)))
-    low, high = np.minimum(a, b)[order], np.maximum(a, b)[order]
-    best = order[np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])][:len(order)]]
-    chosen = []
-    for i in best[np.argsort(share[best], kind="stable")].tolist():
-        x, y = root(int(a[i])), root(int(b[i]))
-        if x != y:
-            above[x] = y
-            chosen.append(i)
-    return chosen
-
-
-def _cross_pairs(percent: int, spanning: bool = False):
-    """Compare blocks with themselves or each other; each task gives a pair once a batch. With
-    ``spanning`` no more pairs than connect the components."""
+def _open_components(percent: int):
+    """Compare blocks with themselves or each other: the pairs of components that sketches leave open,
+    each once a batch."""
 
     def members(batch, side: str, i: int) -> _Block:
         column = batch.column(side)
@@ -375,18 +351,87 @@ def _cross_pairs(percent: int, spanning: bool = False):
                 if len(x.n) < 2 and not crosses[i]:
                     continue
                 y = members(batch, "right", i) if crosses[i] else x
-                at, share = _close(x, y, percent)
-                if not crosses[i]:
-                    at, share = at[once := at[:, 0] < at[:, 1]], share[once]
-                if spanning:
-                    at = at[_spanning(x.component[at[:, 0]], y.component[at[:, 1]], share)]
-                found.append(np.stack([x.member[at[:, 0]], y.member[at[:, 1]]], axis=1))
+                at = _close(x, y, percent)
+                found.append(np.unique(np.stack([x.component[at[:, 0]], y.component[at[:, 1]]], axis=1), axis=0))
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return compute
 
 
+def _linked(percent: int):
+    """For each set of the right block one link to the left block, whose sets are one component."""
+
+    def sets(column, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
+        rows = column.values.slice(a, b - a)
+        features = rows.field("features")
+        begin = features.offsets.to_numpy()
+        return rows.field("member").to_numpy(), features.values.to_numpy()[begin[0]:begin[-1]], begin - begin[0]
+
+    def compute(batches):
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                y, of_y, begin = sets(batch.column("left"), i)
+                x, of_x, at = sets(batch.column("right"), i)
+                size = np.diff(begin)
+                order = np.argsort(of_y, kind="stable")
+                owner, of_y = np.repeat(np.arange(len(y)), size)[order], of_y[order]
+                for j in range(len(x)):
+                    own = of_x[at[j]:at[j + 1]]
+                    low, high = np.searchsorted(of_y, own, "left"), np.searchsorted(of_y, own, "right")
+                    n = high - low
+                    hit = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    common = np.bincount(owner[hit], minlength=len(y))
+                    near = np.flatnonzero(common * 100 >= (size + len(own) - common) * percent)
+                    if len(near):
+                        out.append((int(x[j]), int(y[near[0]])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())],
+                                             names=["a", "b"])
+
+    return compute
+
+
+def _links_between(pairs: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, length: int) -> DataFrame:
+    """Links (a, b) that connect the given pairs of components, if any pair of their members is similar.
+
+    The members of all smaller components that a larger one may be linked with are its
+    challengers. They meet its members in tiles of ``BLOCK`` by ``BLOCK`` sets, and a challenger
+    gives one link a tile at most, so a component of any size is many tasks and no pairs are listed.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("component")).distinct()
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    ends = cut_lineage(ends.join(sizes, "component", "left").select("component", F.coalesce("n", F.lit(1)).alias("n")))
+    members = skew_join(labels, ends, "component", "n").select("component", F.col("node").alias("member")).unionByName(
+        ends.join(labels, "component", "left_anti").select("component", F.col("component").alias("member")))
+    members = cut_lineage(members)
+    sets = cut_lineage(sets_of(docs, members.select(F.col("member").alias("set_id")), length))
+    members = members.join(sets.withColumnRenamed("set_id", "member"), "member")
+    met = pairs
+    for side in ("a", "b"):
+        met = met.join(ends.select(F.col("component").alias(side), F.col("n").alias(f"n_{side}")), side)
+    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    met = cut_lineage(met.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("small"),
+        F.greatest("n_a", "n_b").alias("n_large"), F.least("n_a", "n_b").alias("n_small")))
+    tiles = cut_lineage(met.groupBy("large").agg(
+        F.ceil(F.first("n_large") / BLOCK).alias("lefts"), F.ceil(F.sum("n_small") / BLOCK).alias("rights"),
+        F.sum("n_small").alias("n_small"), F.first("n_large").alias("n_large")))
+
+    def cut(rows: DataFrame, own: str, other: str, i: str, j: str, name: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("member"), F.col(own))
+        spread = rows.select("large", at.alias(i), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j), "member", "features")
+        return spread.groupBy("large", "i", "j").agg(F.collect_list(F.struct("member", "features")).alias(name))
+
+    left = skew_join(members.withColumnRenamed("component", "large"), tiles, "large", "n_large")
+    asked = cut_lineage(met.select("small", "large").join(tiles.select("large", "lefts", "rights"), "large"))
+    right = members.withColumnRenamed("component", "small").join(asked, "small")
+    met_tiles = cut(left, "lefts", "rights", "i", "j", "left").join(
+        cut(right, "rights", "lefts", "j", "i", "right"), ["large", "i", "j"])
+    return met_tiles.select("left", "right").mapInArrow(tidy(_linked(percent)), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS,
                    scheme: Scheme | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, root (of linked sets) and key of each row of ``docs`` (doc_id, text; more are ignored).
@@ -414,14 +459,11 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
         cut_lineage(_open_pairs(stars, sketches, percent)), docs, percent, length))
     labels = cut_lineage(connected(first))
 
-    named = groups.filter("sig is not null")
-    for spanning in (True, False):
-        rest = _blocks(named, labels, sketches).mapInArrow(tidy(_cross_pairs(percent, spanning)), "a long, b long")
-        rest = cut_lineage(rest.distinct())
-        if rest.isEmpty():
-            break
-        linked = cut_lineage(verified(rest, docs, percent, length))
-        labels = cut_lineage(connected(labels.toDF("a", "b").union(linked)))
+    rest = _blocks(groups.filter("sig is not null"), labels, sketches)
+    rest = cut_lineage(rest.mapInArrow(tidy(_open_components(percent)), "a long, b long").distinct())
+    if not rest.isEmpty():
+        second = cut_lineage(_links_between(rest, labels, docs, percent, length))
+        labels = cut_lineage(connected(labels.toDF("a", "b").union(second)))
 
     lows = nodes.select("set_id", "low").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     lows = cut_lineage(lows.select("set_id", "low", F.coalesce("component", "set_id").alias("root")))
