@@ -10,12 +10,13 @@ components may be linked; then the members of one are held against those of the
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmine.llm.bitmap import bitmap, hits
@@ -225,11 +226,21 @@ def signature_groups(docs: DataFrame, n_features: int, scheme: Scheme, length: i
     return packed.repartitionById(tasks, "place").mapInArrow(tidy(_meet), "sig long, pivot long, member long")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: smaller than a checkpoint of many short rows."""
+def _forget(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of finished steps, and have the driver collect the handles of their shuffles, at which
+    Spark deletes those files too; else all that the steps wrote stays on disk until the end."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Written to the shared folder and read again: smaller than a checkpoint of many short rows; and its folder."""
     path = fresh_dir(df.sparkSession, "ngram-join")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def _at_most(a: str, b: str, percent: int) -> Column:
@@ -271,16 +282,16 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> Da
     return pairs.filter(common * 100 >= union * percent).select("a", "b")
 
 
-def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[DataFrame, str]:
     """Blocks, and pairs of blocks, of those groups whose members, the pivot aside, are not all
-    connected.
+    connected; and the folder that these are read from.
 
     Of groups with the same members one is enough. Blocks hold about ``BLOCK`` members, so a
     frequent signature is many tasks.
     """
     label = F.coalesce("component", "member")
     members = groups.select("sig", "member").join(labels.withColumnRenamed("node", "member"), "member", "left")
-    members = _stored(members.select("sig", "member", label.alias("component")))
+    members, folder = _stored(members.select("sig", "member", label.alias("component")))
     several = members.groupBy("sig").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"),
         F.sum(F.shiftright(F.xxhash64("member"), 24)).alias("all"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("same"))
@@ -297,7 +308,7 @@ def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFr
     left = large.select("sig", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"),
                         F.col("members").alias("left"), F.col("block").alias("own"))
     return small.union(left.join(large.select("sig", "block", "members"), ["sig", "block"]).select(
-        "left", F.when(F.col("own") != F.col("block"), F.col("members")).alias("right")))
+        "left", F.when(F.col("own") != F.col("block"), F.col("members")).alias("right"))), folder
 
 
 class _Block:
@@ -452,15 +463,20 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
     sketches = nodes.select("set_id", "n", "sketch", "brief")
     n_features = table.agg(F.sum("n_shingles")).first()[0] or 0
 
-    groups = _stored(signature_groups(docs, n_features, scheme, length))
+    spark = docs.sparkSession
+    groups, of_groups = _stored(signature_groups(docs, n_features, scheme, length))
+    _forget(spark)
     low, high = F.least("pivot", "member"), F.greatest("pivot", "member")
     stars = groups.select(low.alias("a"), high.alias("b")).distinct()
-    first = cut_lineage(verified(
-        cut_lineage(_open_pairs(stars, sketches, percent)), docs, percent, length))
+    open_pairs = cut_lineage(_open_pairs(stars, sketches, percent))
+    _forget(spark)
+    first = cut_lineage(verified(open_pairs, docs, percent, length))
+    _forget(spark)
     labels = cut_lineage(connected(first))
 
-    rest = _blocks(groups.filter("sig is not null"), labels, sketches)
+    rest, of_members = _blocks(groups.filter("sig is not null"), labels, sketches)
     rest = cut_lineage(rest.mapInArrow(tidy(_open_components(percent)), "a long, b long").distinct())
+    _forget(spark, of_groups, of_members)
     if not rest.isEmpty():
         second = cut_lineage(_links_between(rest, labels, docs, percent, length))
         labels = cut_lineage(connected(labels.toDF("a", "b").union(second)))

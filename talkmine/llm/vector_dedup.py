@@ -1,27 +1,33 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 A vector is described by the reference points (pivots) nearest to it, in order. Near vectors have
-most of their nearest pivots in common. Those that share at least ``SHARED`` of their ``NEAREST``
-pivots meet in an inverted list for each set of so many pivots, and are verified there by cosine,
-in blocks of bounded size. A pair is settled in one list only: that of its lowest shared pivots.
+most of their nearest pivots in common. Pivots are vectors of the same label, twice the square root
+of their number, so inverted lists stay short as a label grows. Two vectors that share ``SHARED`` of
+``NEAREST`` pivots share one among the ``NEAREST - SHARED + 1`` lowest of each, so a vector stands in
+that many lists; in a list, pairs are counted by the pivots they share, and those with enough
+are verified by cosine, in blocks of bounded size. A pair is settled in one list only: that of its
+lowest shared pivot.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from talkmine.functions.ranking import skew_join
 from talkmine.operators.components import connected
 from talkmine.session import cut_lineage
 
-PIVOTS, NEAREST, SHARED = 64, 7, 4
+NEAREST, SHARED = 7, 3
+#: pivots of a label: so many times the square root of its vectors, at least the other number, or all
+PER_ROOT, LEAST_PIVOTS = 2, 32
 COSINE = 0.93
-#: vectors among which pivots are chosen, each as far as possible from those before it
-SAMPLE = 1024
+#: vectors that are held against the pivots of their label at once
+ASSIGNED = 8192
 #: vectors that are compared with as many others at once
 BLOCK = 512
 
@@ -31,88 +37,72 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def choose_pivots(nodes: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Pivots per vector length: of ``sample`` vectors with the least hash of their value, the
-    first, and then each time the one least like its likest pivot so far."""
-    rows = nodes.orderBy(F.xxhash64("vector"), "node").select("vector").limit(sample).toPandas()["vector"]
-    out = {}
-    for size in {len(v) for v in rows}:
-        x = np.stack([np.asarray(v, dtype=float) for v in rows if len(v) == size])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        chosen, nearest = [0], x @ x[0]
-        while len(chosen) < min(pivots, len(x)):
-            chosen.append(int(nearest.argmin()))
-            nearest = np.maximum(nearest, x @ x[chosen[-1]])
-        out[size] = x[chosen]
-    return out
-
-
-def _matrix(column) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    x = values.reshape(len(column), -1)
-    scale = np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-    x = x / scale
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def permutations(nodes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
-    """node and its ``nearest`` pivots in order; of vectors whose length no pivot has, none."""
+def choose_pivots(vectors: DataFrame) -> DataFrame:
+    """The vectors (group, node, vector, n) with the lowest hashes, about as many as a group of ``n`` needs."""
+    wanted = F.greatest(F.lit(LEAST_PIVOTS), F.ceil(PER_ROOT * F.sqrt("n")))
+    share = F.least(F.lit(1.0), wanted / F.col("n"))
+    return vectors.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
 
-    def compute(batches):
-        for batch in batches:
-            size = batch.column("size").to_numpy()
-            for n in np.unique(size):
-                part = batch.filter(pa.array(size == n))
-                if n in pivots:
-                    like = _matrix(part.column("vector")) @ pivots[n].T
-                    order = np.argsort(-like, axis=1, kind="stable")[:, :nearest]
-                else:
-                    order = np.zeros((len(part), 0), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array(list(order), pa.list_(pa.int64()))], names=["node", "pivots"])
 
-    return nodes.select("node", "vector", F.size("vector").alias("size")).mapInArrow(compute, "node long, pivots array<long>")
+def permutations(vectors: DataFrame, pivots: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """node and its ``nearest`` pivots in order, of vectors (group, node, vector, n).
 
+    A group meets its pivots in blocks, so a label with a third of all vectors is many tasks.
+    """
+    blocks = F.ceil(F.col("n") / ASSIGNED).cast("int")
+    left = vectors.select("group", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "vector")
+    right = pivots.select("group", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("pivot"),
+                           F.col("vector").alias("of_pivot"))
 
-def _lists(shared: int):
-    """A row for each inverted list of a node: the set of shared pivots as bits."""
+    def order(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"node": [], "pivots": []})
+        b = b.sort_values("pivot")
+        like = _unit(np.stack(a["vector"])) @ _unit(np.stack(b["of_pivot"])).T
+        first = np.argsort(-like, axis=1, kind="stable")[:, :nearest]
+        return pd.DataFrame({"node": a["node"], "pivots": list(b["pivot"].to_numpy()[first])})
 
-    def compute(batches):
-        for batch in batches:
-            node, lists, masks = [], [], []
-            for n, pivots in zip(batch.column("node").to_pylist(), batch.column("pivots").to_pylist()):
-                bits = [1 << p for p in pivots]
-                for chosen in combinations(sorted(bits), min(shared, len(bits))):
-                    node.append(n)
-                    lists.append(sum(chosen))
-                    masks.append(sum(bits))
-            as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), as_long(lists), as_long(masks)],
-                                             names=["node", "list", "mask"])
+    return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(
+        order, "node long, pivots array<long>")
 
-    return compute
+
+def _counts(x: np.ndarray, y: np.ndarray, pivot: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many pivots, and how many below ``pivot``, each row of ``x`` shares with each of ``y``."""
+    names, at = np.unique(np.r_[x.ravel(), y.ravel()], return_inverse=True)
+    marks = np.zeros((len(x) + len(y), len(names)), np.float32)
+    marks[np.r_[np.repeat(np.arange(len(x)), x.shape[1]), len(x) + np.repeat(np.arange(len(y)), y.shape[1])], at] = 1
+    low = marks[:, names < pivot]
+    return marks[:len(x)] @ marks[len(x):].T, low[:len(x)] @ low[len(x):].T
 
 
-def _verify(cosine: float):
+def _verify(cosine: float, shared: int):
     def read(rows) -> tuple[np.ndarray, ...]:
         flat = rows.values
         first, n = rows.offsets[0].as_py(), rows.offsets[-1].as_py()
         flat = flat.slice(first, n - first)
-        return (flat.field("node").to_numpy(), flat.field("mask").to_numpy().view(np.uint64),
-                flat.field("copies").to_numpy(), _matrix(flat.field("vector")))
+
+        def table(name: str) -> np.ndarray:
+            return flat.field(name).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+        return flat.field("node").to_numpy(), table("pivots"), flat.field("copies").to_numpy(), _unit(table("vector"))
 
     def compute(batches):
         for batch in batches:
             nodes, links, edges = [], [], []
             for i in range(batch.num_rows):
-                list_bits = np.int64(batch.column("list")[i].as_py()).view(np.uint64)
+                pivot = batch.column("pivot")[i].as_py()
                 x = read(batch.column("left").slice(i, 1))
                 same = not batch.column("right")[i].is_valid
                 y = x if same else read(batch.column("right").slice(i, 1))
-                upto = (np.uint64(1) << np.uint64(int(list_bits).bit_length())) - np.uint64(1) \
-                    if int(list_bits).bit_length() < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
-                common = x[1][:, None] & y[1][None, :]
-                link = (x[3] @ y[3].T >= cosine) & ((common & upto) == list_bits)
+                many = min(shared, x[1].shape[1])
+                count, lower = _counts(x[1], y[1], pivot)
+                link = (count >= many) & (lower == 0) & (x[3] @ y[3].T >= cosine)
                 if same:
                     np.fill_diagonal(link, False)
                 nodes.append(x[0])
@@ -147,7 +137,7 @@ def _spanning(a: np.ndarray, b: np.ndarray, link: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, nearest: int = NEAREST,
-                    shared: int = SHARED, pivots: int = PIVOTS) -> DataFrame:
+                    shared: int = SHARED) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of ``embeddings`` (vec_id, embedding, label).
 
     Vectors of one label and one length link if they share ``shared`` of their ``nearest`` pivots
@@ -155,38 +145,44 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, nearest: int
     non-finite component, and rows without a label link with nothing. Equal vectors of one
     label are one node with a number of copies; each copy links with the others. The component
     is the least vec_id that links lead to, and that row is kept (every row that repeats it).
-    At most 64 pivots.
     """
     rows = embeddings.select("vec_id", "label", "embedding")
     fit = usable(F.col("embedding")) & F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0)
-    # +0.0 makes -0.0 and 0.0 one value
-    vector = F.transform("embedding", lambda x: x.cast("double") + 0.0)
+    number = "float" if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    # adding 0 makes -0.0 and 0.0 one value
+    vector = F.transform("embedding", lambda x: x.cast(number) + F.lit(0.0).cast(number))
     keyed = rows.withColumn("vector", F.when(fit, vector)).withColumn(
         "node", F.when(fit, F.xxhash64(F.lit("vector"), "label", "vector")))
     nodes = cut_lineage(keyed.filter("node is not null").groupBy("node").agg(
         F.first("label").alias("label"), F.first("vector").alias("vector"),
         F.min("vec_id").alias("low"), F.count("*").alias("copies")))
-    chosen = choose_pivots(nodes, pivots)
-    lists = permutations(nodes, chosen, nearest).mapInArrow(_lists(shared), "node long, list long, mask long")
-    keys = ["label", "size", "list"]
-    members = cut_lineage(lists.join(nodes.select("node", "label", F.size("vector").alias("size")), "node"))
-    several = cut_lineage(members.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"))
-    members = members.join(several, keys).join(nodes.select("node", "vector", "copies"), "node")
-    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn(
-        "block", F.pmod(F.xxhash64("node"), "blocks"))
-    blocks = cut_lineage(members.groupBy(*keys, "block", "blocks").agg(
-        F.collect_list(F.struct("node", "mask", "copies", "vector")).alias("members")))
-    left = blocks.select(*keys, F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"),
-                         F.col("block").alias("own"), F.col("members").alias("left"))
-    pairs = left.join(blocks.select(*keys, "block", "members"), [*keys, "block"]).select(
-        "list", "left", F.when(F.col("own") != F.col("block"), F.col("members")).alias("right"))
-    found = cut_lineage(pairs.mapInArrow(_verify(cosine), "node long, links long, other long"))
+    grouped = nodes.select(F.struct("label", F.size("vector").alias("size")).alias("group"), "node", "vector", "copies")
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    vectors = cut_lineage(skew_join(grouped, sizes, "group", "n"))
+    ordered = permutations(vectors, choose_pivots(vectors), nearest)
+    # each vector stands in the lists of its lowest pivots
+    prefix = F.slice(F.sort_array("pivots"), F.lit(1), F.size("pivots") - F.least(F.lit(shared), F.size("pivots")) + 1)
+    entries = cut_lineage(ordered.select("node", "pivots", F.explode(prefix).alias("pivot")))
+    # a pivot is a vector of one label, so its name names the list
+    several = entries.groupBy("pivot").agg(F.count("*").alias("n")).filter("n > 1")
+    members = skew_join(entries, several, "pivot", "n").join(vectors.select("node", "vector", "copies"), "node")
+    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    blocks = cut_lineage(members.groupBy("pivot", "block", "blocks").agg(
+        F.collect_list(F.struct("node", "pivots", "copies", "vector")).alias("members")))
+    none = F.lit(None).cast(blocks.schema["members"].dataType)
+    whole = blocks.filter("blocks = 1").select("pivot", F.col("members").alias("left"), none.alias("right"))
+    cut = blocks.filter("blocks > 1")
+    left = cut.select("pivot", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"),
+                      F.col("block").alias("own"), F.col("members").alias("left"))
+    pairs = whole.unionByName(left.join(cut.select("pivot", "block", "members"), ["pivot", "block"]).select(
+        "pivot", "left", F.when(F.col("own") != F.col("block"), F.col("members")).alias("right")))
+    found = cut_lineage(pairs.mapInArrow(_verify(cosine, shared), "node long, links long, other long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected(found.filter("node <> other").select("node", "other").distinct())
     known = cut_lineage(nodes.select("node", "low", "copies").join(links, "node", "left").join(parts, "node", "left")
                         .withColumn("root", F.coalesce("component", "node")))
-    least = cut_lineage(known.groupBy("root").agg(F.min("low").alias("component_id")))
-    of_nodes = cut_lineage(known.join(least, "root").select(
+    least = known.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    of_nodes = cut_lineage(skew_join(known, least, "root", "n").select(
         "node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     return keyed.select("vec_id", "node").join(of_nodes, "node", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -60,6 +60,31 @@ def test_recall_and_precision(spark, monkeypatch):
     assert got[10_005].component_id == 0 and not got[10_005].kept and got[0].kept
 
 
+@pytest.mark.parametrize("n", [1000, 8000])
+def test_recall_at_two_sizes(spark, n):
+    """Pairs of cosine 0.93 to 0.99 among vectors of one label: the index grows with them."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(400, 64))
+    y -= (y * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    c = 0.932 + 0.05 * rng.random((400, 1))
+    y = c * x[:400] + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.r_[x, y])]
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, VECTOR)).collect()}
+    assert sum(got[n + i] for i in range(400)) >= 0.95 * 400 and sum(got.values()) <= 2 * 400
+
+
+def test_a_tiny_vector_spoils_no_pivot(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(300)] + [(300, [1e-300] * 8, 0)]
+    nodes = spark.createDataFrame(rows, VECTOR).select(
+        F.struct("label").alias("group"), F.col("vec_id").alias("node"), F.col("embedding").alias("vector"), F.lit(301).alias("n"))
+    ordered = vector_dedup.permutations(nodes, vector_dedup.choose_pivots(nodes))
+    pivots = ordered.select(F.explode("pivots")).distinct().count()
+    assert ordered.count() == 301 and pivots >= 20
+
+
 def test_odd_vectors(spark):
     got = vector_dedup.near_duplicates(odd_vectors(spark)).collect()
     assert len(got) == 15
