@@ -275,17 +275,22 @@ def _sorted_ranges(rows: DataFrame, ranges: int) -> DataFrame:
     """Distinct rows in order, in ``ranges`` partitions, with copies, first and fault.
 
     Rows equal in all columns cross the network as one, and the first of equal texts in a
-    conversation is found by an aggregation, so no repeated row or text makes a task large.
+    conversation is found by an aggregation of digests, so no repeated row or text makes a task large.
     """
-    firsts = rows.groupBy("conv_id", "role", "text").agg(
+    said = F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")
+    rows = rows.withColumn("digest", F.unhex(F.sha2(said, 256)))
+    firsts = rows.groupBy("conv_id", "digest").agg(
         F.min(F.struct(F.col("turn").isNotNull(), F.col("turn").alias("turn"))).alias("t"))
-    both = rows.select("conv_id", "turn", "role", "text", "copies", F.lit(0).alias("first")).unionByName(
-        firsts.select("conv_id", F.col("t.turn").alias("turn"), "role", "text", F.lit(0).alias("copies"), F.lit(1).alias("first")))
+    none = F.lit(None).cast("string")
+    both = rows.select("conv_id", "turn", "digest", "role", "text", "copies", F.lit(0).alias("first")).unionByName(
+        firsts.select("conv_id", F.col("t.turn").alias("turn"), "digest", none.alias("role"), none.alias("text"),
+                      F.lit(0).alias("copies"), F.lit(1).alias("first")))
+    same = both.groupBy("conv_id", "turn", "digest").agg(
+        F.max("role").alias("role"), F.max("text").alias("text"), F.sum("copies").alias("copies"), (F.max("first") == 1).alias("first"))
     tail = F.rtrim(F.col("text"), F.lit(_BLANKS))
     fault = F.when(tail == "", "blank").when(~F.right(tail, F.lit(1)).isin(".", "!", "?"), "truncated").otherwise("")
     order = ["conv_id", "turn", "role", "text"]
-    return both.groupBy(*order).agg(F.sum("copies").alias("copies"), (F.max("first") == 1).alias("first")).withColumn(
-        "fault", fault).repartitionByRange(ranges, "conv_id", "turn", "role", F.left("text", F.lit(64))).sortWithinPartitions(
+    return same.drop("digest").withColumn("fault", fault).repartitionByRange(ranges, "conv_id", "turn", "role", F.left("text", F.lit(64))).sortWithinPartitions(
         *order).withColumn("piece", F.spark_partition_id())
 
 

@@ -274,12 +274,15 @@ def _open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> DataFrame:
     """Those of the candidate pairs that are similar, on the sets themselves."""
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
-    sets = cut_lineage(sets_of(docs, ids, length))
+    sets, folder = _stored(sets_of(docs, ids, length))
+    _forget(docs.sparkSession)
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("features").alias(f"of_{side}")), side)
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
-    return pairs.filter(common * 100 >= union * percent).select("a", "b")
+    similar = cut_lineage(pairs.filter(common * 100 >= union * percent).select("a", "b"))
+    _forget(docs.sparkSession, folder)
+    return similar
 
 
 def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[DataFrame, str]:
@@ -417,7 +420,8 @@ def _links_between(pairs: DataFrame, labels: DataFrame, docs: DataFrame, percent
     members = skew_join(labels, ends, "component", "n").select("component", F.col("node").alias("member")).unionByName(
         ends.join(labels, "component", "left_anti").select("component", F.col("component").alias("member")))
     members = cut_lineage(members)
-    sets = cut_lineage(sets_of(docs, members.select(F.col("member").alias("set_id")), length))
+    sets, folder = _stored(sets_of(docs, members.select(F.col("member").alias("set_id")), length))
+    _forget(docs.sparkSession)
     members = members.join(sets.withColumnRenamed("set_id", "member"), "member")
     met = pairs
     for side in ("a", "b"):
@@ -440,7 +444,9 @@ def _links_between(pairs: DataFrame, labels: DataFrame, docs: DataFrame, percent
     right = members.withColumnRenamed("component", "small").join(asked, "small")
     met_tiles = cut(left, "lefts", "rights", "i", "j", "left").join(
         cut(right, "rights", "lefts", "j", "i", "right"), ["large", "i", "j"])
-    return met_tiles.select("left", "right").mapInArrow(tidy(_linked(percent)), "a long, b long")
+    links = cut_lineage(met_tiles.select("left", "right").mapInArrow(tidy(_linked(percent)), "a long, b long"))
+    _forget(docs.sparkSession, folder)
+    return links
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS,
@@ -456,29 +462,30 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
     """
     scheme = scheme or Scheme(percent=percent, parts=2, damage=1, spare=0.3)
     docs = docs.select("doc_id", "text")
-    table = cut_lineage(shingle_table(docs, length))
-    nodes = cut_lineage(table.filter("set_id is not null").groupBy("set_id").agg(
+    spark = docs.sparkSession
+    sketched, folder = _stored(shingle_table(docs, length))
+    nodes = cut_lineage(sketched.filter("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
         F.first("brief").alias("brief")))
+    table = cut_lineage(sketched.select("key", "doc_id", "n_shingles", "set_id"))
+    _forget(spark, folder)
     sketches = nodes.select("set_id", "n", "sketch", "brief")
     n_features = table.agg(F.sum("n_shingles")).first()[0] or 0
 
-    spark = docs.sparkSession
     groups, of_groups = _stored(signature_groups(docs, n_features, scheme, length))
     _forget(spark)
     low, high = F.least("pivot", "member"), F.greatest("pivot", "member")
     stars = groups.select(low.alias("a"), high.alias("b")).distinct()
     open_pairs = cut_lineage(_open_pairs(stars, sketches, percent))
     _forget(spark)
-    first = cut_lineage(verified(open_pairs, docs, percent, length))
-    _forget(spark)
+    first = verified(open_pairs, docs, percent, length)
     labels = cut_lineage(connected(first))
 
     rest, of_members = _blocks(groups.filter("sig is not null"), labels, sketches)
     rest = cut_lineage(rest.mapInArrow(tidy(_open_components(percent)), "a long, b long").distinct())
     _forget(spark, of_groups, of_members)
     if not rest.isEmpty():
-        second = cut_lineage(_links_between(rest, labels, docs, percent, length))
+        second = _links_between(rest, labels, docs, percent, length)
         labels = cut_lineage(connected(labels.toDF("a", "b").union(second)))
 
     lows = nodes.select("set_id", "low").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")

@@ -62,7 +62,7 @@ def permutations(vectors: DataFrame, pivots: DataFrame, nearest: int = NEAREST)
 
     def order(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"node": [], "pivots": []})
+            return pd.DataFrame({"node": pd.Series([], dtype="int64"), "pivots": pd.Series([], dtype=object)})
         b = b.sort_values("pivot")
         like = _unit(np.stack(a["vector"])) @ _unit(np.stack(b["of_pivot"])).T
         first = np.argsort(-like, axis=1, kind="stable")[:, :nearest]

@@ -75,6 +75,13 @@ def test_recall_at_two_sizes(spark, n):
     assert sum(got[n + i] for i in range(400)) >= 0.95 * 400 and sum(got.values()) <= 2 * 400
 
 
+def test_blocks_without_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "ASSIGNED", 2)
+    rows = [(i, [1.0, 0.01 * i], 0) for i in range(12)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, VECTOR)).collect()
+    assert {r.component_id for r in got} == {0} and all(r.n_links == 11 for r in got)
+
+
 def test_a_tiny_vector_spoils_no_pivot(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(300)] + [(300, [1e-300] * 8, 0)]
