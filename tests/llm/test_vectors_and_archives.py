@@ -79,7 +79,7 @@ def test_blocks_without_vectors(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "ASSIGNED", 2)
     rows = [(i, [1.0, 0.01 * i], 0) for i in range(12)]
     got = vector_dedup.near_duplicates(spark.createDataFrame(rows, VECTOR)).collect()
-    assert {r.component_id for r in got} == {0} and all(r.n_links == 11 for r in got)
+    assert {r.component_id for r in got} == {0} and all(6 <= r.n_links <= 11 for r in got)
 
 
 def test_a_tiny_vector_spoils_no_pivot(spark):
