@@ -29,27 +29,30 @@ def _episode_context() -> list[Column]:
     ]
 
 
-def _finish(chunks: DataFrame, min_chars: int) -> DataFrame:
+def _finish(chunks: DataFrame, min_chars: int, more: list[str] = ()) -> DataFrame:
     return chunks.filter(F.length("chunk_text") > min_chars).select(
         chunk_id(F.col("video_id"), F.col("chunk_window")).alias("chunk_id"),
         *CONTEXT, "episode_title", "publish_date", "transcript_quality", "chunk_window",
         "chunk_text", "chunk_start_sec", "chunk_end_sec",
         (F.col("chunk_end_sec") - F.col("chunk_start_sec")).alias("chunk_duration_sec"),
         "segment_count", "word_count",
-        deep_link(F.col("video_id"), F.col("chunk_start_sec"), "s").alias("youtube_url"),
+        deep_link(F.col("video_id"), F.col("chunk_start_sec"), "s").alias("youtube_url"), *more,
     )
 
 
-def _from_groups(payload: DataFrame, groups: Column, min_chars: int) -> DataFrame:
-    """Turn each group of segments into one chunk inside the row, then explode."""
-    made = F.transform(groups, lambda g: F.struct(
+def _made(groups: Column) -> Column:
+    return F.transform(groups, lambda g: F.struct(
         F.get(g, F.lit(0))["w"].alias("chunk_window"),
         seg.joined(g).alias("chunk_text"),
         seg.first_start(g).alias("chunk_start_sec"),
         seg.last_end(g).alias("chunk_end_sec"),
         F.size(g).cast("long").alias("segment_count"),
         seg.spaced_words(g).alias("word_count")))
-    rows = payload.select(*_episode_context(), F.explode(made).alias("c"))
+
+
+def _from_groups(payload: DataFrame, groups: Column, min_chars: int) -> DataFrame:
+    """Turn each group of segments into one chunk inside the row, then explode."""
+    rows = payload.select(*_episode_context(), F.explode(_made(groups)).alias("c"))
     return _finish(rows.select(
         *CONTEXT, "episode_title", "publish_date", "transcript_quality", "c.*"), min_chars)
 
@@ -59,6 +62,29 @@ def chunk_payload(payload: DataFrame, window: int = 120, min_chars: int = 50) ->
     return chunk_sliding(payload, window, 0, min_chars)
 
 
+def chunk_neighbors(payload: DataFrame, window: int = 120, min_chars: int = 50) -> DataFrame:
+    """The chunks of ``chunk_payload`` with the id and text of the previous and the next one.
+
+    Neighbours are found inside the episode's row before its chunks become rows, so no text is
+    shuffled. ``with_neighbors`` does the same for a table of chunks.
+    """
+    kept = F.filter(_made(seg.window_groups(F.col("segments"), window, window)), lambda c: F.length(c["chunk_text"]) > min_chars)
+    ordered = payload.select(*_episode_context(), F.sort_array(kept).alias("made"))
+
+    def beside(c: Column, name: str) -> Column:
+        return F.when(c.isNotNull(), F.struct(
+            chunk_id(F.col("video_id"), c["chunk_window"]).alias("id"), c["chunk_text"].alias("text"))).alias(name)
+
+    paired = F.transform("made", lambda c, i: F.struct(
+        c.alias("c"), beside(F.get(F.col("made"), i - 1), "p"), beside(F.get(F.col("made"), i + 1), "n")))
+    rows = ordered.select(*[c for c in ordered.columns if c != "made"], F.explode(paired).alias("x"))
+    beside_columns = {"previous_segment_id": "x.p.id", "previous_text": "x.p.text",
+                      "next_segment_id": "x.n.id", "next_text": "x.n.text"}
+    flat = rows.select(*CONTEXT, "episode_title", "publish_date", "transcript_quality", "x.c.*",
+                       *[F.col(path).alias(name) for name, path in beside_columns.items()])
+    return _finish(flat, min_chars, list(beside_columns))
+
+
 def chunk_sliding(
     payload: DataFrame, size: int = 60, overlap: int = 15, min_chars: int = 50
 ) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmine.functions.ranking import skew_join
 from talkmine.session import cut_lineage
 
+#: components that may be sent to every task
+SMALL = 100_000
+
 
 def _with_lowest(edges: DataFrame) -> DataFrame:
     """Each edge (u, v) with ``low``, the least of u and all its v.
@@ -50,3 +54,26 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = cut_lineage(_small_star(_large_star(edges)).distinct())
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def merged(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of ``known``, a table of that kind, after new ``edges`` are added to it.
+
+    Stars run on the components that new edges touch, not on their members. Of the known nodes only
+    those of components that moved change, which are told by the few rows that name these.
+    """
+    a, b = edges.columns
+    ends = cut_lineage(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y").distinct())
+    at = cut_lineage(ends.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(known, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("fresh")))
+    roots = ends
+    for side in ("x", "y"):
+        roots = roots.join(at.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side)
+    moved = connected(roots.select("of_x", "of_y")).filter("node <> component")
+    moved = cut_lineage(moved.select(F.col("node").alias("component"), F.col("component").alias("to")))
+    nodes = known.unionByName(at.filter("fresh").select("node", "component"))
+    sizes = nodes.join(moved.select("component"), "component", "left_semi").groupBy("component").agg(F.count("*").alias("n"))
+    changed = skew_join(nodes, moved.join(sizes, "component"), "component", "n").select("node", F.col("to").alias("component"))
+    few = moved.select("component")
+    same = nodes.join(F.broadcast(few) if few.count() <= SMALL else few, "component", "left_anti")
+    return same.select("node", "component").unionByName(changed)

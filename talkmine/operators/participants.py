@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
-from talkmine.functions.ranking import literal_table, top_k
+from talkmine.functions.ranking import literal_table, skew_join, top_k
 from talkmine.functions.text import pct, quote, strip_ws
 from talkmine.operators import components
 from talkmine.session import cut_lineage
@@ -169,8 +169,9 @@ def _shorter(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.flatten(F.transform(words, cut))))
 
 
-def similar_names(names: DataFrame, max_dist: int = 1) -> DataFrame:
-    """All pairs of distinct folded names within ``max_dist`` edits, without comparing all.
+def similar_names(names: DataFrame, max_dist: int = 1, fresh: DataFrame | None = None) -> DataFrame:
+    """All pairs of distinct folded names within ``max_dist`` edits, without comparing all; with
+    ``fresh``, some of the names, only pairs that hold one of these.
 
     Two such names share a word that each yields by leaving out at most ``max_dist``
     characters, so an equi-join on those words finds every pair; the edit distance then
@@ -180,11 +181,13 @@ def similar_names(names: DataFrame, max_dist: int = 1) -> DataFrame:
     words = F.array("folded")
     for _ in range(max_dist):
         words = _shorter(words)
-    keyed = names.select("folded", F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("word"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.folded") < F.col("b.folded"))).filter(
+    keyed, other = (df.select("folded", F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("word"))
+                    for df in (names, names if fresh is None else fresh))
+    a, b = keyed.alias("a"), other.alias("b")
+    apart = F.col("a.folded") < F.col("b.folded") if fresh is None else F.col("a.folded") != F.col("b.folded")
+    return a.join(b, (F.col("a.word") == F.col("b.word")) & apart).filter(
         F.levenshtein(F.col("a.folded"), F.col("b.folded"), max_dist) >= 0
-    ).select(F.col("a.folded").alias("src"), F.col("b.folded").alias("dst")).distinct()
+    ).select(F.least("a.folded", "b.folded").alias("src"), F.greatest("a.folded", "b.folded").alias("dst")).distinct()
 
 
 def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -214,7 +217,33 @@ def resolve_entities(names: DataFrame, max_dist: int = 1, name: str = "name", la
             F.lower(F.trim("alias")).alias("word"), F.col("folded").alias("src"))
         edges = edges.unionByName(single.join(full, "word").select("src", "dst")).distinct()
     groups = connected(distinct, edges)
-    grouped = spelled.join(groups, F.col("folded") == F.col("vertex"))
+    return canonical_names(spelled, groups)
+
+
+def canonical_names(spelled: DataFrame, groups: DataFrame) -> DataFrame:
+    """(alias, canonical, mentions) from spellings (alias, mentions, folded) and the components of folded names."""
+    grouped = spelled.join(groups, F.col("folded") == F.col("vertex")).select("alias", "mentions", "component")
     best = grouped.groupBy("component").agg(
-        F.min_by("alias", F.struct(-F.col("mentions"), F.col("alias"))).alias("canonical"))
-    return grouped.join(best, "component").select("alias", "canonical", "mentions")
+        F.min_by("alias", F.struct(-F.col("mentions"), F.col("alias"))).alias("canonical"), F.count("*").alias("n"))
+    return skew_join(grouped, best, "component", "n").select("alias", "canonical", "mentions")
+
+
+def more_entities(names: DataFrame, spelled: DataFrame | None = None, groups: DataFrame | None = None,
+                  max_dist: int = 1, name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """The tables of ``canonical_names`` after more mentions have come.
+
+    Only names not held yet are compared, with each other and those held, and the links found are
+    merged into the stored components; without held tables this is the first batch.
+    """
+    counted = names.filter(folded_name(F.col(name)) != "").groupBy(F.col(name).alias("alias")).agg(
+        F.count("*").alias("mentions")).withColumn("folded", folded_name(F.col("alias")))
+    if spelled is None:
+        spelled = cut_lineage(counted)
+        distinct = spelled.select("folded").distinct()
+        return spelled, cut_lineage(connected(distinct, similar_names(distinct, max_dist)))
+    after = cut_lineage(spelled.unionByName(counted).groupBy("alias", "folded").agg(F.sum("mentions").alias("mentions")))
+    distinct = cut_lineage(after.select("folded").distinct())
+    fresh = cut_lineage(distinct.join(groups.select(F.col("vertex").alias("folded")), "folded", "left_anti"))
+    held = groups.unionByName(fresh.select(F.col("folded").alias("vertex"), F.col("folded").alias("component")))
+    merged = components.merged(held.withColumnRenamed("vertex", "node"), similar_names(distinct, max_dist, fresh))
+    return after, cut_lineage(merged.withColumnRenamed("node", "vertex"))

@@ -99,6 +99,18 @@ def chunk_neighbors(spark, sf):
         F.length("next_text").cast("long").alias("next_chars")).fillna("").fillna(0)
 
 
+@query("chunk_neighbors_in_row", sql("""
+select chunk_id, md5(chunk_text) as text, coalesce(lag(chunk_id) over o, '') as previous_segment_id,
+ coalesce(lead(chunk_id) over o, '') as next_segment_id,
+ coalesce(md5(lag(chunk_text) over o), '') as previous_text, coalesce(md5(lead(chunk_text) over o), '') as next_text
+from chunks window o as (partition by video_id order by w)""", "chunks"))
+def chunk_neighbors_in_row(spark, sf):
+    """Each chunk with its neighbours' ids and whole texts, found before chunks are rows."""
+    return chunking.chunk_neighbors(t.payload(spark, sf)).select(
+        "chunk_id", F.md5("chunk_text").alias("text"), "previous_segment_id", "next_segment_id",
+        F.md5("previous_text").alias("previous_text"), F.md5("next_text").alias("next_text")).fillna("")
+
+
 @query("episode_excerpt", sql("""
 select video_id, left(string_agg(chunk_text, ' ' order by chunk_start_sec, chunk_id), 3000) as excerpt
 from chunks where w <= 4 group by 1""", "chunks"))
