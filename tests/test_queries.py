@@ -13,6 +13,8 @@ from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(QUERIES)
+#: approximate answers, whose recall ``indexed_recall`` and tests/test_neighbors.py measure
+WITHOUT_SQL = {"indexed_neighbors"}
 CHOSEN = NAMES if os.environ.get("TALKMINE_ALL") else NAMES[::6]
 
 
@@ -38,4 +40,4 @@ def test_entry(spark):
 def test_nearly_all_queries_have_sql():
     assert set(oracle_sql()) <= set(queries())
     own = {name for name in queries() if not (name.startswith("op") and name[2:3].isdigit() or name == "pipeline")}
-    assert own <= set(oracle_sql())
+    assert own - WITHOUT_SQL <= set(oracle_sql())
