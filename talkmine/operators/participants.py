@@ -11,7 +11,7 @@ from talkmine import fixed_values as fixed
 from talkmine.functions.ranking import literal_table, skew_join, top_k
 from talkmine.functions.text import pct, quote, strip_ws
 from talkmine.operators import components
-from talkmine.session import cut_lineage
+from talkmine.session import cut_lineage, stored
 
 SHOW_SCHEMA = "channel_name string, hosts array<string>, patterns array<struct<pattern:string,groups:int>>"
 COLUMNS = [
@@ -238,12 +238,12 @@ def more_entities(names: DataFrame, spelled: DataFrame | None = None, groups: Da
     counted = names.filter(folded_name(F.col(name)) != "").groupBy(F.col(name).alias("alias")).agg(
         F.count("*").alias("mentions")).withColumn("folded", folded_name(F.col("alias")))
     if spelled is None:
-        spelled = cut_lineage(counted)
+        spelled = stored(counted)
         distinct = spelled.select("folded").distinct()
-        return spelled, cut_lineage(connected(distinct, similar_names(distinct, max_dist)))
-    after = cut_lineage(spelled.unionByName(counted).groupBy("alias", "folded").agg(F.sum("mentions").alias("mentions")))
-    distinct = cut_lineage(after.select("folded").distinct())
-    fresh = cut_lineage(distinct.join(groups.select(F.col("vertex").alias("folded")), "folded", "left_anti"))
+        return spelled, stored(connected(distinct, similar_names(distinct, max_dist)))
+    after = stored(spelled.unionByName(counted).groupBy("alias", "folded").agg(F.sum("mentions").alias("mentions")))
+    distinct = stored(after.select("folded").distinct())
+    fresh = stored(distinct.join(groups.select(F.col("vertex").alias("folded")), "folded", "left_anti"))
     held = groups.unionByName(fresh.select(F.col("folded").alias("vertex"), F.col("folded").alias("component")))
     merged = components.merged(held.withColumnRenamed("vertex", "node"), similar_names(distinct, max_dist, fresh))
-    return after, cut_lineage(merged.withColumnRenamed("node", "vertex"))
+    return after, stored(merged.withColumnRenamed("node", "vertex"))
