@@ -1,8 +1,12 @@
 """What must not grow with the rounds of a loop or the size of a table."""
 
+import hashlib
+import math
+
 from pyspark.sql import functions as F
 
 from talkmine.operators import components
+from talkmine.operators import enrichment as en
 from talkmine.operators import participants as p
 
 
@@ -26,3 +30,30 @@ def test_batches_of_mentions_do_not_multiply_guessed_sizes(spark):
     assert max(guessed_bits(t) for t in held) < 64
     canonical = {r["alias"]: r["canonical"] for r in p.canonical_names(*held).collect()}
     assert canonical == {"anna": "abnb", "annb": "abnb", "abnb": "abnb", "bob": "bob", "bobb": "bob", "zoe": "zoe"}
+
+
+def test_rows_of_frequent_terms_are_not_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(f"c{i % 50}", t, 1) for i in range(200) for t in ("often", "also")] + [("c1", "once", 2)],
+        "chunk_id string, term string, tf long")
+    weights = rows.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.col("df") * 0.5)
+    want = sorted(map(tuple, rows.join(weights, "term").select("chunk_id", "term", "tf", "df", "idf").collect()))
+    for frequent in (1_000_000, 100, 1):  # all terms are frequent, but one, none
+        monkeypatch.setattr(en, "FREQUENT", frequent)
+        found = en.weighed(rows, weights)
+        assert sorted(map(tuple, found.select("chunk_id", "term", "tf", "df", "idf").collect())) == want
+        if frequent > 1000:
+            assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert en.weighed(rows, weights.filter("df < 0")).isEmpty()
+
+
+def test_terms_that_share_a_slot_are_counted_together(spark):
+    words = [f"w{i}" for i in range(60)] + ["w3", "w3"]
+    row = spark.createDataFrame([(" ".join(words),), (None,), ("",)], "t string").select(
+        en.hash_weights(F.col("t"), 8).alias("v")).collect()
+    n = [0] * 8
+    for w in words:
+        n[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
+    length = math.sqrt(sum(x * x for x in n))
+    assert [(s["slot"], s["weight"]) for s in row[0]["v"]] == [(i, x / length) for i, x in enumerate(n) if x]
+    assert row[1]["v"] is None and row[2]["v"] == []
