@@ -3,11 +3,14 @@
 import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from talkmine.operators import components
 from talkmine.operators import enrichment as en
+from talkmine.operators import neighbors as nb
 from talkmine.operators import participants as p
+from talkmine.session import cut_lineage
 
 
 def guessed_bits(df):
@@ -57,3 +60,28 @@ def test_terms_that_share_a_slot_are_counted_together(spark):
     length = math.sqrt(sum(x * x for x in n))
     assert [(s["slot"], s["weight"]) for s in row[0]["v"]] == [(i, x / length) for i, x in enumerate(n) if x]
     assert row[1]["v"] is None and row[2]["v"] == []
+
+
+def test_a_search_of_all_leaves_follows_no_query_through_the_tree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], "ab"[i % 2]) for i in range(700)]
+    vectors = cut_lineage(spark.createDataFrame(rows, "chunk_id long, embedding array<float>, topic string"))
+    index = nb.build(vectors, root="topic")
+    leaves = index.leaves.select("root", "node").distinct().count()
+    asked = vectors.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    few = nb.search(asked, index, 3, 2, root="topic")
+    assert leaves > 2 and few.select("query_id").distinct().count() == 14
+
+    def never(*_):
+        raise AssertionError("a beam of queries times leaves")
+
+    monkeypatch.setattr(nb, "descend", never)
+    found = nb.search(asked, index, 3, leaves, root="topic", skip_self=True)
+    unit = np.array([v for _, v, _ in rows], dtype=np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 9)
+    rows = found.orderBy("query_id", "rank").collect()
+    for q in range(0, 700, 50):
+        want = sorted((-near[q, i], i) for i in range(q % 2, 700, 2) if i != q)[:3]
+        got = [(-r["score"], r["chunk_id"]) for r in rows if r["query_id"] == q]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
