@@ -85,3 +85,30 @@ def test_a_search_of_all_leaves_follows_no_query_through_the_tree(spark, monkeyp
         want = sorted((-near[q, i], i) for i in range(q % 2, 700, 2) if i != q)[:3]
         got = [(-r["score"], r["chunk_id"]) for r in rows if r["query_id"] == q]
         assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_for_many_rows_at_once(spark):
+    texts = ["b a b \u00e9", "", None, " ".join(f"w{i % 50}" for i in range(3000)), "\U0001F600 \uff21"]
+    rows = spark.createDataFrame(list(enumerate(texts * 700)), "id long, t string").coalesce(1)
+    found = rows.select("id", en.term_counts(F.split("t", " ")).alias("c"))
+    assert "ArrowEvalPython" in plan(found)
+    for r in found.collect():
+        text = texts[r["id"] % len(texts)]
+        want = None if text is None else sorted((w.encode(), text.split(" ").count(w)) for w in set(text.split(" ")))
+        assert (r["c"] and [(c["term"].encode(), c["tf"]) for c in r["c"]]) == want
+
+
+def test_dense_vectors_are_filled_in_one_step(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "A, b!")], "chunk_id long, chunk_text string")
+    found = en.hash_embed(rows, 16)
+    assert plan(found).count("ArrowEvalPython") == 1 and "lambda" not in plan(found)
+    vectors = {r["chunk_id"]: r["embedding"] for r in found.collect()}
+    slot = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in "ab"}
+    assert vectors[2] is None and vectors[3] == [0.0] * 16 and slot["a"] != slot["b"]
+    assert [vectors[1][slot[w]] for w in "ab"] == [float(np.float32(n / math.sqrt(5))) for n in (2, 1)]
+    assert [vectors[4][slot[w]] for w in "ab"] == [float(np.float32(1 / math.sqrt(2)))] * 2
+    assert all(sum(x != 0 for x in vectors[i]) == 2 for i in (1, 4))
