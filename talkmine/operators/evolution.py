@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmine import fixed_values as fixed
-from talkmine.functions.ranking import top_k
+from talkmine.functions.ranking import skew_join, top_k
 from talkmine.functions.text import icontains, known_speaker, present, strict_json, strip_ws, tokens
 from talkmine.schemas import DRIFT_RESPONSE
+from talkmine.session import cut_lineage
 
+#: topics whose days may be sent to every task
+FEW_TOPICS = 100_000
 CLAIM_FIELDS = ["claim_id", "claim_text", "speaker", "channel_name", "claim_date"]
 # Cue words for the rule-based drift type.
 NEGATIONS = ["not", "no", "never", "none", "cannot", "without", "isn", "won", "don", "doesn", "didn"]
@@ -32,20 +35,29 @@ def topic_pairs(
 ) -> DataFrame:
     """Earliest and latest claim of every topic that spans at least ``min_days``.
 
-    One aggregate finds both ends; it combines on the map side, so a topic with a third of
-    all claims costs one row per task. ``max_topics`` is a budget for whoever classifies the
-    pairs: the topics with most claims among those whose pair is not in ``done``.
+    The first and the last day of each topic are found first; they combine on the map side, so a topic
+    with a third of all claims costs one row per task. Only claims of these days are compared.
+    ``max_topics`` is a budget for whoever classifies the pairs: the topics with most claims among
+    those whose pair is not in ``done``.
     """
     item = F.struct(*CLAIM_FIELDS)
     # Latest: highest date, then lowest id, hence the order by days before the far future.
     backwards = F.datediff(F.lit("9999-12-31").cast("date"), "claim_date")
-    ends = eligible(claims).groupBy("topic").agg(
-        F.count("*").alias("claim_count"),
+    rows = eligible(claims)
+    spans = cut_lineage(rows.groupBy("topic").agg(
+        F.count("*").alias("claim_count"), F.min("claim_date").alias("_first"), F.max("claim_date").alias("_last")).filter(
+        (F.datediff("_last", "_first") >= min_days) & (F.col("claim_count") >= 2)))
+    rows = rows.select("topic", *CLAIM_FIELDS)
+    if spans.count() <= FEW_TOPICS:
+        rows = rows.join(F.broadcast(spans), "topic")
+    else:
+        rows = skew_join(rows, spans, "topic", "claim_count")
+    ends = rows.filter(F.col("claim_date").isin(F.col("_first"), F.col("_last"))).groupBy("topic", "claim_count").agg(
         F.min_by(item, F.struct("claim_date", "claim_id")).alias("a"),
         F.min_by(item, F.struct(backwards, "claim_id")).alias("b"))
     spans = ends.withColumn(
         "time_delta_days", F.datediff(F.col("b.claim_date"), F.col("a.claim_date")).cast("long")
-    ).filter((F.col("time_delta_days") >= min_days) & (F.col("claim_count") >= 2))
+    )
     most = [F.desc("claim_count"), F.asc("topic")]
     pairs = describe_pairs(spans.filter(F.col("a.claim_id") != F.col("b.claim_id")))
     if done is not None:

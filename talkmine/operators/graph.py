@@ -63,10 +63,19 @@ def topic_nodes(claims: DataFrame) -> DataFrame:
 
 
 def _one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key, the same on every run: the one whose text form comes first."""
+    """One row per key, the same on every run: the one whose text form comes first.
+
+    Keys aren't null. Only they are shuffled, and the rows of keys that do repeat.
+    """
+    repeated = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
+    count = repeated.count()
+    if count == 0:
+        return rows
+    repeated = F.broadcast(repeated) if count <= SMALL_LAYER else repeated
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")).select(
-        *keys, "_r.*").select(*rows.columns)
+    chosen = rows.join(repeated, keys, "left_semi").groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
+    return rows.join(repeated, keys, "left_anti").select(*rows.columns).unionByName(chosen)
 
 
 def claim_nodes(claims: DataFrame) -> DataFrame:
@@ -80,7 +89,7 @@ def nodes(chunks: DataFrame, people: DataFrame, claims: DataFrame, channels: Dat
         "Episode": episode_nodes(chunks).select(F.col("video_id").alias("id")),
         "Person": person_nodes(people, claims).select(F.col("name").alias("id")),
         "Topic": topic_nodes(claims).select(F.col("name").alias("id")),
-        "Claim": claim_nodes(claims).select(F.col("claim_id").alias("id")),
+        "Claim": claims.filter(F.col("claim_id").isNotNull()).select(F.col("claim_id").alias("id")).distinct(),
     }
     stacked = [df.select(F.lit(label).alias("label"), "id") for label, df in parts.items()]
     out = stacked[0]
@@ -131,14 +140,18 @@ def claim_edges(claims: DataFrame, episodes: DataFrame) -> DataFrame:
     MADE_CLAIM or LIKELY_MADE_CLAIM from a known speaker, else DISCUSSED_IN to the episode;
     ABOUT to the topic; SOURCED_FROM to the episode. Edges to unknown episodes are dropped.
     """
-    # One row per episode of any claim, with the number of its claims, so that an episode
-    # with a large share of all claims is joined by broadcast. No episode is the empty id.
+    # No episode is the empty id.
     rows = claim_nodes(claims).withColumns({
         "_kind": _edge_kind(), "video_id": F.coalesce("video_id", F.lit(""))}).select(
         "claim_id", "video_id", "speaker", "topic", "_kind")
     known = episodes.select("video_id").distinct().withColumn("_known", F.lit(True))
-    cited = rows.groupBy("video_id").agg(F.count("*").alias("_n")).join(known, "video_id", "left")
-    rows = skew_join(rows, cited, "video_id", "_n")
+    if known.count() <= SMALL_LAYER:
+        rows = rows.join(F.broadcast(known), "video_id", "left")
+    else:
+        # One row per episode of any claim, with the number of its claims, so that an episode
+        # with a large share of all claims is joined by broadcast.
+        cited = rows.groupBy("video_id").agg(F.count("*").alias("_n")).join(known, "video_id", "left")
+        rows = skew_join(rows, cited, "video_id", "_n")
     here, said = F.coalesce("_known", F.lit(False)), F.col("_kind") != "DISCUSSED_IN"
 
     def edge(when: Column, kind: Column, src_label: str, src: str, dst_label: str, dst: str) -> Column:
@@ -165,9 +178,12 @@ def sourced_from(claims: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def evolved_from(evolution: DataFrame, claims: DataFrame) -> DataFrame:
-    ids = claims.select("claim_id").distinct()
-    edges = _edge(evolution, "EVOLVED_FROM", "Claim", "evolved_claim_id", "Claim", "original_claim_id",
-                  drift_type="drift_type")
+    edges = cut_lineage(_edge(evolution, "EVOLVED_FROM", "Claim", "evolved_claim_id", "Claim", "original_claim_id",
+                              drift_type="drift_type"))
+    named = edges.select(F.col("src").alias("claim_id")).union(edges.select("dst")).distinct()
+    ids = claims.select("claim_id")
+    if named.count() <= SMALL_LAYER:
+        ids = cut_lineage(ids.join(F.broadcast(named), "claim_id", "left_semi").distinct())
     return drop_dangling(drop_dangling(edges, ids, "src"), ids, "dst")
 
 

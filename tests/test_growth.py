@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from talkmine.operators import components
 from talkmine.operators import enrichment as en
+from talkmine.operators import evolution as ev
+from talkmine.operators import graph as g
 from talkmine.operators import neighbors as nb
 from talkmine.operators import participants as p
 from talkmine.session import cut_lineage
@@ -112,3 +114,30 @@ def test_dense_vectors_are_filled_in_one_step(spark):
     assert [vectors[1][slot[w]] for w in "ab"] == [float(np.float32(n / math.sqrt(5))) for n in (2, 1)]
     assert [vectors[4][slot[w]] for w in "ab"] == [float(np.float32(1 / math.sqrt(2)))] * 2
     assert all(sum(x != 0 for x in vectors[i]) == 2 for i in (1, 4))
+
+
+def test_claims_are_not_sorted_to_find_edges_and_ends(spark):
+    """Whole claims are neither sorted nor shuffled to make ids unique or to find the ends of topics."""
+    rows = [(str(i % 90), "v1" if i % 2 else None, f"P{i % 7}", f"T{i % 4}", "HIGH", f"{'long ' * 12}{i}", "c") for i in range(100)]
+    claims = cut_lineage(spark.createDataFrame(
+        rows, """claim_id string, video_id string, speaker string, topic string, attribution_confidence string,
+        claim_text string, channel_name string""").withColumn(
+            "claim_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.crc32("claim_text") % 300).cast("int"))))
+    known = spark.createDataFrame([("v1",), ("v9",)], "video_id string")
+    once = claims.filter("cast(claim_id as int) >= 10")
+    made = g.claim_edges(once, known)
+    assert "Sort" not in plan(made) and "Exchange hashpartitioning" not in plan(made)
+    assert g.claim_nodes(claims).count() == 90
+    counts = {r["type"]: r["count"] for r in g.claim_edges(claims, known).groupBy("type").count().collect()}
+    sourced = g.claim_nodes(claims).filter("video_id = 'v1'").count()
+    assert counts == {"MADE_CLAIM": 90, "ABOUT": 90, "SOURCED_FROM": sourced}
+    want = {}
+    for r in claims.collect():
+        want.setdefault(r["topic"], []).append(r)
+    ends = {t: (min(rs, key=lambda r: (r.claim_date, r.claim_id)), max(rs, key=lambda r: r.claim_date).claim_date) for t, rs in want.items()}
+    pairs = ev.topic_pairs(claims).collect()
+    assert len(pairs) == 4
+    for p_ in pairs:
+        first, last = ends[p_["topic"]]
+        assert (p_["original_claim_id"], p_["original_date"], p_["evolved_date"]) == (first.claim_id, first.claim_date, last)
+        assert p_["claim_count"] == len(want[p_["topic"]])
