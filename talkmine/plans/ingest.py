@@ -396,7 +396,8 @@ def _refreshed(spark, sf) -> str:
     """Tables after the stream ran twice; the second run finds nothing new."""
     home = fresh_dir(spark, "refresh")
     for run in (1, 2):
-        r.run_refresh(_stream(spark, sf, "documents"), f"{home}/tables", f"{home}/checkpoint{run}", t.payload_of)
+        r.run_refresh(_stream(spark, sf, "documents"), f"{home}/tables", f"{home}/checkpoint{run}",
+                      lambda docs: t.payload_of(t.spread(docs, "doc_id")))
     return f"{home}/tables"
 
 

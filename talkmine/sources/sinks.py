@@ -55,17 +55,31 @@ def first_per_key(df: DataFrame, key: str) -> DataFrame:
     return df.join(repeated, key, "left_anti").unionByName(chosen)
 
 
-def append_new(src: DataFrame, path: str, key: str, partition_by: list[str] = ()) -> None:
-    """Write the rows with new keys. Whole episodes are added, so ``key`` may repeat in ``src``.
+def without_held(src: DataFrame, held: DataFrame, key: str) -> DataFrame | None:
+    """Rows of ``src`` whose key isn't in ``held``, None if all are. NULL keys are never held.
 
-    Which keys are held already is found from the keys alone. Mostly none is, and then the
-    rows, which carry whole transcripts, are written without any join.
+    Which keys are held is found from the keys alone. Mostly none is, or all are in a replayed batch,
+    and then the rows, which carry whole transcripts, meet nothing. Else they meet the keys
+    held or the new ones, whichever are fewer.
     """
+    asked = src.select(key).distinct().join(
+        held.select(key).distinct().withColumn("__held", F.lit(True)), key, "left")
+    asked = cut_lineage(asked.select(F.col(key).alias("__key"), F.coalesce("__held", F.lit(False)).alias("__held")))
+    new, old = asked.agg(F.count_if(~F.col("__held")), F.count_if("__held")).first()
+    if not new or not old:
+        return src if new else None
+    fewer = asked.filter(F.col("__held") == F.lit(old <= new)).select("__key")
+    fewer = F.broadcast(fewer) if min(new, old) <= SMALL_KEYS else fewer
+    return src.join(fewer, src[key].eqNullSafe(F.col("__key")), "left_anti" if old <= new else "left_semi")
+
+
+def append_new(src: DataFrame, path: str, key: str, partition_by: list[str] = ()) -> None:
+    """Write the rows with new keys. Whole episodes are added, so ``key`` may repeat in ``src``."""
     target = read_table(src.sparkSession, path, src.schema)
     if target is not None:
-        held, count = _few(src.select(key).distinct().join(target.select(key), key, "left_semi"), key)
-        if count:
-            src = src.join(held, key, "left_anti")
+        src = without_held(src, target, key)
+        if src is None:
+            return
     src.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 

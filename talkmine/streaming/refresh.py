@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 from talkmine.functions.text import tokens
 from talkmine.operators.chunking import chunk_payload
 from talkmine.operators.enrichment import postings
-from talkmine.sources.sinks import append_new, first_per_key, read_table, upsert_new
+from talkmine.session import stored
+from talkmine.sources.sinks import append_new, first_per_key, read_table, upsert_new, without_held
 
 TERM_BUCKETS = 64
 
 
 def refresh(payload: DataFrame, tables: str) -> None:
-    """One batch of landing rows into the channel, episode, chunk and index tables."""
+    """One batch of landing rows into the channel, episode, chunk and index tables.
+
+    Chunks are made once and stored, since what is added to each table is found and taken from them.
+    """
     payload = first_per_key(payload, "video_id")
-    chunks = chunk_payload(payload)
     known = read_table(payload.sparkSession, f"{tables}/channels")
     channels = payload.select("channel_id", "channel_name", "genre")
     upsert_new(known, channels, "channel_id").write.mode("append").parquet(f"{tables}/channels")
     append_new(payload, f"{tables}/episodes", "video_id")
+    chunks = stored(chunk_payload(payload))
     append_new(chunks, f"{tables}/chunks", "video_id")
     maintain_postings(chunks, tables)
 
@@ -38,7 +42,9 @@ def maintain_postings(chunks: DataFrame, tables: str) -> None:
     whose lengths are missing are written again under the same key and read once.
     """
     held = read_table(chunks.sparkSession, f"{tables}/doc_lengths")
-    todo = chunks if held is None else chunks.join(held.select("chunk_id"), "chunk_id", "left_anti")
+    todo = chunks if held is None else without_held(chunks, held, "chunk_id")
+    if todo is None:
+        return
     rows = postings(todo).withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
     rows.repartition("term_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).write.mode("append").partitionBy(
         "term_bucket").parquet(f"{tables}/postings")
