@@ -2,13 +2,15 @@
 
 A piece of text is a row of byte symbols. The ranks of its adjacent pairs are the leaves of a
 segment tree whose root is the lowest rank, leftmost first; each merge updates three leaves in
-logarithmic time, until no pair can be merged. So a piece of n bytes takes n log n steps.
+logarithmic time, until no pair can be merged. So a piece of n bytes takes n log n steps. A node has
+16 children, so that short pieces are a root over leaves.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 import warnings
 from functools import lru_cache
@@ -19,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from talkmine.llm.text import tidy
 
-#: words remembered with their tokens, per Python worker: at most twice as many
-REMEMBERED = 150_000
+#: pieces, and words of one or more, remembered with their tokens by a task: at most twice as many
+PIECES, WORDS = 100_000, 50_000
 #: control characters that count as blanks in Python, but not in the tokenizer
 _NOT_BLANK = "\x1c\x1d\x1e\x1f"
 #: white space of the tokenizer's pattern language
@@ -91,25 +93,31 @@ def plain(text: str) -> str:
     """Normal form and lower case as the tokenizer makes them."""
     if text.isascii():
         return text.lower()
-    return "".join([unicodedata.normalize("NFC", part) for part in _UNMOVED.split(text)]).translate(_LOWER).lower()
+    if not unicodedata.is_normalized("NFC", text):  # what is has only parts that are
+        text = "".join([unicodedata.normalize("NFC", part) for part in _UNMOVED.split(text)])
+    return text.translate(_LOWER).lower()
 
 
 class _Memory(dict):
     """Results of ``compute`` for short arguments: recent ones, and those seen just before."""
 
-    def __init__(self, compute) -> None:
+    def __init__(self, compute, most: int) -> None:
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, word: str):
         found = self.older.get(word) or self.compute(word)
         if len(word) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Bpe:
     """Encoder and decoder of a tokenizer file with lower case, word ends and byte symbols."""
@@ -124,61 +132,56 @@ class Bpe:
         shown = byte_symbols()
         self.inner = [vocab[c] for c in shown]
         self.last = [vocab[c + self.end] for c in shown]
-        self.merges = {}
+        #: rank of a pair, above the place that is added to it; and what each rank makes
+        self.ranks, self.made = {}, []
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        for name, kind in ((r"\p{L}", "L"), (r"\p{N}", "N")):
-            pattern = pattern.replace(name, code_points(kind))
-        self.piece = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
+            self.ranks.setdefault(vocab[a] << 32 | vocab[b], rank << 40)
+            self.made.append(vocab[a + b])
+        #: rank of a pair of single bytes inside a piece, at the first times 256 plus the second
+        self.first = [self.ranks.get(a << 32 | b, _NONE) for a in self.inner for b in self.inner]
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}")
+        self.ascii = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"))
+        self.piece = re.compile(pattern.replace(r"\p{L}", code_points("L")).replace(r"\p{N}", code_points("N")))
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        self.pieces, self.words = _Memory(self._piece), _Memory(self._word)
+        self.pieces, self.words = _Memory(self._piece, PIECES), _Memory(self._word, WORDS)
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
-        ids = [self.inner[b] for b in piece]
+        inner, first, rank, made, n = self.inner, self.first, self.ranks.get, self.made, len(piece)
+        ids = [inner[b] for b in piece]
         ids[-1] = self.last[piece[-1]]
-        n = len(ids)
         if n == 1:
             return ids
-        width = 1 << (n - 2).bit_length() if n > 2 else 1
-        merges = self.merges
-        tree = [_NONE] * (2 * width)
-        for i in range(n - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found:
-                tree[width + i] = found[0] << 40 | i
-        for i in range(width - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
+        leaves = [first[a << 8 | b] + i for a, b, i in zip(piece, piece[1:], range(n))]
+        leaves[-1] = rank(ids[-2] << 32 | ids[-1], _NONE) + n - 2
+        leaves.append(_NONE)
+        levels = [leaves]
+        while len(below := levels[-1]) > 16:
+            levels.append([min(below[i:i + 16]) for i in range(0, len(below), 16)])
+        top, deep = levels[-1], len(levels) > 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while tree[1] != _NONE:
-            i = tree[1] & _PLACE
+        while (low := min(top)) < _NONE:
+            i = low & _PLACE
+            own = ids[i] = made[low >> 40]
             j = after[i]
-            ids[i] = merges[ids[i], ids[j]][1]
-            ids[j] = -1
             k = after[i] = after[j]
+            ids[j] = -1
+            leaves[j] = leaves[i] = _NONE
             if k < n:
                 before[k] = i
-            changes = [(i, _NONE), (j, _NONE)]
-            if k < n and (found := merges.get((ids[i], ids[k]))):
-                changes[0] = (i, found[0] << 40 | i)
+                leaves[i] = rank(own << 32 | ids[k], _NONE) + i
             h = before[i]
             if h >= 0:
-                found = merges.get((ids[h], ids[i]))
-                changes.append((h, found[0] << 40 | h if found else _NONE))
-            for leaf, value in changes:
-                at = width + leaf
-                if at >= 2 * width or tree[at] == value:
-                    continue
-                tree[at] = value
-                while at > 1:
-                    at >>= 1
-                    a, b = tree[2 * at], tree[2 * at + 1]
-                    low = a if a < b else b
-                    if tree[at] == low:
-                        break
-                    tree[at] = low
+                leaves[h] = rank(ids[h] << 32 | own, _NONE) + h
+            if deep:
+                moved = {i >> 4, j >> 4, max(h, 0) >> 4}
+                for below, above in zip(levels, levels[1:]):
+                    at, moved = moved, set()
+                    for node in at:
+                        low = min(below[node << 4:(node + 1) << 4])
+                        if above[node] != low:
+                            above[node] = low
+                            moved.add(node >> 4)
         return [i for i in ids if i >= 0]
 
     def _piece(self, piece: str) -> tuple[str, str]:
@@ -189,7 +192,10 @@ class Bpe:
     def _word(self, text: str) -> tuple[str, str]:
         """The same of any text without special tokens; what stands between blanks is cut alike
         whether it stands alone or not."""
-        pieces = [self.pieces[p] for p in self.piece.findall(plain(text))]
+        text = plain(text)
+        if text.isalpha():  # letters in Python's tables are in the tokenizer's
+            return self.pieces[text]
+        pieces = [self.pieces[p] for p in (self.ascii if text.isascii() else self.piece).findall(text)]
         return " ".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces])
 
     def parts(self, text: str) -> list[tuple[str, str]]:
@@ -205,6 +211,11 @@ class Bpe:
                 out += [words[w] for w in part.split()]
         return out
 
+    def forget(self) -> None:
+        """Let go of what was remembered; workers live on after their tasks."""
+        self.pieces.forget()
+        self.words.forget()
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.parts(text) for i in ids.split(" ")]
 
@@ -243,6 +254,7 @@ def encoded(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                        pa.array(shown, pa.string())] + [pa.array(own, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays(
                 columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         tidy(compute), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import re
 import unicodedata
@@ -111,6 +112,15 @@ def test_blocks_meet_each_other(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == components(rows)
 
 
+def test_candidate_pairs_go_in_rounds(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(ngram_join, "_rounds", lambda *given: asked.append(given) or 2)
+    rows = chains()
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == components(rows)
+    assert len(asked) == 2
+
+
 def test_groups_of_odd_rows(odd_documents, no_documents):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
     got = ngram_join.similar_groups(odd_documents).select("doc_id", "n_shingles", "component_id").collect()
@@ -188,6 +198,31 @@ def test_bpe_of_odd_texts(text):
     assert bpe.load(TOKENIZER).encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("n", [2, 15, 16, 17, 18, 255, 256, 257, 258, 4097])
+def test_bpe_of_pieces_at_the_borders_of_nodes(n):
+    for text in ("a" * n, ("anotherinthe" * n)[:n], "".join(chr(97 + i * i % 26) for i in range(n)), "\u6f22" * n):
+        assert bpe.load(TOKENIZER).encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_takes_words_of_letters_as_they_are():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        own = bpe.Bpe(json.load(file))
+    own.piece = None  # the pattern of all letters
+    text = "Hello, world's \u00dcnited e\u0301t\u00e9 \u03a3\u0391\u03a3 \u6f22\u5b57 12!"
+    assert own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_workers_forget_words_after_a_task(spark, given):
+    def held(batches):
+        for batch in batches:
+            own = bpe.load(TOKENIZER)
+            yield pa.RecordBatch.from_arrays([pa.array([len(own.words) + len(own.pieces)] * batch.num_rows, pa.int64())],
+                                             names=["n"])
+
+    assert len(bpe.encoded(given.repartition(8), TOKENIZER).collect()) == given.count()
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_bpe_of_whole_table(odd_documents, no_documents):
     for r in bpe.encoded(odd_documents, TOKENIZER).join(odd_documents.select("doc_id", "text"), "doc_id").collect():
         ids = LIBRARY.encode(r.text or "", add_special_tokens=False).ids
