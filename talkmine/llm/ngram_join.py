@@ -11,7 +11,9 @@ components may be linked; then the members of one are held against those of the
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,22 @@ SIGNATURES_PER_TASK = 1_000_000
 PIVOTS = 4
 #: members of a signature group that are compared with each other at once
 BLOCK = 256
+#: pairs for each set that carry brief sketches through a shuffle at once, and that carry sets
+BRIEF_PAIRS, WHOLE_PAIRS = 8, 0.5
+#: sets that a round is made for at least
+ROUND_SETS = 100_000
 #: signatures that one count stands for at most
 RUN = 32_767
 _U64 = np.uint64
 
 
-def _set_id(features: np.ndarray) -> int:
-    """Identity of a set; None for the empty one."""
-    return int(mix(np.array([mix(features).sum(dtype=_U64) + _U64(len(features))]))[0].astype(np.int64))
+def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """Identities of sets; of no use for empty ones."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    running = np.zeros(size.sum() + 1, dtype=_U64)
+    np.cumsum(mix(np.concatenate([*sets, np.zeros(0, _U64)])), out=running[1:])
+    end = np.cumsum(size)
+    return mix(running[end] - running[end - size] + size.astype(_U64)).astype(np.int64)
 
 
 def _sketch(features: np.ndarray) -> np.ndarray:
@@ -81,7 +91,7 @@ def shingle_table(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
                 batch.column("key").slice(a, len(sets)),
                 batch.column("doc_id").slice(a, len(sets)),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array(_set_ids(sets), mask=np.array([not len(s) for s in sets])),
                 pa.array(sketches, pa.list_(pa.int64())),
                 pa.array([None if x is None else _brief(x) for x in sketches], pa.list_(pa.int64()))],
                 names=["key", "doc_id", "n_shingles", "set_id", "sketch", "brief"])
@@ -100,7 +110,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, length: int) -> DataFrame:
     def compute(batches):
         given: set[int] = set()
         for _, _, sets in _each_set(batches, length):
-            own = {_set_id(s): s for s in sets if len(s)}
+            own = {i: s for i, s in zip(_set_ids(sets).tolist(), sets) if len(s)}
             names = np.array(list(own), dtype=np.int64)
             chosen = [i for i in names[hits(names, box.value)].tolist() if i not in given]
             given.update(chosen)
@@ -122,7 +132,7 @@ def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = S
 
     def compute(batches):
         for _, _, sets in _each_set(batches, length):
-            own = {_set_id(s): signatures(s, scheme) for s in sets if len(s)}
+            own = {i: signatures(s, scheme) for i, s in zip(_set_ids(sets).tolist(), sets) if len(s)}
             if not own:
                 continue
             ids = np.array(list(own), dtype=np.int64)
@@ -260,15 +270,38 @@ def _at_most(a: str, b: str, percent: int) -> Column:
         differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent))
 
 
-def _open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) that sketches can't rule out. Most are by the brief ones, so few pairs
-    carry whole sketches through a shuffle."""
-    for kind in ("brief", "sketch"):
-        for side in ("a", "b"):
-            own = sketches.select(F.col("set_id").alias(side), F.struct("n", F.col(kind).alias("sketch")).alias(f"of_{side}"))
-            pairs = pairs.join(own, side)
-        pairs = pairs.filter(_at_most("of_a", "of_b", percent)).select("a", "b")
-    return pairs
+def _by(pairs: DataFrame, sketches: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Pairs (a, b) that sketches of the kind can't rule out."""
+    for side in ("a", "b"):
+        own = sketches.select(F.col("set_id").alias(side), F.struct("n", F.col(kind).alias("sketch")).alias(f"of_{side}"))
+        pairs = pairs.join(own, side)
+    return pairs.filter(_at_most("of_a", "of_b", percent)).select("a", "b")
+
+
+def _rounds(pairs: int, sets: int, each: float) -> int:
+    """Rounds in which ``pairs`` are dealt with, ``each`` for every set at once."""
+    return max(1, math.ceil(pairs / (each * max(sets, ROUND_SETS))))
+
+
+def _in_rounds(rows: DataFrame, by: Column, rounds: int, step) -> DataFrame:
+    """``step`` of all rows, made part by part: what the shuffles of one part wrote is deleted before the next.
+
+    ``by`` deals the rows into parts. Pairs grow faster than the texts; with more rounds for more pairs
+    the disk that they take at once does not.
+    """
+    parts = []
+    for i in range(rounds):
+        parts.append(cut_lineage(step(rows.filter(F.pmod(by, F.lit(rounds)) == i) if rounds > 1 else rows, i)))
+        _forget(rows.sparkSession)
+    return reduce(lambda x, y: x.union(y), parts)
+
+
+def _open_pairs(pairs: DataFrame, n: int, sketches: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) that sketches can't rule out, each once; ``pairs`` are ``n`` rows. Most are by the
+    brief ones, so few pairs carry whole sketches through a shuffle."""
+    left = _in_rounds(pairs, F.xxhash64("a", "b"), _rounds(n, sketches.count(), BRIEF_PAIRS),
+                      lambda part, _: _by(part.distinct(), sketches, "brief", percent))
+    return _by(left, sketches, "sketch", percent)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> DataFrame:
@@ -276,11 +309,18 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> Da
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
     sets, folder = _stored(sets_of(docs, ids, length))
     _forget(docs.sparkSession)
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("features").alias(f"of_{side}")), side)
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - common
-    similar = cut_lineage(pairs.filter(common * 100 >= union * percent).select("a", "b"))
+    rounds = _rounds(pairs.count(), ids.count(), WHOLE_PAIRS)
+
+    def similar_of(part: DataFrame, i: int) -> DataFrame:
+        # only the sets of this part's right sides go through the shuffle with it
+        right = sets.filter(F.pmod(F.xxhash64("set_id"), F.lit(rounds)) == i)
+        for side, own in (("a", sets), ("b", right)):
+            part = part.join(own.select(F.col("set_id").alias(side), F.col("features").alias(f"of_{side}")), side)
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        union = F.size("of_a") + F.size("of_b") - common
+        return part.filter(common * 100 >= union * percent).select("a", "b")
+
+    similar = _in_rounds(pairs, F.xxhash64("b"), rounds, similar_of)
     _forget(docs.sparkSession, folder)
     return similar
 
@@ -475,8 +515,8 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, length: int = SHINGL
     groups, of_groups = _stored(signature_groups(docs, n_features, scheme, length))
     _forget(spark)
     low, high = F.least("pivot", "member"), F.greatest("pivot", "member")
-    stars = groups.select(low.alias("a"), high.alias("b")).distinct()
-    open_pairs = cut_lineage(_open_pairs(stars, sketches, percent))
+    stars = groups.select(low.alias("a"), high.alias("b"))
+    open_pairs = cut_lineage(_open_pairs(stars, groups.count(), sketches, percent))
     _forget(spark)
     first = verified(open_pairs, docs, percent, length)
     labels = cut_lineage(connected(first))

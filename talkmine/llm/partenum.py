@@ -16,6 +16,7 @@ cut of the domain, since a pair could then agree in empty ones alone.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -59,15 +60,31 @@ def band_tops(n: int, percent: int) -> list[int]:
 def signatures(features: np.ndarray, scheme: Scheme) -> np.ndarray:
     """Signatures of one set of ascending distinct features. Equal sets are not its matter: bands
     in which only these are similar give none."""
-    out = []
-    for top in band_tops(len(features), scheme.percent) if len(features) else []:
+    out, running = [], _running(features)
+    for top in _tops(len(features), scheme.percent) if len(features) else []:
         k = 2 * top * (100 - scheme.percent) // (100 + scheme.percent)
         if k:
-            out.extend(_of_band(features, top, k, scheme))
+            out.extend(_of_band(features, running, top, k, scheme))
     return np.concatenate(out) if out else np.zeros(0, _U64)
 
 
-def _of_band(features: np.ndarray, top: int, k: int, scheme: Scheme) -> list[np.ndarray]:
+_tops = lru_cache(1 << 12)(band_tops)
+
+
+def _running(features: np.ndarray) -> np.ndarray:
+    """Sums of the mixed features before each place."""
+    out = np.zeros(len(features) + 1, dtype=_U64)
+    np.cumsum(mix(features), out=out[1:])
+    return out
+
+
+@lru_cache(64)
+def _names(top: int, cut: int, n: int, seed: int) -> np.ndarray:
+    """What tells the ``n`` signatures of a band and a cut apart."""
+    return mix(np.arange(n, dtype=_U64) + _U64((top << 24) + (cut << 58) + (seed << 52)))
+
+
+def _of_band(features: np.ndarray, running: np.ndarray, top: int, k: int, scheme: Scheme) -> list[np.ndarray]:
     spare = 1 + int(k * scheme.spare)
     groups = -(-(k + 1) // (scheme.damage + 1)) + spare
     out, subsets = [], scheme.subsets
@@ -75,16 +92,16 @@ def _of_band(features: np.ndarray, top: int, k: int, scheme: Scheme) -> list[np.
         x = features
         if cut or scheme.seed:
             x = np.sort(mix(x + _U64(1000 * scheme.seed + cut)))
+            running = _running(x)
         cells = groups * scheme.parts
         place = ((x >> _U64(32)) * _U64(cells) >> _U64(32)).astype(np.int64)
         upto = np.searchsorted(place, np.arange(cells + 1))
-        running = np.zeros(len(x) + 1, dtype=_U64)
-        np.cumsum(mix(x), out=running[1:])
         held = (upto[1:] - upto[:-1]).reshape(groups, scheme.parts)
         sums = mix(running[upto[1:]] - running[upto[:-1]] + np.arange(cells, dtype=_U64)).reshape(groups, -1)
-        weight = held[:, subsets].sum(axis=2).ravel()
-        which = np.arange(len(weight), dtype=_U64) + _U64((top << 24) + (cut << 58) + (scheme.seed << 52))
-        value = mix(sums[:, subsets].sum(axis=2, dtype=_U64).ravel() + mix(which))
+        if subsets.shape[1] > 1:
+            held, sums = held[:, subsets].sum(axis=2), sums[:, subsets].sum(axis=2, dtype=_U64)
+        weight = held.ravel()
+        value = mix(sums.ravel() + _names(top, cut, len(weight), scheme.seed))
         empty = int((weight == 0).sum())
         if empty < spare:
             order = np.argpartition((weight.astype(_U64) << _U64(40)) | (value >> _U64(24)), spare - 1)
