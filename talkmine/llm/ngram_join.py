@@ -13,7 +13,7 @@ from __future__ import annotations
 import gc
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,11 @@ from talkmine.session import cut_lineage, fresh_dir
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: signatures that one task of the meeting stage holds
-SIGNATURES_PER_TASK = 1_000_000
-#: sets that all later ones with the same signature are compared with; at least 3
+#: features whose signatures, a little over half as many, one task of the meeting stage holds
+FEATURES_PER_TASK = 4_000_000
+#: sets that all later ones with the same signature are compared with
 PIVOTS = 4
-#: members of a signature group that are compared with each other at once
+#: sets that are compared with each other at once; of sketches, which are short, four times as many
 BLOCK = 256
 #: pairs for each set that carry brief sketches through a shuffle at once, and that carry sets
 BRIEF_PAIRS, WHOLE_PAIRS = 8, 0.5
@@ -126,8 +126,9 @@ def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = S
     """Signatures packed by the place where they meet: per slice of documents and place, the set
     ids, how many signatures each has there, and the signatures. Copies in a slice count once.
 
-    A place holds about ``SIGNATURES_PER_TASK`` signatures at any size of corpus, so 32 more bits tell
-    them apart as well as before; the few that fall together only make a candidate more.
+    A place holds the signatures of about ``FEATURES_PER_TASK`` features at any size of corpus, so 32 more
+    bits tell them apart; the few that fall together only make a candidate more. A set's id goes to every
+    place where it has a signature, so with more places more bytes are ids.
     """
 
     def compute(batches):
@@ -160,20 +161,22 @@ def signature_rows(docs: DataFrame, scheme: Scheme, places: int, length: int = S
         tidy(compute), "place int, ids array<long>, counts array<smallint>, sigs array<int>")
 
 
-def _meet(batches, buffer: int = 1 << 18):
+def _meet(batches, most: int = PIVOTS, buffer: int = 1 << 19):
     """Rows (sig, pivot, member) of the signatures that several sets share.
 
     The first set seen with a signature is its pivot, and all later ones are its members; they
     stream past, so a task holds its distinct signatures and never all sets of a frequent one.
-    The next few sets are further pivots, whose pairs with later ones come without signature,
-    once for each buffer. So do the pairs of signatures that only two sets share.
+    The next few sets are further pivots, ``most`` in all. Pairs with one of these as an end come
+    without signature, once for each buffer. Only sets after the pivots are wanted by signature, since
+    they have yet to be compared with each other; they come with the first pivot. What Spark hands
+    over at once is cut to about ``buffer`` signatures, since sorting takes many times their size.
     """
-    known, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pivots = np.zeros((0, PIVOTS), np.int64)
+    known, count = np.zeros(0, np.int64), np.zeros(0, np.int8)
+    pivots = [np.zeros(0, np.int64) for _ in range(most)]
     sigs, owners, held = [], [], 0
 
     def settle():
-        nonlocal known, count, pivots, sigs, owners, held
+        nonlocal known, count, sigs, owners, held
         s, o = np.concatenate(sigs), np.concatenate(owners)
         sigs, owners, held = [], [], 0
         order = np.lexsort((o, s))
@@ -187,53 +190,56 @@ def _meet(batches, buffer: int = 1 << 18):
         fresh[place < len(known)] = known[place[place < len(known)]] != s[head][place < len(known)]
         known = np.insert(known, place[fresh], s[head][fresh])
         count = np.insert(count, place[fresh], 0)
-        pivots = np.insert(pivots, place[fresh], 0, axis=0)
+        for j in range(most):
+            pivots[j] = np.insert(pivots[j], place[fresh], 0)
         at = np.searchsorted(known, s[head])
-        had = count[at]
+        had = count[at].astype(np.int64)
         group = np.repeat(np.arange(len(head)), size)
         ordinal = np.arange(len(s)) - head[group]
         out = []
-        for j in range(PIVOTS):
+        for j in range(most):
             new = (had <= j) & (j - had < size)
-            pivots[at[new], j] = o[head[new] + (j - had)[new]]
+            pivots[j][at[new]] = o[head[new] + (j - had)[new]]
             count[at[new]] = j + 1
-            pivot = pivots[at, j][group]
+            pivot = pivots[j][at][group]
             later = (j < count[at])[group] & (ordinal > (j - had)[group]) & (o != pivot)
             pairs = np.stack([s[later], pivot[later], o[later]])
             if j == 0:
-                # a group of two is only a pair; from three on all its members are wanted by signature
-                third = (ordinal + had[group])[later] >= 2
-                grown = np.flatnonzero((had < 3) & (had + size >= 3))
-                named = pairs[:, third]
-                pairs = pairs[:, ~third]
+                after = (ordinal + had[group])[later] >= most
+                named = pairs[:, after]
+                pairs = pairs[:, ~after]
             out.append(np.unique(pairs[1:], axis=1))
-        grown = at[grown]
-        first = np.concatenate([named, np.stack([known[grown], pivots[grown, 0], pivots[grown, 1]])], axis=1)
-        first = first[:, first[1] != first[2]]
-        more = np.concatenate(out, axis=1)
+        more = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([
-            pa.array(np.r_[first[0], np.zeros(more.shape[1], np.int64)],
-                     mask=np.r_[np.zeros(first.shape[1], bool), np.ones(more.shape[1], bool)]),
-            pa.array(np.r_[first[1], more[0]]), pa.array(np.r_[first[2], more[1]])], names=["sig", "pivot", "member"])
+            pa.array(np.r_[named[0], np.zeros(more.shape[1], np.int64)],
+                     mask=np.r_[np.zeros(named.shape[1], bool), np.ones(more.shape[1], bool)]),
+            pa.array(np.r_[named[1], more[0]]), pa.array(np.r_[named[2], more[1]])], names=["sig", "pivot", "member"])
 
     for batch in batches:
-        counts = batch.column("counts").flatten().to_numpy()
-        place = np.repeat(batch.column("place").to_numpy().astype(np.int64), pc.list_value_length(batch.column("sigs")))
-        sigs.append(place << 32 | batch.column("sigs").flatten().to_numpy().view(np.uint32))
-        owners.append(np.repeat(batch.column("ids").flatten().to_numpy(), counts))
-        held += len(sigs[-1])
-        if held >= buffer:
-            yield settle()
+        upto = np.cumsum(pc.list_value_length(batch.column("sigs")).to_numpy())
+        begin = 0
+        while begin < len(upto):
+            done = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, done + buffer, "right")))
+            rows = batch.slice(begin, end - begin)
+            begin = end
+            counts = rows.column("counts").flatten().to_numpy()
+            place = np.repeat(rows.column("place").to_numpy().astype(np.int64), pc.list_value_length(rows.column("sigs")))
+            sigs.append(place << 32 | rows.column("sigs").flatten().to_numpy().view(np.uint32))
+            owners.append(np.repeat(rows.column("ids").flatten().to_numpy(), counts))
+            held += len(sigs[-1])
+            if held >= buffer // 2:
+                yield settle()
     if held:
         yield settle()
 
 
 def signature_groups(docs: DataFrame, n_features: int, scheme: Scheme, length: int = SHINGLE_WORDS) -> DataFrame:
-    """(sig, pivot, member) of all signatures that at least two sets have; null sig: further pivots."""
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                -(-n_features // SIGNATURES_PER_TASK))
+    """(sig, pivot, member) of all signatures that at least two sets have; null sig: pairs with a pivot."""
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_features // FEATURES_PER_TASK))
     packed = signature_rows(docs, scheme, tasks, length)
-    return packed.repartitionById(tasks, "place").mapInArrow(tidy(_meet), "sig long, pivot long, member long")
+    return packed.repartitionById(tasks, "place").mapInArrow(
+        tidy(partial(_meet, most=PIVOTS)), "sig long, pivot long, member long")
 
 
 def _forget(spark: SparkSession, *folders: str) -> None:
@@ -253,16 +259,20 @@ def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _folded(sketch: Column, cells: Column) -> Column:
+    """Halves of a sketch, of ``cells`` words each, added up, as if it had been made with half the cells."""
+    cells = cells.cast("int")
+    return F.zip_with(F.slice(sketch, F.lit(1), cells), F.slice(sketch, cells + 1, cells), lambda x, y: x.bitwiseXOR(y))
+
+
 def _at_most(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches of two sets leave it open that they are similar."""
     big, small = F.greatest(f"{a}.n", f"{b}.n"), F.least(f"{a}.n", f"{b}.n")
     cells = F.least(F.size(f"{a}.sketch"), F.size(f"{b}.sketch"))
 
     def folded(side: str) -> Column:
-        """Halves of a sketch added up, as if it had been made with half the cells."""
         s = F.col(f"{side}.sketch")
-        return F.when(F.size(s) == cells, s).otherwise(F.zip_with(
-            F.slice(s, F.lit(1), cells), F.slice(s, cells + 1, cells), lambda x, y: x.bitwiseXOR(y)))
+        return F.when(F.size(s) == cells, s).otherwise(_folded(s, cells))
 
     differ = F.aggregate(
         F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
@@ -326,11 +336,12 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> Da
 
 
 def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[DataFrame, str]:
-    """Blocks, and pairs of blocks, of those groups whose members, the pivot aside, are not all
+    """Blocks, and pairs of blocks, of those groups whose members, the pivots aside, are not all
     connected; and the folder that these are read from.
 
-    Of groups with the same members one is enough. Blocks hold about ``BLOCK`` members, so a
-    frequent signature is many tasks.
+    Of groups with the same members one is enough. Blocks hold about four times ``BLOCK`` members, so
+    a frequent signature is many tasks; each block is copied for every other of its group. Members
+    bring half their sketch, which is as wide as their set is large and rules out nearly as many.
     """
     label = F.coalesce("component", "member")
     members = groups.select("sig", "member").join(labels.withColumnRenamed("node", "member"), "member", "left")
@@ -339,9 +350,10 @@ def _blocks(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"),
         F.sum(F.shiftright(F.xxhash64("member"), 24)).alias("all"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("same"))
     several = cut_lineage(several.filter("x <> y").groupBy("size", "all", "same").agg(F.min("sig").alias("sig")).select(
-        "sig", F.ceil(F.col("size") / BLOCK).alias("blocks")))
+        "sig", F.ceil(F.col("size") / (4 * BLOCK)).alias("blocks")))
+    half = F.when(F.size("sketch") < 2, F.col("sketch")).otherwise(_folded(F.col("sketch"), F.size("sketch") / 2))
     members = members.join(several, "sig").join(
-        sketches.select(F.col("set_id").alias("member"), "n", "sketch"), "member")
+        sketches.select(F.col("set_id").alias("member"), "n", half.alias("sketch")), "member")
     members = members.withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
     blocks = members.groupBy("sig", "block", "blocks").agg(F.collect_list(
         F.struct("member", "component", "n", "sketch")).alias("members"))

@@ -7,6 +7,7 @@ import math
 import re
 import unicodedata
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import pytest
 from hypothesis import given as examples
 from hypothesis import settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.llm.conftest import SF, documents
 from tests.oracle_check import compare, duck
 from tokenizers import Tokenizer
@@ -121,6 +123,38 @@ def test_candidate_pairs_go_in_rounds(spark, monkeypatch):
     assert len(asked) == 2
 
 
+def test_sets_after_the_pivots_are_named():
+    def batch(ids):
+        return pa.RecordBatch.from_arrays([
+            pa.array([0], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([[1] * len(ids)], pa.list_(pa.int16())),
+            pa.array([[7] * len(ids)], pa.list_(pa.int32()))], names=["place", "ids", "counts", "sigs"])
+
+    for slices in ([[1, 2, 3, 4, 5, 6]], [[1, 2], [3, 2], [4, 5, 6]], [[1], [2, 3, 4, 5, 6]]):
+        rows = [r for out in ngram_join._meet(iter(map(batch, slices)), most=3, buffer=1) for r in out.to_pylist()]
+        named = {r["member"] for r in rows if r["sig"] is not None}
+        found = {frozenset((r["pivot"], r["member"])) for r in rows} | {frozenset(p) for p in combinations(named, 2)}
+        assert found == {frozenset(p) for p in combinations(range(1, 7), 2)}
+        assert {3, 4, 5, 6} >= named >= {5, 6}
+        few = [r for out in ngram_join._meet(iter(map(batch, slices)), most=8, buffer=1) for r in out.to_pylist()]
+        assert all(r["sig"] is None for r in few)
+
+
+def test_blocks_carry_half_sketches(spark):
+    groups = spark.range(600).select(F.lit(5).cast("long").alias("sig"), F.lit(-1).cast("long").alias("pivot"), F.col("id").alias("member"))
+    labels = spark.createDataFrame([], "node long, component long")
+    sketch = F.when(F.col("id") == 0, F.array(F.lit(9).cast("long"))).otherwise(F.array(*[F.lit(x).cast("long") for x in (1, 2, 4, 8)]))
+    rows = ngram_join._blocks(groups, labels, spark.range(600).select(
+        F.col("id").alias("set_id"), F.lit(100).cast("long").alias("n"), sketch.alias("sketch")))[0].collect()
+    assert len(rows) == 1 and rows[0].right is None
+    assert {r.member: r.sketch for r in rows[0].left} == {0: [9]} | {i: [5, 10] for i in range(1, 600)}
+
+
+def test_signature_tasks_follow_the_features(spark, given):
+    scheme = ngram_join.Scheme(percent=80, parts=2, damage=1, spare=0.3)
+    tasks = ngram_join.signature_groups(given, 400_000_000, scheme).rdd.getNumPartitions()
+    assert tasks == max(100, spark.sparkContext.defaultParallelism)
+
+
 def test_groups_of_odd_rows(odd_documents, no_documents):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
     got = ngram_join.similar_groups(odd_documents).select("doc_id", "n_shingles", "component_id").collect()
