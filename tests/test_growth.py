@@ -141,3 +141,29 @@ def test_claims_are_not_sorted_to_find_edges_and_ends(spark):
         first, last = ends[p_["topic"]]
         assert (p_["original_claim_id"], p_["original_date"], p_["evolved_date"]) == (first.claim_id, first.claim_date, last)
         assert p_["claim_count"] == len(want[p_["topic"]])
+
+
+def test_texts_are_read_once_to_weigh_frequent_and_rare_terms(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(60)]
+    texts = [". ".join(" ".join(rng.choice(words[: 1 + i % 60], 9)) for _ in range(6)) for i in range(80)]
+    rows = [(f"c{i}", f"v{i // 4}", i % 4, t) for i, t in enumerate(texts)] + [("n", "v0", 9, None), ("e", "v0", 10, "")]
+    chunks = cut_lineage(spark.createDataFrame(rows, "chunk_id string, video_id string, chunk_window long, chunk_text string"))
+    said = {c: [w for w in t.split() for w in [w.strip(".")]] for c, _, _, t in rows[:80]}
+    df = {w: sum(w in ws for ws in said.values()) for w in words}
+    idf = {w: math.log(82 / n) for w, n in df.items() if n}
+    topics, best = set(), {}
+    for c, v, window, text in rows[:80]:
+        scores = sorted((-round(said[c].count(w) * idf[w], 6), w) for w in set(said[c]))
+        topics |= {(c, w, r + 1) for r, (_, w) in enumerate(scores[:5])}
+        for pos, s in enumerate(text.split(". ")):
+            best.setdefault(v, []).append((-round(sum(idf[w.strip(".")] for w in s.split()) / 9, 6), window, pos))
+    for frequent in (1_000_000, 40, 1):  # all terms are frequent, some, none
+        monkeypatch.setattr(en, "FREQUENT", frequent)
+        made = en.tfidf_topics(chunks)
+        assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert {(r.chunk_id, r.topic, r["rank"]) for r in made.collect()} == topics
+        found = en.extract_summary(chunks)
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert {r.video_id: round(r.best_score, 5) for r in found.collect()} == {
+            v: round(-min(s)[0], 5) for v, s in best.items()}
