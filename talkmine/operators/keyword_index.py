@@ -13,20 +13,28 @@ are noted, taken out of answers and counts at once, and dropped at the next merg
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from talkmine.functions.ranking import top_k
 from talkmine.functions.text import tokens
 from talkmine.operators.enrichment import term_counts
 from talkmine.operators.search import _term_part, _term_weight, query_terms
-from talkmine.session import cut_lineage
+from talkmine.session import cut_lineage, forget, fresh_dir
 from talkmine.sources import manifest as m
 
 #: documents of a range
 RANGE = 128
+#: documents whose blocks are made at once
+AT_ONCE = 4096
 #: segments of a size class that are merged into one of the next
 MERGE = 4
 #: ranges that a search scores first
@@ -39,24 +47,83 @@ _HALF = 5e-5
 
 # --- writing -------------------------------------------------------------------------------
 
-def blocks(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
+def _cut(docs: pa.Table, kinds: pa.Schema) -> pa.RecordBatch:
+    """Blocks of documents (range, doc, doc_len, terms)."""
+    docs = docs.combine_chunks()
+    terms = docs["terms"].combine_chunks() if docs.num_rows else pa.array([], docs.schema.field("terms").type)
+    lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    said = pc.list_flatten(terms)
+    coded = pc.dictionary_encode(pc.struct_field(said, "term"))
+    tf = pc.struct_field(said, "tf").to_numpy(zero_copy_only=False)
+
+    def ranks(values: pa.Array) -> np.ndarray:
+        order = pc.array_sort_indices(values) if values.null_count == 0 else pc.sort_indices(values, null_placement="at_start")
+        place = np.empty(len(values), dtype=np.int64)
+        place[order.to_numpy()] = np.arange(len(values))
+        return place
+
+    term = ranks(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(row) else row
+    ranged = docs["range"].to_numpy()
+    long = pc.take(docs["doc_len"].combine_chunks(), pa.array(row)).to_numpy(zero_copy_only=False)
+    doc = pc.dictionary_encode(docs["doc"].combine_chunks(), null_encoding="encode")
+    doc_rank = ranks(doc.dictionary)[doc.indices.to_numpy(zero_copy_only=False)] if len(row) else row
+    order = np.lexsort((long, tf, doc_rank[row], term, ranged[row])) if len(row) else row
+    row, term, tf, long = row[order], term[order], tf[order], long[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(ranged[row]) != 0)][:len(row)])
+    postings = pa.StructArray.from_arrays(
+        [pc.take(docs["doc"].combine_chunks(), pa.array(row)), pa.array(tf, pa.int64()), pa.array(long, pa.int64())],
+        fields=list(kinds.field("postings").type.value_type))
+    columns = [ranged[row[first]], pc.take(pc.struct_field(said, "term"), pa.array(order[first])),
+               np.diff(np.r_[first, len(row)]), np.maximum.reduceat(tf, first) if len(first) else tf,
+               np.minimum.reduceat(long, first) if len(first) else long,
+               pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), postings)]
+    return pa.RecordBatch.from_arrays(
+        [c.cast(k.type) if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds)
+
+
+def blocks(docs: DataFrame, key: str = "chunk_id", text: str | None = None) -> DataFrame:
     """(range, term, n, most_tf, least_len, postings) of documents (key, doc_len, terms).
 
-    ``terms`` are an array of struct<term, tf>. A block has at most ``RANGE`` postings.
+    ``terms`` are an array of struct<term, tf>, or made from ``text`` once documents lie in their ranges. A
+    block has at most ``RANGE`` postings, and a range is within one task, so its blocks are made there:
+    documents are shuffled, their postings aren't.
     """
     place = F.monotonically_increasing_id()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.repartitionByRange(parts, "doc_len", key).sortWithinPartitions("doc_len", key).withColumn(
         "range", F.shiftleft(F.shiftright(place, 33), 33) + F.floor(place.bitwiseAND((1 << 33) - 1) / RANGE))
-    rows = ranged.select("range", key, "doc_len", F.explode("terms").alias("p")).select("range", key, "doc_len", "p.*")
-    return rows.groupBy("range", "term").agg(
-        F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_len"),
-        F.sort_array(F.collect_list(F.struct(F.col(key).alias("doc"), "tf", "doc_len"))).alias("postings"))
-
-
-def _segment(docs: DataFrame, root: str, key: str, note: str = "") -> m.Folder:
-    made = blocks(docs, key).repartitionByRange("term", "range").sortWithinPartitions("term", "range")
-    return m.store(made, root, "blocks", note)
+    terms = F.col("terms") if text is None else term_counts(tokens(F.col(text)))
+    rows = ranged.select("range", F.col(key).alias("doc"), "doc_len", terms.alias("terms"))
+    schema = T.StructType.fromDDL(f"""range long, term string, n long, most_tf long, least_len long,
+        postings array<struct<doc: {rows.schema["doc"].dataType.simpleString()}, tf: long, doc_len: long>>""")
+    kinds = to_arrow_schema(schema)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for begin in range(0, batch.num_rows, AT_ONCE):
+                now = pa.Table.from_batches([batch.slice(begin, AT_ONCE)])
+                held = now if held is None else pa.concat_tables([held, now])
+                # the last range may go on in the next rows
+                ready = int(np.searchsorted(held["range"].to_numpy(), held["range"][-1].as_py()))
+                if ready:
+                    yield _cut(held.slice(0, ready), kinds)
+                    held = held.slice(ready)
+        if held is not None:
+            yield _cut(held, kinds)
+
+    return rows.mapInArrow(make, schema)
+
+
+def _segment(docs: DataFrame, root: str, key: str, note: str = "", text: str | None = None) -> m.Folder:
+    spark = docs.sparkSession
+    # the borders of ranges are drawn from all rows first, so blocks are written as they are made, not made twice
+    loose = m.store(blocks(docs, key, text), root, "loose")
+    made = m.read(spark, root, [loose]).repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+    done = m.store(made, root, "blocks", note)
+    forget(spark, f"{root}/{loose.folder}")
+    return done
 
 
 def _documents(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -71,10 +138,10 @@ def add(chunks: DataFrame, root: str, key: str = "chunk_id", text: str = "chunk_
     """
     spark = chunks.sparkSession
     state = m.current(spark, root)
-    docs = cut_lineage(_documents(chunks, key, text))
+    docs = chunks.select(key, F.size(tokens(F.col(text))).cast("long").alias("doc_len"), F.col(text).alias("__text"))
     n, length = docs.agg(F.count("*"), F.sum("doc_len")).first()
     if n:
-        m.commit(spark, root, state.having(_segment(docs, root, key, f"{n} {length or 0}")))
+        m.commit(spark, root, state.having(_segment(docs, root, key, f"{n} {length or 0}", "__text")))
     merge(spark, root, key)
 
 
@@ -120,7 +187,9 @@ def merge(spark: SparkSession, root: str, key: str = "chunk_id") -> None:
             few = F.broadcast(names) if names.count() <= SMALL else names
             gone = cut_lineage(rows.join(few, "doc", "left_semi"))
             kept = rows.join(few, "doc", "left_anti")
-        docs = cut_lineage(kept.groupBy("doc", "doc_len").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms")))
+        whole = fresh_dir(spark, "merged")
+        kept.groupBy("doc", "doc_len").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms")).write.parquet(whole)
+        docs = spark.read.parquet(whole)
         n = sum(int(f.note.split()[0]) for f in old)
         length = sum(int(f.note.split()[1]) for f in old)
         more: list[m.Folder] = []
@@ -138,6 +207,7 @@ def merge(spark: SparkSession, root: str, key: str = "chunk_id") -> None:
             if note.split()[0] != "0":
                 more = [m.store(still, root, "removed", note), m.store(less, root, "removed_terms")]
         m.commit(spark, root, left.having(*more, _segment(docs.withColumnRenamed("doc", key), root, key, f"{n} {length}")))
+        forget(spark, whole)
 
 
 # --- searching -----------------------------------------------------------------------------

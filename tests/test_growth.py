@@ -10,6 +10,7 @@ from talkmine.operators import components
 from talkmine.operators import enrichment as en
 from talkmine.operators import evolution as ev
 from talkmine.operators import graph as g
+from talkmine.operators import keyword_index as ki
 from talkmine.operators import neighbors as nb
 from talkmine.operators import participants as p
 from talkmine.session import cut_lineage
@@ -167,3 +168,23 @@ def test_texts_are_read_once_to_weigh_frequent_and_rare_terms(spark, monkeypatch
         assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
         assert {r.video_id: round(r.best_score, 5) for r in found.collect()} == {
             v: round(-min(s)[0], 5) for v, s in best.items()}
+
+
+def test_blocks_are_made_where_their_documents_lie(spark, monkeypatch):
+    monkeypatch.setattr(ki, "RANGE", 4)
+    monkeypatch.setattr(ki, "AT_ONCE", 3)
+    rng = np.random.default_rng(2)
+    docs = [(None if i == 7 else f"d{i % 37:02}", [(f"w{j}", int(rng.integers(1, 5))) for j in rng.permutation(9)[: i % 7]]) for i in range(40)]
+    rows = [(k, sum(n for _, n in t), t) for k, t in docs] + [("none", None, None)]
+    made = ki.blocks(spark.createDataFrame(rows, "chunk_id string, doc_len long, terms array<struct<term: string, tf: long>>"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    found = made.collect()
+    assert len({(r.range, r.term) for r in found}) == len(found)
+    listed = [(p.doc, p.doc_len, r.term, p.tf) for r in found for p in r.postings]
+    key = lambda x: str(x)
+    assert sorted(listed, key=key) == sorted([(k, n, w, tf) for k, n, t in rows[:40] for w, tf in t], key=key)
+    for r in found:
+        assert r.n == len(r.postings) <= 4
+        assert (r.most_tf, r.least_len) == (max(p.tf for p in r.postings), min(p.doc_len for p in r.postings))
+        order = [(p.doc is not None, p.doc or "", p.tf, p.doc_len) for p in r.postings]
+        assert order == sorted(order)
