@@ -168,6 +168,11 @@ def test_texts_are_read_once_to_weigh_frequent_and_rare_terms(spark, monkeypatch
         assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
         assert {r.video_id: round(r.best_score, 5) for r in found.collect()} == {
             v: round(-min(s)[0], 5) for v, s in best.items()}
+        key = lambda df: sorted(map(str, df.collect()))
+        twice = chunks.unionByName(chunks)  # a sentence that comes twice is one candidate
+        weights = en.term_weights(chunks, least=3)
+        assert [s.count("word") for s in key(en.extract_summary(twice, weights=weights))] == [
+            2 * s.count("word") for s in key(en.extract_summary(chunks, weights=weights))]
 
 
 def test_blocks_are_made_where_their_documents_lie(spark, monkeypatch):
